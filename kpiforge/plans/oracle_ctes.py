@@ -69,7 +69,7 @@ cte("erp_order_items", [], f"""
     SELECT l.l_orderkey AS order_id, l.l_linenumber AS order_item_id, l.l_partkey AS product_id,
            l.l_suppkey AS seller_id, l.l_shipdate AS shipping_limit_date, l.l_extendedprice AS price,
            l.l_tax AS tax_rate, l.l_quantity AS quantity, l.l_discount AS discount,
-           l.l_returnflag AS return_flag, l.l_linestatus AS line_status
+           l.l_returnflag AS return_flag, l.l_linestatus AS line_status, o.o_orderdate AS _wm
     FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
     WHERE o.o_orderdate < TIMESTAMP '{SIM_NEXT}'""")
 
@@ -219,6 +219,27 @@ cte("budget_vs_actual", ["stg_budgets", "category_month_actuals"], f"""
     LEFT JOIN category_month_actuals a ON a.month_start = b.budget_month AND a.category_name_en = b.category_name_en
     WHERE b.budget_month <= DATE '{SIM}'""")
 
+cte("dim_region", ["region_seed", "stg_geolocation"], """
+    SELECT s.state_code, 'region:' || s.state_code AS entity_id, s.state_name, s.macro_region, c.centroid_lat, c.centroid_lng
+    FROM region_seed s LEFT JOIN (
+      SELECT state_code, round(CAST(sum(lat) AS DOUBLE) / count(lat), 4) AS centroid_lat,
+             round(CAST(sum(lng) AS DOUBLE) / count(lng), 4) AS centroid_lng
+      FROM stg_geolocation WHERE lat BETWEEN -34 AND 6 AND lng BETWEEN -74 AND -34
+      GROUP BY state_code) c USING (state_code)""")
+
+cte("dim_customer", ["int_orders"], """
+    SELECT customer_unique_id, 'customer:' || customer_unique_id AS entity_id,
+           arg_max(customer_state, (purchased_at, order_id)) AS state_code,
+           min(purchased_at) AS first_order_at, max(purchased_at) AS last_order_at, count(*) AS orders_count
+    FROM int_orders GROUP BY customer_unique_id""")
+
+cte("dim_product", ["product_category"], """
+    SELECT product_id, 'product:' || product_id AS entity_id, category_name_pt, category_name_en,
+           'category:' || category_name_en AS category_entity_id, photos_qty, weight_g
+    FROM product_category""")
+
+cte("dim_seller", ["stg_sellers"], "SELECT seller_id, 'seller:' || seller_id AS entity_id, city, state_code FROM stg_sellers")
+
 # --- KPI mart -----------------------------------------------------------------------------
 cte("spine", ["fct_orders"], f"""
     SELECT CAST(d AS DATE) AS kpi_date

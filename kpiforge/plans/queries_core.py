@@ -99,7 +99,7 @@ def dim_date(ctx: Ctx) -> DataFrame:
 @register(
     "latest_per_key",
     with_ctes(
-        """SELECT * EXCLUDE (rn) FROM (
+        """SELECT * EXCLUDE (rn, _wm) FROM (
              SELECT *, row_number() OVER (PARTITION BY order_id, order_item_id
                ORDER BY shipping_limit_date DESC, product_id DESC, seller_id DESC, price DESC, quantity DESC,
                         discount DESC, tax_rate DESC, return_flag DESC, line_status DESC) AS rn
