@@ -49,7 +49,7 @@ def register(name: str, sql: str | None = None):
 
 
 def all_queries() -> dict[str, QueryFn]:
-    from kpiforge.plans import queries_core, queries_more, queries_quality  # noqa: F401  (registration)
+    from kpiforge.plans import queries_core, queries_more, queries_quality, queries_stream  # noqa: F401
 
     return dict(QUERIES)
 
