@@ -1,13 +1,16 @@
 """Build context shared by all models of one run: tables, as-of dates, memoised DataFrames.
 
 Models are plain functions ``ctx -> DataFrame``. Memoising them per context means a model read
-by several downstream models (fct_orders feeds four KPI branches) is one logical subtree, so
-Spark can reuse its exchanges instead of recomputing the lineage.
+by several downstream models is one logical subtree. Marts (``@model(table=True)``) are
+additionally materialised once per run as Parquet under the session's shared checkpoint
+folder and read back: the lineage is cut (a lost executor recomputes nothing upstream), and
+every reader gets column pruning and filter pushdown on the written table.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
@@ -15,6 +18,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge import config
+from kpiforge.session import checkpoint_dir
 from kpiforge.sources.tables import Tables
 
 
@@ -23,7 +27,9 @@ class Ctx:
     tables: Tables
     sim_date: date = config.SIM_DATE
     web_sim_date: date = config.WEB_SIM_DATE
+    materialize: bool = True
     memo: dict[str, DataFrame] = field(default_factory=dict)
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
 
     @property
     def spark(self) -> SparkSession:
@@ -33,15 +39,26 @@ class Ctx:
     def of(cls, spark: SparkSession, sf_dir: str, **kw) -> Ctx:
         return cls(Tables(spark, sf_dir), **kw)
 
+    def table_path(self, name: str) -> str:
+        return f"{checkpoint_dir(self.spark).rstrip('/')}/marts/{self.run_id}/{name}"
 
-def model(fn: Callable[[Ctx], DataFrame]) -> Callable[[Ctx], DataFrame]:
-    """Memoise a model per context (one DataFrame object per model and run)."""
 
-    @functools.wraps(fn)
-    def wrapper(ctx: Ctx) -> DataFrame:
-        key = fn.__module__ + "." + fn.__name__
-        if key not in ctx.memo:
-            ctx.memo[key] = fn(ctx)
-        return ctx.memo[key]
+def model(fn: Callable[[Ctx], DataFrame] | None = None, *, table: bool = False):
+    """Memoise a model per context; ``table=True`` also materialises it (see module doc)."""
 
-    return wrapper
+    def deco(f: Callable[[Ctx], DataFrame]) -> Callable[[Ctx], DataFrame]:
+        @functools.wraps(f)
+        def wrapper(ctx: Ctx) -> DataFrame:
+            key = f.__module__ + "." + f.__name__
+            if key not in ctx.memo:
+                df = f(ctx)
+                if table and ctx.materialize:
+                    path = ctx.table_path(f.__name__)
+                    df.write.mode("overwrite").parquet(path)
+                    df = ctx.spark.read.parquet(path)
+                ctx.memo[key] = df
+            return ctx.memo[key]
+
+        return wrapper
+
+    return deco(fn) if fn is not None else deco

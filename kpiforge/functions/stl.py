@@ -42,25 +42,39 @@ def _geometry(n: int, q: int, xs: tuple, nleft: tuple, nright: tuple):
     return xs_a, idx, w, h
 
 
+@functools.lru_cache(maxsize=256)
+def _moment_matrices(n: int, q: int, xs: tuple, nleft: tuple, nright: tuple):
+    """Dense (n, m) tricube weight matrices W, W*x, W*x^2 for one layout, so a weighted
+    local-linear pass over a whole batch is five matrix products."""
+    xs_a, idx, w, h = _geometry(n, q, xs, nleft, nright)
+    m = len(xs)
+    dense = np.zeros((m, n))
+    rows = np.repeat(np.arange(m), idx.shape[1])
+    np.add.at(dense, (rows, idx.ravel()), w.ravel())
+    x = np.arange(n, dtype=float)
+    return xs_a, h, dense.T.copy(), (dense * x).T.copy(), (dense * x * x).T.copy()
+
+
 def _loess(y: np.ndarray, q: int, xs: np.ndarray, nleft: np.ndarray, nright: np.ndarray, rw: np.ndarray | None):
     """Local linear fit with tricube weights at positions ``xs`` using the points
-    [nleft, nright] (0-based, inclusive) of every row of ``y`` (B, n)."""
+    [nleft, nright] (0-based, inclusive) of every row of ``y`` (B, n), optionally with
+    robustness weights ``rw``. Uses the weighted moments S0..S2, T0, T1 of each neighbourhood:
+    fit(xs) = T0/S0 + (xs - xbar) / var * (T1/S0 - xbar * T0/S0), the linear term dropped when
+    the neighbourhood is degenerate (h = 0 or a spread below 0.001 (n - 1))."""
     n = y.shape[1]
-    xs_a, idx, w, h = _geometry(n, q, tuple(np.asarray(xs, dtype=float)), tuple(nleft), tuple(nright))
-    W = np.broadcast_to(w, (y.shape[0],) + w.shape)
-    if rw is not None:
-        W = W * rw[:, idx]
-    a = W.sum(-1)
-    ok = a > 0
-    W = W / np.where(ok, a, 1.0)[..., None]
-    xj = idx.astype(float)[None]
-    abar = (W * xj).sum(-1)
-    d = xj - abar[..., None]
-    c = (W * d * d).sum(-1)
-    lin = (h[None, :] > 0) & (np.sqrt(c) > 0.001 * (n - 1))
-    factor = np.where(lin, (xs_a[None, :] - abar) / np.where(c > 0, c, 1.0), 0.0)
-    W = W * (factor[..., None] * d + 1.0)
-    ys = (W * y[:, idx]).sum(-1)
+    xs_a, h, w0, w1, w2 = _moment_matrices(n, q, tuple(np.asarray(xs, dtype=float)), tuple(nleft), tuple(nright))
+    r = np.ones_like(y) if rw is None else rw
+    ry = r * y
+    s0 = r @ w0
+    ok = s0 > 0
+    s0 = np.where(ok, s0, 1.0)
+    xbar = (r @ w1) / s0
+    var = (r @ w2) / s0 - xbar * xbar
+    t0 = (ry @ w0) / s0
+    t1 = (ry @ w1) / s0
+    lin = (h[None, :] > 0) & (np.sqrt(np.maximum(var, 0.0)) > 0.001 * (n - 1))
+    slope = np.where(lin, (t1 - xbar * t0) / np.where(lin, var, 1.0), 0.0)
+    ys = t0 + (xs_a[None, :] - xbar) * slope
     return ys, ok
 
 

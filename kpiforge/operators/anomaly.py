@@ -54,7 +54,7 @@ def alert_series(ctx: Ctx) -> DataFrame:
     return d.filter((F.col("dimension") == "total") | (F.col("dimension") == F.col("entity_type")))
 
 
-@model
+@model(table=True)
 def monitor_targets_daily(ctx: Ctx) -> DataFrame:
     """T01 for every day: total + top members by trailing-120-day volume.
 
@@ -98,14 +98,14 @@ def monitor_targets_daily(ctx: Ctx) -> DataFrame:
 
 def _score_schema() -> str:
     return (
-        "kpi_key string, dimension string, dimension_value string, eval_day date, observed double, "
+        "kpi_key string, dimension string, dimension_value string, entity_id string, eval_day date, observed double, "
         "expected double, score double, severity string, threshold double"
     )
 
 
 def _score_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Score every target day of one (series, bucket) group."""
-    out_cols = ["kpi_key", "dimension", "dimension_value", "eval_day", "observed", "expected", "score", "severity", "threshold"]
+    out_cols = ["kpi_key", "dimension", "dimension_value", "entity_id", "eval_day", "observed", "expected", "score", "severity", "threshold"]
     targets = pdf.loc[pdf["is_target"], "day_num"].to_numpy()
     if targets.size == 0:
         return pd.DataFrame(columns=out_cols)
@@ -135,6 +135,7 @@ def _score_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
             "kpi_key": first["kpi_key"],
             "dimension": first["dimension"],
             "dimension_value": first["dimension_value"],
+            "entity_id": first["entity_id"],
             "eval_day": pd.to_datetime(days, unit="D").date,
             "observed": res["observed"][ok],
             "expected": res["expected"][ok],
@@ -152,9 +153,7 @@ def eval_groups(ctx: Ctx) -> DataFrame:
     trailing windows include it."""
     rows = alert_series(ctx)
     targets = monitor_targets_daily(ctx).select(*SERIES_KEYS, F.col("eval_day").alias("kpi_date"), F.lit(True).alias("is_target"))
-    series = rows.select(
-        *SERIES_KEYS, "kpi_date", "value", "alert_threshold", "min_history_days"
-    )
+    series = rows.select(*SERIES_KEYS, "entity_id", "kpi_date", "value", "alert_threshold", "min_history_days")
     threshold = F.col("alert_threshold") * F.when(F.col("dimension") == "total", F.lit(1.0)).otherwise(
         F.lit(config.MEMBER_THRESHOLD_FACTOR)
     )
@@ -164,6 +163,7 @@ def eval_groups(ctx: Ctx) -> DataFrame:
     tagged = series.join(targets, [*SERIES_KEYS, "kpi_date"], "left")
     exploded = tagged.select(
         *SERIES_KEYS,
+        "entity_id",
         dn.alias("day_num"),
         F.col("value"),
         F.explode(F.sequence(b0, b1)).alias("bucket"),
@@ -178,7 +178,7 @@ def eval_groups(ctx: Ctx) -> DataFrame:
     return exploded.join(live, [*SERIES_KEYS, "bucket"], "left_semi")
 
 
-@model
+@model(table=True)
 def robust_scores(ctx: Ctx) -> DataFrame:
     """Robust seasonal score of every monitored (series, day)."""
     g = eval_groups(ctx)
@@ -199,8 +199,6 @@ def detect_daily(ctx: Ctx) -> DataFrame:
     clamped to [0, 1] before direction and deviation are derived."""
     reg = F.broadcast(registry(ctx).select(F.col("key").alias("kpi_key"), "label", "unit", "data_class"))
     s = robust_scores(ctx).filter(F.col("severity").isNotNull()).join(reg, "kpi_key")
-    t = monitor_targets_daily(ctx).select(*SERIES_KEYS, "eval_day", "entity_id")
-    s = s.join(t, [*SERIES_KEYS, "eval_day"])
     expected = F.when(F.col("unit") == "ratio", F.least(F.greatest(F.col("expected"), F.lit(0.0)), F.lit(1.0))).otherwise(
         F.col("expected")
     )

@@ -219,7 +219,7 @@ def kpi_entity_id(dimension: Column, member: Column, kpi_key: Column) -> Column:
     )
 
 
-@model
+@model(table=True)
 def kpi_daily(ctx: Ctx) -> DataFrame:
     k = kpi_inputs(ctx)
     return k.select(
@@ -259,7 +259,7 @@ def kpi_budget(ctx: Ctx) -> DataFrame:
     )
 
 
-@model
+@model(table=True)
 def kpi_monthly(ctx: Ctx) -> DataFrame:
     d = kpi_daily(ctx)
     from_daily = d.groupBy(

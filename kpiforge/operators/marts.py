@@ -81,7 +81,7 @@ def int_orders(ctx: Ctx) -> DataFrame:
     )
 
 
-@model
+@model(table=True)
 def fct_orders(ctx: Ctx) -> DataFrame:
     return int_orders(ctx).select(
         "order_id",
@@ -121,7 +121,7 @@ def product_category(ctx: Ctx) -> DataFrame:
     )
 
 
-@model
+@model(table=True)
 def fct_order_items(ctx: Ctx) -> DataFrame:
     i = staging.stg_order_items(ctx)
     o = fct_orders(ctx).select("order_id", "customer_unique_id", "state_code", "purchase_date", "is_canceled")

@@ -458,9 +458,11 @@ def detect_daily(ctx: Ctx) -> DataFrame:
 
 @register("detect_run")
 def detect_run(ctx: Ctx) -> DataFrame:
-    """Backfill over every day and month -> found / stored per KPI."""
+    """Backfill over every day and month -> found / stored (new to the outbox) per KPI,
+    one pass: found rows are flagged new by a left join on the outbox's dedup keys."""
     found = outbox.insight_rows(anomaly.detect_daily(ctx).unionByName(anomaly.detect_monthly(ctx)))
-    stored = outbox.insert_new(found, found.limit(0))
-    return found.groupBy("kpi").agg(F.count(F.lit(1)).alias("found")).join(
-        stored.groupBy("kpi").agg(F.count(F.lit(1)).alias("stored")), "kpi", "left"
+    existing = outbox_prev(ctx).select("dedup_key", F.lit(True).alias("_seen"))
+    flagged = found.join(existing, "dedup_key", "left")
+    return flagged.groupBy("kpi").agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(F.col("_seen").isNull()).alias("stored")
     )
