@@ -281,3 +281,68 @@ def latest_month_for(sim: date) -> Column:
 
 def until_ts(d: date):
     return day_after_ts(d)
+
+
+@model
+def series_densify(ctx: Ctx) -> DataFrame:
+    """Every monitored (series, evaluation day) with its trailing 120 days as rows
+    (NULL where the series has no value). The range join is made an equi-join by exploding
+    each target into its window days; windows hold exactly 120 rows whatever the data size."""
+    t = monitor_targets_daily(ctx).select(*SERIES_KEYS, "eval_day")
+    days = t.select(
+        *SERIES_KEYS, "eval_day",
+        F.explode(F.sequence(F.date_sub("eval_day", config.WINDOW_DAYS - 1), F.col("eval_day"), F.expr("INTERVAL 1 DAY"))).alias("day"),
+    )
+    values = alert_series(ctx).select(*SERIES_KEYS, F.col("kpi_date").alias("day"), "value")
+    return days.join(values, [*SERIES_KEYS, "day"], "left")
+
+
+@model
+def robust_score_core(ctx: Ctx) -> DataFrame:
+    """T04-T07 with the weekly component fixed at zero, all in window functions: causal level
+    (median of the previous 14 days, at least 7 present), one-step errors, center = median,
+    scale = 1.4826 x MAD with the 1 % level floor, applicability gates, score."""
+    reg = F.broadcast(registry(ctx).select(F.col("key").alias("kpi_key"), "min_history_days"))
+    d = series_densify(ctx).join(reg, "kpi_key")
+    win = [*SERIES_KEYS, "eval_day"]
+    prev14 = Window.partitionBy(*win).orderBy("day").rowsBetween(-config.LEVEL_DAYS, -1)
+    lvl = d.select(
+        "*",
+        F.when(
+            F.count("value").over(prev14) >= config.LEVEL_DAYS // 2, F.percentile(F.col("value"), 0.5).over(prev14)
+        ).alias("level"),
+    )
+    hist = F.col("day") < F.col("eval_day")
+    err = lvl.select("*", F.when(hist, F.col("value") - F.col("level")).alias("err"))
+    centered = err.select("*", F.percentile(F.col("err"), 0.5).over(Window.partitionBy(*win)).alias("center"))
+    agg = centered.groupBy(*win, "min_history_days").agg(
+        F.max(F.when(~hist, F.col("value"))).alias("observed"),
+        F.max(F.when(~hist, F.col("level"))).alias("level"),
+        F.count(F.when(hist, F.col("value"))).alias("history"),
+        F.count("err").alias("errors"),
+        F.max("center").alias("center"),
+        F.percentile(F.abs(F.col("err") - F.col("center")), 0.5).alias("mad"),
+    )
+    scale = F.greatest(
+        F.lit(config.MAD_TO_SIGMA) * F.col("mad"), F.lit(config.SCALE_FLOOR) * F.abs(F.col("level")), F.lit(1e-9)
+    )
+    ok = (
+        F.col("observed").isNotNull()
+        & (F.col("history") >= F.col("min_history_days"))
+        & (F.col("errors") >= F.floor(F.col("min_history_days") / 2))
+        & F.col("level").isNotNull()
+        & F.col("mad").isNotNull()
+    )
+    s = agg.filter(ok).select(*win, "observed", "level", "center", scale.alias("scale"))
+    s = s.select("*", (F.col("level") + F.col("center")).alias("expected"))
+    return s.select(
+        *win,
+        *[_tie_safe_round(F.col(c), 9).alias(c) for c in ("observed", "level", "center", "scale", "expected")],
+        _tie_safe_round((F.col("observed") - F.col("expected")) / F.col("scale"), 9).alias("score"),
+    )
+
+
+def _tie_safe_round(x: Column, digits: int) -> Column:
+    """Round after a 1e-13 nudge: values that sit exactly on a decimal half-way point (common
+    for medians of short decimals) then round the same way in every engine."""
+    return F.round(x + F.lit(1e-13), digits)

@@ -49,7 +49,13 @@ def register(name: str, sql: str | None = None):
 
 
 def all_queries() -> dict[str, QueryFn]:
-    from kpiforge.plans import queries_core, queries_more, queries_quality, queries_stream  # noqa: F401
+    from kpiforge.plans import (  # noqa: F401  (registration)
+        queries_core,
+        queries_detect,
+        queries_more,
+        queries_quality,
+        queries_stream,
+    )
 
     return dict(QUERIES)
 

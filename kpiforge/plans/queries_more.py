@@ -23,7 +23,6 @@ HISTORY_START = date(1992, 1, 1)
 NOW = datetime.combine(SIM_D, time(6, 0))
 OUTBOX_CUTOFF = SIM_D - timedelta(days=90)
 
-cte("registry", [], registry_values_sql())
 
 
 def _dbl(*cols: str) -> str:
@@ -438,12 +437,6 @@ def recent_anomalies(ctx: Ctx) -> DataFrame:
 
 
 # --- non-SQL detection (rows-only check) -----------------------------------------------------------
-@register("monitor_targets")
-def monitor_targets(ctx: Ctx) -> DataFrame:
-    """T01 (day grain, every day): total + top-5 members of additive KPIs by trailing volume."""
-    return anomaly.monitor_targets_daily(ctx)
-
-
 @register("robust_scores")
 def robust_scores(ctx: Ctx) -> DataFrame:
     """Robust seasonal score of every monitored series and day (STL)."""
