@@ -49,13 +49,13 @@ def register(name: str, sql: str | None = None):
 
 
 def all_queries() -> dict[str, QueryFn]:
-    from kpiforge.plans import (  # noqa: F401  (registration)
-        queries_core,
-        queries_detect,
-        queries_more,
-        queries_quality,
-        queries_stream,
-    )
+    # Order matters: later modules reuse SQL twins defined by earlier ones.
+    from kpiforge.plans import queries_core  # noqa: F401  (registration)
+    from kpiforge.plans import queries_more  # noqa: F401
+    from kpiforge.plans import queries_quality  # noqa: F401
+    from kpiforge.plans import queries_stream  # noqa: F401
+    from kpiforge.plans import queries_detect  # noqa: F401
+    from kpiforge.plans import queries_context  # noqa: F401
 
     return dict(QUERIES)
 
