@@ -5,11 +5,12 @@ Plan (all distributed, no driver loop over KPIs or days):
    number of KPIs), totals and the members of additive KPIs.
 2. ``monitor_targets_daily``: per KPI and day, the total plus the top members by volume over
    the trailing 120 days (rolling window sums on a per-member day spine, rank per day).
-3. ``eval_groups``: each (series, day) value is copied to the 30-day evaluation buckets whose
-   trailing windows contain it (about 5 copies) -- the range join made an equi-join.
-4. ``robust_scores``: ``applyInPandas`` per (series, bucket) scores all target days of the
-   bucket with the batched STL kernel. Group size is bounded by 149 days, independent of the
-   data volume.
+3. ``score_days``: each (series, day) value is copied to the 30-day evaluation buckets whose
+   trailing windows contain it (about 5 copies) -- the range join made an equi-join -- and
+   ``applyInPandas`` per (series, bucket) scores all target days of the bucket with the
+   batched STL kernel. Group size is bounded by 149 days, independent of the data volume.
+4. ``robust_score_core``: the same score with the weekly component fixed at zero, written
+   entirely as window functions (checkable against SQL).
 5. Threshold detection on the monthly mart is plain SQL-able DataFrame code.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from kpiforge import config
 from kpiforge.context import Ctx, model
 from kpiforge.functions import stl
-from kpiforge.functions.columns import day_after_ts, latest_complete_month, threshold_severity
+from kpiforge.functions.columns import threshold_severity
 from kpiforge.operators import kpi
 from kpiforge.sources.registry import registry_df
 
@@ -96,93 +97,17 @@ def monitor_targets_daily(ctx: Ctx) -> DataFrame:
     )
 
 
-def _score_schema() -> str:
-    return (
-        "kpi_key string, dimension string, dimension_value string, entity_id string, eval_day date, observed double, "
-        "expected double, score double, severity string, threshold double"
-    )
-
-
-def _score_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Score every target day of one (series, bucket) group."""
-    out_cols = ["kpi_key", "dimension", "dimension_value", "entity_id", "eval_day", "observed", "expected", "score", "severity", "threshold"]
-    targets = pdf.loc[pdf["is_target"], "day_num"].to_numpy()
-    if targets.size == 0:
-        return pd.DataFrame(columns=out_cols)
-    lo = int(pdf["bucket"].iloc[0]) * BUCKET_DAYS - (config.WINDOW_DAYS - 1)
-    span = BUCKET_DAYS + config.WINDOW_DAYS - 1
-    arr = np.full(span, np.nan)
-    pos = pdf["day_num"].to_numpy() - lo
-    arr[pos] = pdf["value"].to_numpy(dtype=float)
-    starts = np.sort(targets) - lo - (config.WINDOW_DAYS - 1)
-    windows = np.stack([arr[s : s + config.WINDOW_DAYS] for s in starts])
-    threshold = float(pdf["threshold"].iloc[0])
-    res = stl.stl_mad_batch(
-        windows,
-        np.full(len(starts), threshold),
-        np.full(len(starts), int(pdf["min_history_days"].iloc[0])),
-        level_days=config.LEVEL_DAYS,
-        weekday_weeks=config.WEEKDAY_WEEKS,
-        scale_floor=config.SCALE_FLOOR,
-        mad_to_sigma=config.MAD_TO_SIGMA,
-        critical_factor=config.CRITICAL_FACTOR,
-    )
-    ok = res["ok"]
-    days = np.sort(targets)[ok]
-    first = pdf.iloc[0]
-    return pd.DataFrame(
-        {
-            "kpi_key": first["kpi_key"],
-            "dimension": first["dimension"],
-            "dimension_value": first["dimension_value"],
-            "entity_id": first["entity_id"],
-            "eval_day": pd.to_datetime(days, unit="D").date,
-            "observed": res["observed"][ok],
-            "expected": res["expected"][ok],
-            "score": res["score"][ok],
-            "severity": np.where(res["severity"][ok] == "", None, res["severity"][ok]),
-            "threshold": threshold,
-        },
-        columns=out_cols,
-    )
-
-
-@model
-def eval_groups(ctx: Ctx) -> DataFrame:
-    """(series, bucket, day, value, is_target) rows; each day lands in every bucket whose
-    trailing windows include it."""
-    rows = alert_series(ctx)
-    targets = monitor_targets_daily(ctx).select(*SERIES_KEYS, F.col("eval_day").alias("kpi_date"), F.lit(True).alias("is_target"))
-    series = rows.select(*SERIES_KEYS, "entity_id", "kpi_date", "value", "alert_threshold", "min_history_days")
+@model(table=True)
+def robust_scores(ctx: Ctx) -> DataFrame:
+    """Robust seasonal score of every monitored (series, day); members get the
+    stricter member threshold."""
+    keys = [*SERIES_KEYS, "entity_id"]
     threshold = F.col("alert_threshold") * F.when(F.col("dimension") == "total", F.lit(1.0)).otherwise(
         F.lit(config.MEMBER_THRESHOLD_FACTOR)
     )
-    dn = day_number(F.col("kpi_date"))
-    b0 = F.floor(dn / BUCKET_DAYS)
-    b1 = F.floor((dn + config.WINDOW_DAYS - 1) / BUCKET_DAYS)
-    tagged = series.join(targets, [*SERIES_KEYS, "kpi_date"], "left")
-    exploded = tagged.select(
-        *SERIES_KEYS,
-        "entity_id",
-        dn.alias("day_num"),
-        F.col("value"),
-        F.explode(F.sequence(b0, b1)).alias("bucket"),
-        F.coalesce(F.col("is_target"), F.lit(False)).alias("_target"),
-        threshold.alias("threshold"),
-        "min_history_days",
-    ).select(
-        "*",
-        (F.col("_target") & (F.floor(F.col("day_num") / BUCKET_DAYS) == F.col("bucket"))).alias("is_target"),
-    ).drop("_target")
-    live = exploded.filter("is_target").select(*SERIES_KEYS, "bucket").distinct()
-    return exploded.join(live, [*SERIES_KEYS, "bucket"], "left_semi")
-
-
-@model(table=True)
-def robust_scores(ctx: Ctx) -> DataFrame:
-    """Robust seasonal score of every monitored (series, day)."""
-    g = eval_groups(ctx)
-    return g.groupBy(*SERIES_KEYS, "bucket").applyInPandas(_score_bucket, _score_schema())
+    values = alert_series(ctx).select(*keys, "kpi_date", "value", threshold.alias("threshold"), "min_history_days")
+    targets = monitor_targets_daily(ctx).select(*keys, F.col("eval_day").alias("kpi_date"))
+    return score_days(values, targets, keys)
 
 
 def _direction(observed: Column, expected: Column) -> Column:
@@ -275,14 +200,6 @@ def detect_monthly(ctx: Ctx) -> DataFrame:
     )
 
 
-def latest_month_for(sim: date) -> Column:
-    return latest_complete_month(F.lit(sim))
-
-
-def until_ts(d: date):
-    return day_after_ts(d)
-
-
 @model
 def series_densify(ctx: Ctx) -> DataFrame:
     """Every monitored (series, evaluation day) with its trailing 120 days as rows
@@ -346,3 +263,74 @@ def _tie_safe_round(x: Column, digits: int) -> Column:
     """Round after a 1e-13 nudge: values that sit exactly on a decimal half-way point (common
     for medians of short decimals) then round the same way in every engine."""
     return F.round(x + F.lit(1e-13), digits)
+
+
+def _bucket_scorer(keys: list[str]):
+    """pandas function scoring every target day of one (series, bucket) group."""
+    out_cols = [*keys, "eval_day", "observed", "expected", "score", "severity", "threshold"]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        targets = np.sort(pdf.loc[pdf["is_target"], "day_num"].to_numpy())
+        if targets.size == 0:
+            return pd.DataFrame(columns=out_cols)
+        lo = int(pdf["bucket"].iloc[0]) * BUCKET_DAYS - (config.WINDOW_DAYS - 1)
+        arr = np.full(BUCKET_DAYS + config.WINDOW_DAYS - 1, np.nan)
+        arr[pdf["day_num"].to_numpy() - lo] = pdf["value"].to_numpy(dtype=float)
+        starts = targets - lo - (config.WINDOW_DAYS - 1)
+        windows = np.stack([arr[s : s + config.WINDOW_DAYS] for s in starts])
+        threshold = float(pdf["threshold"].iloc[0])
+        res = stl.stl_mad_batch(
+            windows,
+            np.full(len(starts), threshold),
+            np.full(len(starts), int(pdf["min_history_days"].iloc[0])),
+            level_days=config.LEVEL_DAYS,
+            weekday_weeks=config.WEEKDAY_WEEKS,
+            scale_floor=config.SCALE_FLOOR,
+            mad_to_sigma=config.MAD_TO_SIGMA,
+            critical_factor=config.CRITICAL_FACTOR,
+        )
+        ok = res["ok"]
+        first = pdf.iloc[0]
+        data = {k: first[k] for k in keys}
+        data.update(
+            eval_day=pd.to_datetime(targets[ok], unit="D").date,
+            observed=res["observed"][ok],
+            expected=res["expected"][ok],
+            score=res["score"][ok],
+            severity=np.where(res["severity"][ok] == "", None, res["severity"][ok]),
+            threshold=threshold,
+        )
+        return pd.DataFrame(data, columns=out_cols)
+
+    schema = ", ".join(f"{k} string" for k in keys) + (
+        ", eval_day date, observed double, expected double, score double, severity string, threshold double"
+    )
+    return score, schema
+
+
+def score_days(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Robust seasonal score of every target (series, day), each day seeing only its own
+    trailing window.
+
+    ``values``: keys + kpi_date, value, threshold, min_history_days (string keys);
+    ``targets``: keys + kpi_date. Every value row is copied to the 30-day buckets whose
+    trailing windows contain it (about 5 copies: the range join made an equi-join); one
+    ``applyInPandas`` group per (series, bucket) holds at most 149 days whatever the data
+    volume, and only buckets with a target day are shipped to Python.
+    """
+    t = targets.select(*keys, "kpi_date", F.lit(True).alias("_t"))
+    dn = day_number(F.col("kpi_date"))
+    tagged = values.join(t, [*keys, "kpi_date"], "left")
+    exploded = tagged.select(
+        *keys,
+        dn.alias("day_num"),
+        "value",
+        "threshold",
+        "min_history_days",
+        F.coalesce(F.col("_t"), F.lit(False)).alias("_t"),
+        F.explode(F.sequence(F.floor(dn / BUCKET_DAYS), F.floor((dn + config.WINDOW_DAYS - 1) / BUCKET_DAYS))).alias("bucket"),
+    ).select("*", (F.col("_t") & (F.floor(F.col("day_num") / BUCKET_DAYS) == F.col("bucket"))).alias("is_target")).drop("_t")
+    live = exploded.filter("is_target").select(*keys, "bucket").distinct()
+    groups = exploded.join(live, [*keys, "bucket"], "left_semi")
+    fn, schema = _bucket_scorer(keys)
+    return groups.groupBy(*keys, "bucket").applyInPandas(fn, schema)

@@ -56,6 +56,7 @@ def all_queries() -> dict[str, QueryFn]:
     from kpiforge.plans import queries_stream  # noqa: F401
     from kpiforge.plans import queries_detect  # noqa: F401
     from kpiforge.plans import queries_context  # noqa: F401
+    from kpiforge.plans import queries_backtest  # noqa: F401
 
     return dict(QUERIES)
 
