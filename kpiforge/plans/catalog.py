@@ -58,6 +58,7 @@ def all_queries() -> dict[str, QueryFn]:
     from kpiforge.plans import queries_context  # noqa: F401
     from kpiforge.plans import queries_backtest  # noqa: F401
     from kpiforge.plans import queries_windows  # noqa: F401
+    from kpiforge.plans import queries_loads  # noqa: F401
 
     return dict(QUERIES)
 

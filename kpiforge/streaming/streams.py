@@ -142,6 +142,30 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+# --- R04: idempotent event emission ----------------------------------------------------------------
+def stream_outbox(spark: SparkSession, findings: DataFrame, existing: DataFrame, files: int = 8) -> DataFrame:
+    """Findings arrive as files (with repeats); within the watermark exact repeats of a dedup
+    key are dropped, and each micro-batch inserts only keys the outbox does not hold yet (an
+    anti join against the current outbox in ``foreachBatch``). Returns the final outbox."""
+    ensure_defaults(spark)
+    base = scratch(spark, "outbox")
+    landing = f"{base}/landing"
+    findings.unionByName(findings).repartition(files, "dedup_key").write.mode("overwrite").parquet(landing)
+    outbox_dir = f"{base}/outbox"
+    existing.write.mode("overwrite").parquet(f"{outbox_dir}/epoch=-1")
+    schema = spark.read.parquet(landing).schema
+
+    def insert(batch: DataFrame, epoch: int) -> None:
+        current = spark.read.parquet(outbox_dir).select("dedup_key")
+        new = batch.drop("event_time").dropDuplicates(["dedup_key"]).join(current, "dedup_key", "left_anti")
+        new.write.mode("overwrite").parquet(f"{outbox_dir}/epoch={epoch}")
+
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    s = event_time(s, col="created_at", delay="400 days").dropDuplicatesWithinWatermark(["dedup_key"])
+    run_available_now(s.writeStream.foreachBatch(insert).option("checkpointLocation", f"{base}/_checkpoint"))
+    return spark.read.parquet(outbox_dir).drop("epoch")
+
+
 # --- R07: sliding per-client counts ---------------------------------------------------------------
 def stream_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per user in 1-hour windows sliding every 5 minutes."""
