@@ -40,10 +40,17 @@ ITEM_ORDER = [
 ]
 
 
+@model(table=True)
+def raw_orders(ctx: Ctx) -> DataFrame:
+    """The landed ERP orders up to the as-of date (raw layer, read by the staged orders and by
+    the review export)."""
+    return landing.erp_orders(ctx)
+
+
 @model
 def stg_orders(ctx: Ctx) -> DataFrame:
     """Orders as of the simulation date: later timestamps masked, status rolled back."""
-    raw = landing.erp_orders(ctx)
+    raw = raw_orders(ctx)
     sim = ctx.sim_date
     masked = raw.select(
         "order_id",
@@ -75,7 +82,7 @@ def stg_orders(ctx: Ctx) -> DataFrame:
     )
 
 
-@model
+@model(table=True)
 def stg_order_items(ctx: Ctx) -> DataFrame:
     """Typed line items, one per (order_id, order_item_id). Money in decimal: the freight is
     price x tax rounded to cents, never rounded in floating point."""
@@ -150,7 +157,7 @@ def stg_category_translation(ctx: Ctx) -> DataFrame:
 
 @model
 def stg_reviews(ctx: Ctx) -> DataFrame:
-    raw = landing.legacy_reviews(ctx)
+    raw = landing.legacy_reviews(ctx, orders=raw_orders(ctx))
     return raw.select(
         "review_id",
         "order_id",

@@ -161,11 +161,15 @@ def category_translation(ctx: Ctx) -> DataFrame:
     )
 
 
-def legacy_reviews(ctx: Ctx, since: str | None = None, until: date | None = None) -> DataFrame:
+def legacy_reviews(
+    ctx: Ctx, since: str | None = None, until: date | None = None, orders: DataFrame | None = None
+) -> DataFrame:
     """Review export of delivered orders, incremental by ISO *string* comparison like a file
-    export (``since < created < until + 1 day`` as text)."""
+    export (``since < created < until + 1 day`` as text). ``orders``: the landed orders, if
+    already materialised (else extracted here)."""
     until = ctx.sim_date if until is None else until
-    delivered = erp_orders(ctx, None, None if until is None else until).filter(
+    src = orders if orders is not None else erp_orders(ctx, None, until)
+    delivered = src.filter(
         F.col("order_delivered_customer_date").isNotNull()
     )
     created = F.date_format(
