@@ -112,6 +112,32 @@ def budget_round(x: Column) -> Column:
     return F.greatest(F.round(x / F.lit(100), 0), F.lit(1)) * F.lit(100)
 
 
+def canonical_json(*cols: str) -> Column:
+    """JSON object of the given columns with keys in sorted order, no spaces."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]))
+
+
+def drop_json_field(payload: Column, schema: str, path: str) -> Column:
+    """the payload without one nested field (parse with the schema, dropFields, JSON)."""
+    parsed = F.from_json(payload, schema)
+    parent, _, leaf = path.rpartition(".")
+    if not parent:
+        return F.to_json(parsed.dropFields(leaf))
+    return F.to_json(parsed.withField(parent, parsed.getField(parent).dropFields(leaf)))
+
+
+DATE_PRESETS = {"7d": 7, "30d": 30, "90d": 90, "365d": 365}
+
+
+def preset_window(end: Column, preset: str, grain: str = "day") -> tuple[Column, Column]:
+    """(start, end) of a preset window ending at ``end``; month grain snaps to months."""
+    days = DATE_PRESETS[preset]
+    start = F.date_sub(end, days - 1)
+    if grain == "month":
+        return F.trunc(start, "month"), F.trunc(end, "month")
+    return start, end
+
+
 def de_number(x: Column, digits: int) -> Column:
     """German number format: 1.234,50 (NULL stays NULL)."""
     return F.translate(F.format_number(x, digits), ",.", ".,")
