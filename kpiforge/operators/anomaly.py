@@ -5,10 +5,10 @@ Plan (all distributed, no driver loop over KPIs or days):
    number of KPIs), totals and the members of additive KPIs.
 2. ``monitor_targets_daily``: per KPI and day, the total plus the top members by volume over
    the trailing 120 days (rolling window sums on a per-member day spine, rank per day).
-3. ``score_days``: each (series, day) value is copied to the 30-day evaluation buckets whose
-   trailing windows contain it (about 5 copies) -- the range join made an equi-join -- and
+3. ``score_days``: each (series, day) value is copied to the 120-day evaluation buckets whose
+   trailing windows contain it (about 2 copies) -- the range join made an equi-join -- and
    ``applyInPandas`` per (series, bucket) scores all target days of the bucket with the
-   batched STL kernel. Group size is bounded by 149 days, independent of the data volume.
+   batched STL kernel. Group size is bounded by 239 days, independent of the data volume.
 4. ``robust_score_core``: the same score with the weekly component fixed at zero, written
    entirely as window functions (checkable against SQL).
 5. Threshold detection on the monthly mart is plain SQL-able DataFrame code.
@@ -30,7 +30,7 @@ from kpiforge.functions.columns import threshold_severity
 from kpiforge.operators import kpi
 from kpiforge.sources.registry import registry_df
 
-BUCKET_DAYS = 30
+BUCKET_DAYS = 120
 SERIES_KEYS = ["kpi_key", "dimension", "dimension_value"]
 
 
@@ -313,9 +313,9 @@ def score_days(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFr
     trailing window.
 
     ``values``: keys + kpi_date, value, threshold, min_history_days (string keys);
-    ``targets``: keys + kpi_date. Every value row is copied to the 30-day buckets whose
-    trailing windows contain it (about 5 copies: the range join made an equi-join); one
-    ``applyInPandas`` group per (series, bucket) holds at most 149 days whatever the data
+    ``targets``: keys + kpi_date. Every value row is copied to the 120-day buckets whose
+    trailing windows contain it (about 2 copies: the range join made an equi-join); one
+    ``applyInPandas`` group per (series, bucket) holds at most 239 days whatever the data
     volume, and only buckets with a target day are shipped to Python.
     """
     t = targets.select(*keys, "kpi_date", F.lit(True).alias("_t"))
