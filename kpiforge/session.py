@@ -28,9 +28,31 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
     for key, value in _SQL_DEFAULTS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor (the grouped-map
+    scorer runs there): zip it once per application and add it like ``--py-files``."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    pkg = Path(__file__).resolve().parent
+    staging = tempfile.mkdtemp(prefix="kpiforge-pyfiles-")
+    archive = shutil.make_archive(
+        os.path.join(staging, pkg.name), "zip", root_dir=pkg.parent, base_dir=pkg.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
