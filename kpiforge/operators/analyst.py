@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge import config
 from kpiforge.context import Ctx, model
 from kpiforge.operators import anomaly, kpi
 from kpiforge.operators.outbox import format_signed_pct, format_value

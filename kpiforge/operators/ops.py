@@ -9,7 +9,6 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge import config
 from kpiforge.context import Ctx, model
 from kpiforge.operators import kpi, marts
 from kpiforge.sources import landing

@@ -29,12 +29,16 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def register(name: str, sql: str | None = None):
-    """Register ``fn(ctx) -> DataFrame`` as a query (and its oracle SQL, if any)."""
+def register(name: str, sql: str | None = None, materialize: bool = True):
+    """Register ``fn(ctx) -> DataFrame`` as a query (and its oracle SQL, if any).
+
+    ``materialize``: write the marts the query reads once per run (multi-stage pipelines that
+    reach the marts from several jobs: detection, backtest, outbox, context); single-plan
+    queries over the star schema stay one lazy plan, where shared subtrees reuse exchanges."""
 
     def deco(fn: Callable[[Ctx], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finalize(fn(Ctx.of(spark, sf_dir)))
+            return finalize(fn(Ctx.of(spark, sf_dir, materialize=materialize)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge import config
 from kpiforge.context import Ctx
 from kpiforge.operators import analyst, anomaly, kpi, ops
 from kpiforge.plans import queries_more

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge import config
 from kpiforge.context import Ctx
 from kpiforge.operators import kpi, marts, staging
-from kpiforge.plans.catalog import register
+from kpiforge.plans import catalog
 from kpiforge.plans.oracle_ctes import SIM, SIM_NEXT, WEB_SIM, with_ctes
+
+# Star schema and mart queries: one lazy plan each (no intermediate writes).
+register = functools.partial(catalog.register, materialize=False)
 from kpiforge.sources import landing
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,9 @@ from kpiforge import config
 from kpiforge.context import Ctx, model
 from kpiforge.operators import anomaly, kpi, outbox, query
 from kpiforge.plans.catalog import register
-from kpiforge.plans.oracle_ctes import CTES, SIM, cte, with_ctes
-from kpiforge.sources.registry import registry_values_sql
+from kpiforge.plans.oracle_ctes import cte, with_ctes
+
+register_lazy = functools.partial(register, materialize=False)  # single-plan query-layer calls
 
 # --- fixed parameters of the registered query-layer calls ----------------------------------------
 SIM_D = config.SIM_DATE
@@ -47,7 +49,7 @@ _WINDOW_VALUE = (
 )
 
 
-@register(
+@register_lazy(
     "kpi_window_value",
     with_ctes(
         f"""SELECT kpi_key, dimension, dimension_value, entity_id, {_WINDOW_VALUE} AS value
@@ -71,7 +73,7 @@ def _wv(prefix: str) -> str:
     )
 
 
-@register(
+@register_lazy(
     "kpi_breakdown",
     with_ctes(
         f"""SELECT *, row_number() OVER (PARTITION BY kpi_key, dimension
@@ -104,7 +106,7 @@ def kpi_breakdown(ctx: Ctx) -> DataFrame:
     return query.breakdown(_monthly_rows(ctx), "month", BREAKDOWN_START, BREAKDOWN_END)
 
 
-@register(
+@register_lazy(
     "kpi_series_top",
     with_ctes(
         f"""SELECT w.kpi_key, w.dimension, w.dimension_value, w.entity_id, w.period, w.value, v.member_rank
@@ -122,7 +124,7 @@ def kpi_series_top(ctx: Ctx) -> DataFrame:
     return query.series(_monthly_rows(ctx), HISTORY_START, SIM_D, None, 5)
 
 
-@register(
+@register_lazy(
     "kpi_series",
     with_ctes(
         f"""SELECT kpi_key, dimension, dimension_value, entity_id, period, value FROM daily_rows
@@ -138,7 +140,7 @@ def kpi_series(ctx: Ctx) -> DataFrame:
 _PIVOT_SQL = ", ".join(f"max(value) FILTER (WHERE kpi_key = '{k}') AS {k}" for k in config.MONTHLY_KPI_KEYS)
 
 
-@register(
+@register_lazy(
     "kpi_series_pivot",
     with_ctes(f"SELECT period, {_PIVOT_SQL} FROM monthly_rows WHERE dimension = 'total' GROUP BY period", "monthly_rows"),
 )
@@ -148,7 +150,7 @@ def kpi_series_pivot(ctx: Ctx) -> DataFrame:
     return rows.groupBy("period").pivot("kpi_key", config.MONTHLY_KPI_KEYS).agg(F.max("value"))
 
 
-@register(
+@register_lazy(
     "visible_kpis",
     with_ctes(
         """SELECT r.key, r.label, r.unit, r.grain, r.data_class, l.latest_date, l.latest_value
