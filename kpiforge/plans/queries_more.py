@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from kpiforge import config
 from kpiforge.context import Ctx, model
 from kpiforge.operators import anomaly, kpi, outbox, query
-from kpiforge.plans.catalog import register
+from kpiforge.plans.catalog import ORACLE, register
 from kpiforge.plans.oracle_ctes import cte, with_ctes
+from kpiforge.sources.registry import registry_values_sql
 
 register_lazy = functools.partial(register, materialize=False)  # single-plan query-layer calls
 
@@ -106,6 +107,27 @@ def kpi_breakdown(ctx: Ctx) -> DataFrame:
     return query.breakdown(_monthly_rows(ctx), "month", BREAKDOWN_START, BREAKDOWN_END)
 
 
+@register_lazy(
+    "breakdown_presentation",
+    f"""SELECT b.kpi_key, b.dimension, b.dimension_value,
+               CASE WHEN r.unit = 'ratio' THEN b.change_abs * 100 ELSE b.change_pct END AS change_shown,
+               CASE WHEN r.unit = 'ratio' THEN 'pp' ELSE '%' END AS change_unit,
+               CASE WHEN coalesce(CASE WHEN r.unit = 'ratio' THEN b.change_abs * 100 ELSE b.change_pct END, 0) = 0 THEN '•'
+                    WHEN (CASE WHEN r.unit = 'ratio' THEN b.change_abs * 100 ELSE b.change_pct END) > 0 THEN '▲' ELSE '▼' END AS change_icon,
+               CASE WHEN coalesce(CASE WHEN r.unit = 'ratio' THEN b.change_abs * 100 ELSE b.change_pct END, 0) = 0
+                         OR r.direction = 'neutral' THEN 'neutral'
+                    WHEN ((CASE WHEN r.unit = 'ratio' THEN b.change_abs * 100 ELSE b.change_pct END) > 0)
+                         = (r.direction = 'higher_is_better') THEN 'good'
+                    ELSE 'bad' END AS tone
+        FROM ({ORACLE['kpi_breakdown']}) b LEFT JOIN ({registry_values_sql()}) r ON r.key = b.kpi_key""",
+)
+def breakdown_presentation(ctx: Ctx) -> DataFrame:
+    """Breakdown changes as shown (pp for ratios, % otherwise), arrow and tone."""
+    return query.change_presentation(
+        query.breakdown(_monthly_rows(ctx), "month", BREAKDOWN_START, BREAKDOWN_END), anomaly.registry(ctx)
+    )
+
+
 @register_lazy(
     "kpi_series_top",
     with_ctes(

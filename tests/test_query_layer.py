@@ -94,6 +94,23 @@ def test_number_formatting(spark):
     assert got == ["+5,0 %", "−12,3 %", "±0,0 %", "–"]
 
 
+def test_change_presentation(spark):
+    from kpiforge.sources.registry import registry_df
+
+    rows = spark.createDataFrame(
+        [("on_time_rate", "total", "all", -0.02, -2.4), ("cancellation_rate", "total", "all", 0.01, 12.0),
+         ("gmv", "total", "all", 50.0, 5.0), ("budget_deviation", "total", "all", 0.1, 20.0), ("gmv", "region", "SP", 0.0, 0.0)],
+        "kpi_key string, dimension string, dimension_value string, change_abs double, change_pct double",
+    )
+    got = {(r.kpi_key, r.dimension_value): (r.change_shown, r.change_unit, r.change_icon, r.tone)
+           for r in query.change_presentation(rows, registry_df(spark)).collect()}
+    assert got[("on_time_rate", "all")] == (-2.0, "pp", "▼", "bad")
+    assert got[("cancellation_rate", "all")] == (1.0, "pp", "▲", "bad")
+    assert got[("gmv", "all")] == (5.0, "%", "▲", "good")
+    assert got[("budget_deviation", "all")][3] == "neutral"
+    assert got[("gmv", "SP")] == (0.0, "%", "•", "neutral")
+
+
 def test_latest_per_key_total_tie_break(spark):
     df = spark.createDataFrame(
         [(1, 1, 5, "b"), (1, 1, 7, "a"), (1, 1, 7, "c"), (2, 1, 1, "x")], "k1 int, k2 int, v int, s string"
