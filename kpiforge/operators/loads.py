@@ -60,11 +60,9 @@ def advance_clock(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     req = requests.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
     known = req.join(ledger.select("run_key", "from_date", "to_date"), "run_key")
     new = req.join(ledger.select("run_key"), "run_key", "left_anti")
-    base = ledger.agg(F.max("to_date").alias("base"))
+    base = ledger.agg(F.max("to_date")).scalar()  # uncorrelated scalar subquery
     order = Window.orderBy("requested_at", "run_key").rowsBetween(Window.unboundedPreceding, 0)
-    steps = new.select("*", F.sum("days").over(order).alias("cum"))
-    # one-row base joined on a constant key (a lookup of one value, not a cross product)
-    steps = steps.withColumn("_k", F.lit(1)).join(base.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    steps = new.select("*", F.sum("days").over(order).alias("cum"), base.alias("base"))
     advanced = steps.select(
         "run_key",
         F.date_add("base", (F.col("cum") - F.col("days")).cast("int")).alias("from_date"),

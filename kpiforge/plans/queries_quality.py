@@ -322,8 +322,13 @@ _WM_CUT = SIM_D - timedelta(days=365)
                coalesce(n.new_wm, p.watermark) AS watermark
         FROM (SELECT source, entity, arg_max(watermark_to, finished_at) AS watermark FROM load_log
               WHERE status = 'success' AND sim_date < DATE '{_WM_CUT}' GROUP BY source, entity) p
-        FULL OUTER JOIN (SELECT 'erp' AS source, 'orders' AS entity, max(order_purchase_timestamp) AS new_wm
-                         FROM erp_orders WHERE order_purchase_timestamp > TIMESTAMP '{_WM_CUT}') n
+        FULL OUTER JOIN (SELECT 'erp' AS source, e.entity, max(o.o_orderdate) AS new_wm
+                         FROM orders o JOIN (SELECT 'orders' AS entity UNION ALL SELECT 'payments') e ON true
+                         WHERE o.o_orderdate > TIMESTAMP '{_WM_CUT}' AND o.o_orderdate < TIMESTAMP '{SIM_NEXT}'
+                         GROUP BY e.entity
+                         UNION ALL
+                         SELECT 'erp', 'order_items', max(o.o_orderdate) FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+                         WHERE o.o_orderdate > TIMESTAMP '{_WM_CUT}' AND o.o_orderdate < TIMESTAMP '{SIM_NEXT}') n
         ON p.source = n.source AND p.entity = n.entity""", *CTES_LOAD_DEPS))
 def watermark_advance(ctx: Ctx) -> DataFrame:
     """Next watermark = max of the newly extracted rows, else the previous one (entities
@@ -331,7 +336,11 @@ def watermark_advance(ctx: Ctx) -> DataFrame:
     log = ops.load_log(ctx).filter(F.col("sim_date") < F.lit(_WM_CUT))
     prev = ops.watermark_lookup(log)
     since = landing._ts(_WM_CUT)
-    new = landing.erp_orders(ctx, since, SIM_D).select(F.lit("erp").alias("source"), F.lit("orders").alias("entity"), "_wm")
+    new = quality.union_all([
+        landing.erp_orders(ctx, since, SIM_D).select(F.lit("erp").alias("source"), F.lit("orders").alias("entity"), "_wm"),
+        landing.erp_order_items(ctx, since, SIM_D).select(F.lit("erp").alias("source"), F.lit("order_items").alias("entity"), "_wm"),
+        landing.erp_payments(ctx, since, SIM_D).select(F.lit("erp").alias("source"), F.lit("payments").alias("entity"), "_wm"),
+    ])
     return ops.watermark_advance(prev, new)
 
 
