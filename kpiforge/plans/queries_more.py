@@ -107,6 +107,43 @@ def kpi_breakdown(ctx: Ctx) -> DataFrame:
     return query.breakdown(_monthly_rows(ctx), "month", BREAKDOWN_START, BREAKDOWN_END)
 
 
+def _breakdown_sql(rows: str, start: date, end: date, p_start: date, p_end: date) -> str:
+    cur = f"period BETWEEN DATE '{start}' AND DATE '{end}'"
+    prev = f"period BETWEEN DATE '{p_start}' AND DATE '{p_end}'"
+    return f"""SELECT *, row_number() OVER (PARTITION BY kpi_key, dimension
+                 ORDER BY change_pct IS NULL, abs(change_pct) DESC, dimension_value) AS position
+        FROM (
+          SELECT kpi_key, dimension, dimension_value, coalesce(cur_entity, prev_entity) AS entity_id,
+                 cur AS current, prev AS previous,
+                 CASE WHEN cur IS NOT NULL AND prev IS NOT NULL THEN round(cur - prev, 6) END AS change_abs,
+                 CASE WHEN cur IS NOT NULL AND prev IS NOT NULL AND prev <> 0 THEN round((cur - prev) / abs(prev) * 100, 2) END AS change_pct
+          FROM (
+            SELECT *, {_wv('c')} AS cur, {_wv('p')} AS prev FROM (
+              SELECT kpi_key, dimension, dimension_value,
+                     max(entity_id) FILTER (WHERE {cur}) AS cur_entity, max(entity_id) FILTER (WHERE {prev}) AS prev_entity,
+                     count(*) FILTER (WHERE {cur}) AS c_rows, count(*) FILTER (WHERE {prev}) AS p_rows,
+                     sum(numerator) FILTER (WHERE {cur}) AS c_num, sum(denominator) FILTER (WHERE {cur}) AS c_den,
+                     sum(numerator) FILTER (WHERE {prev}) AS p_num, sum(denominator) FILTER (WHERE {prev}) AS p_den,
+                     bool_and(aggregation = 'sum') FILTER (WHERE {cur}) AS c_sum,
+                     bool_and(aggregation = 'sum') FILTER (WHERE {prev}) AS p_sum
+              FROM {rows} WHERE period BETWEEN DATE '{p_start}' AND DATE '{end}'
+              GROUP BY kpi_key, dimension, dimension_value) a) b) c"""
+
+
+DAY_START, DAY_END = query.default_window("day", SIM_D)
+_DP_START, _DP_END = query.previous_window("day", DAY_START, DAY_END)
+
+
+@register_lazy(
+    "kpi_breakdown_daily",
+    with_ctes(_breakdown_sql("daily_rows", DAY_START, DAY_END, _DP_START, _DP_END), "daily_rows"),
+)
+def kpi_breakdown_daily(ctx: Ctx) -> DataFrame:
+    """Q03/Q04/F09 (day grain, default window): the last 90 days against the 90 before, every
+    KPI and dimension member, one scan."""
+    return query.breakdown(_daily_rows(ctx), "day", DAY_START, DAY_END)
+
+
 @register_lazy(
     "breakdown_presentation",
     f"""SELECT b.kpi_key, b.dimension, b.dimension_value,
