@@ -162,6 +162,27 @@ def context_document(week: DataFrame, monthly: DataFrame, anomalies: DataFrame)
     return doc.select("as_of", "data_class", briefing.alias("briefing_severity"), F.to_json(body).alias("document"))
 
 
+def briefing_events(documents: DataFrame) -> DataFrame:
+    """One 'briefing' insight per as-of day from its context document (severity from E12,
+    class from A27); ids and times derived from the dedup key, like the other insights."""
+    key = F.concat_ws(":", F.lit("briefing"), F.lit("-"), F.lit("-"), F.lit("day"), F.col("as_of").cast("string"), F.col("as_of").cast("string"))
+    h = F.sha2(key, 256)
+    event_id = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return documents.select(
+        event_id.alias("event_id"),
+        F.lit("insight").alias("event_type"),
+        key.alias("dedup_key"),
+        F.lit("briefing").alias("type"),
+        F.lit(None).cast("string").alias("kpi"),
+        F.col("as_of").alias("period_start"),
+        F.col("as_of").alias("period_end"),
+        F.col("briefing_severity").alias("severity"),
+        "data_class",
+        F.to_timestamp_ntz(F.concat(F.date_add("as_of", 1).cast("string"), F.lit(" 07:00:00"))).alias("created_at"),
+        F.col("document").alias("payload"),
+    )
+
+
 def entity_split(entity: Column) -> tuple[Column, Column]:
     """(type, key) of a '<type>:<key>' id, split at the first ':'."""
     return F.substring_index(entity, ":", 1), F.regexp_extract(entity, r"^[^:]*:(.*)$", 1)

@@ -114,6 +114,18 @@ def context_document(ctx: Ctx) -> DataFrame:
     return analyst.context_document(analyst.week_change(ctx), analyst.monthly_entries(ctx), anomalies)
 
 
+@register("latest_briefing")
+def latest_briefing(ctx: Ctx) -> DataFrame:
+    """The newest briefing a public/internal reader may see (one briefing per
+    as-of day derived from its context document; rows-only: the payload is Spark JSON)."""
+    anomalies = queries_more.monthly_insights(ctx).filter(
+        (F.col("type") == "anomaly") & F.col("data_class").isin(analyst.ALLOWED_CLASSES)
+    )
+    docs = analyst.context_document(analyst.week_change(ctx), analyst.monthly_entries(ctx), anomalies)
+    briefings = analyst.briefing_events(docs).filter(F.col("data_class").isin(analyst.ALLOWED_CLASSES))
+    return briefings.orderBy(F.col("period_end").desc(), F.col("created_at").desc(), "event_id").limit(1)
+
+
 @register("highest_class", with_ctes(
     """SELECT period_start, coalesce(arg_max(data_class, CASE data_class WHEN 'confidential' THEN 2 WHEN 'internal' THEN 1
                                                    WHEN 'public' THEN 0 END), 'public') AS data_class, count(*) AS insights

@@ -65,6 +65,19 @@ def test_due_batch_limit_and_order(spark):
     assert [r.event_id for r in due] == ["e1"]
 
 
+def test_briefing_events(spark):
+    from kpiforge.operators.analyst import briefing_events
+
+    docs = spark.createDataFrame(
+        [(date(2018, 3, 31), "internal", "warning", "{}")], "as_of date, data_class string, briefing_severity string, document string"
+    )
+    r = briefing_events(docs).first()
+    assert r.dedup_key == "briefing:-:-:day:2018-03-31:2018-03-31"
+    assert (r.type, r.severity, r.data_class, r.kpi) == ("briefing", "warning", "internal", None)
+    assert r.created_at == datetime(2018, 4, 1, 7, 0)
+    assert len(r.event_id) == 36
+
+
 def test_dedup_key_sorts_entity_ids(spark):
     df = spark.createDataFrame(
         [("anomaly", "gmv", "category", "category:toys", date(2018, 1, 1), date(2018, 1, 1), "day")],
