@@ -82,13 +82,13 @@ _LINES = "string_split(text, chr(10))"
 
 OP1_SQL = f"""
 WITH pages AS (SELECT source AS host, count(*) AS n FROM documents GROUP BY ALL),
-lines AS (SELECT source AS host, unnest(list_distinct(list_filter({_LINES}, x -> regexp_matches(x, '{_WORD}')))) AS line
+lines AS (SELECT source AS host, unnest(list_distinct(list_filter({_LINES}, lambda x: regexp_matches(x, '{_WORD}')))) AS line
           FROM documents),
 seen AS (SELECT host, line, count(*) AS c FROM lines GROUP BY ALL),
 gone AS (SELECT s.host, list(line) AS lines FROM seen s JOIN pages p ON s.host IS NOT DISTINCT FROM p.host
          WHERE c >= {line_dedup.MIN_PAGES} AND c > {line_dedup.RATIO}::DOUBLE * n GROUP BY s.host),
 cleaned AS (SELECT doc_id, source, text, {_LINES} AS own,
-                   list_filter({_LINES}, x -> NOT list_contains(coalesce(g.lines, []), x)) AS kept
+                   list_filter({_LINES}, lambda x: NOT list_contains(coalesce(g.lines, []), x)) AS kept
             FROM documents d LEFT JOIN gone g ON d.source IS NOT DISTINCT FROM g.host)
 SELECT doc_id, source, coalesce(len(own), 0)::BIGINT AS n_lines, coalesce(len(own) - len(kept), 0)::BIGINT AS n_dropped,
        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text
@@ -129,10 +129,10 @@ cover AS (SELECT doc_id, sum(least({quality.WINDOW}, coalesce(next_ - i, {qualit
 facts AS (
   SELECT w.doc_id, text, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         (len(list_filter(lines, x -> regexp_matches(x, '{_WORD}')))
-          - len(list_distinct(list_filter(lines, x -> regexp_matches(x, '{_WORD}')))))::BIGINT AS n_dup_lines,
+         (len(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')))
+          - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')))))::BIGINT AS n_dup_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-         array_to_string(list_filter(lines, x -> NOT regexp_matches(x, '{_WORD}') OR NOT (
+         array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{_WORD}') OR NOT (
              right(rtrim(x, {_SPACES}), 1) NOT IN ({_TERMINAL})
              OR length(x) - length(regexp_replace(x, '[{quality.NAV_MARKS}]', '', 'g'))
                 > {quality.NAV_SHARE}::DOUBLE * len(regexp_extract_all(x, '{_WORD}+'))
