@@ -193,7 +193,7 @@ def nearest(
     low, high = np.array([b[2 : 2 + dims] for b in boxes]), np.array([b[2 + dims :] for b in boxes])
 
     def visit(probes: DataFrame) -> DataFrame:
-        def run(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(asked):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
             own = own.sort_values("x_id")

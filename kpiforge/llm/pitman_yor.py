@@ -26,9 +26,9 @@ from kpiforge.llm.bytescan import hashes, running, texts_of
 from kpiforge.llm.common import SPACE, cut, stored
 
 MODULUS, HELD = 7, 2
-BLOCK = 4_000_000
+BLOCK = 3_000_000
 #: Text bytes of one part of the vocabulary, and the most parts.
-PART_BYTES = 1 << 24
+PART_BYTES = 12 << 20
 MAX_PARTS = 1 << 16
 PARENTS, CONTEXTS = 64, 4096
 STRENGTH = 1.0
@@ -100,7 +100,10 @@ class _Block:
         count = np.bincount(pair, weights=np.repeat(train, length), minlength=len(pairs)).astype(np.int64)
         of_word = pairs // CONTEXTS
         per_word = np.bincount(of_word, minlength=len(words)).astype(np.int32)
-        yield ("docs", name, -1, length.astype(np.int32).tobytes(), pair.astype(np.int32).tobytes(), per_word.tobytes(), b"", list(self.ids))
+        # the bytes of the pair numbers by place, so that the high ones compress
+        planes = pair.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+        ids = [{"v": i} for i in self.ids]
+        yield ("docs", name, -1, length.astype(np.int32).tobytes(), planes, per_word.tobytes(), np.packbits(~train).tobytes(), ids)
         part = _part(words, parts)
         first = np.concatenate([[0], np.cumsum(per_word)])
         bounds = np.flatnonzero(np.diff(np.concatenate([[-1], part, [parts]])))
@@ -116,7 +119,7 @@ def _part(words: np.ndarray, parts: int) -> np.ndarray:
 def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int) -> DataFrame:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     kind = source.schema["id"].dataType
-    schema = f"kind string, block string, part int, a binary, b binary, c binary, d binary, ids array<{kind.simpleString()}>"
+    schema = f"kind string, block string, part int, a binary, b binary, c binary, d binary, ids array<struct<v:{kind.simpleString()}>>"
 
     def run(batches):
         from pyspark import TaskContext
@@ -125,7 +128,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int)
 
         def flush():
             names = ["kind", "block", "part", "a", "b", "c", "d", "ids"]
-            types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4, pa.list_(id_type)]
+            types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.struct([("v", id_type)]))]
             for row in own.rows(f"{at}-{n}", parts):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
@@ -284,7 +287,7 @@ def score(
     tables = _blocks(docs, id_col, text_col, parts, block)
     pairs = tables.where("kind = 'pairs'").select("block", "part", "a", "b", "c", "d")
 
-    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         all_ = [_Pairs.read(*r) for r in rows[["a", "b", "c", "d"]].itertuples(index=False)]
         return pd.DataFrame([[key[0], *_Pairs.merged(all_).bytes()]], columns=["part", "a", "b", "c", "d"])
 
@@ -329,7 +332,7 @@ def score(
         history.append(after if len(after) else history[0])
     shared = sc.broadcast((facts, history))
 
-    def predicted(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def predicted(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         facts_, past = shared.value
         p = _Pairs.read(*own[["a", "b", "c", "d"]].iloc[0]) if len(own) else _Pairs.merged([_Pairs.read(b"", b"", b"", b"")])
         chain = _Chain(p, facts_, [seed, int(key[0])])
@@ -358,19 +361,21 @@ def score(
     result = (
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    texts = tables.where("kind = 'docs'").select("block", "a", "b", "c", "ids")
+    texts = tables.where("kind = 'docs'").select("block", "a", "b", "c", "d", "ids")
     n_all, v_all = facts["N"], facts["V"]
 
-    def total(key, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def total(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         row, got = own.iloc[0], got.sort_values("part")
-        length, pair, per_word = (np.frombuffer(row[c], np.int32) for c in "abc")
+        length, per_word = np.frombuffer(row["a"], np.int32), np.frombuffer(row["c"], np.int32)
+        pair = np.ascontiguousarray(np.frombuffer(row["b"], np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+        held = np.unpackbits(np.frombuffer(row["d"], np.uint8), count=len(length)).astype(bool)
         logp = np.concatenate([np.frombuffer(x, np.float32) for x in got["p"]]).astype(np.float64)
         c = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in got["n"]]), per_word)
         base = np.log10((c + 1) / (n_all + 1 * (v_all + 1)))
         first = np.concatenate([[0], np.cumsum(length)[:-1]])
-        ids = list(row["ids"])
+        ids = [x["v"] for x in row["ids"]]
         return pd.DataFrame({
-            "id": pd.Series(ids, dtype=object), "held_out": [held_out(i) for i in ids], "n_tokens": length.astype(np.int64),
+            "id": pd.Series(ids, dtype=object), "held_out": held, "n_tokens": length.astype(np.int64),
             "n_known": np.add.reduceat((c > 0).astype(np.int64)[pair], first), "train_tokens": np.int64(n_all),
             "base_score": np.add.reduceat(base[pair], first), "score": np.add.reduceat(logp[pair], first),
         })

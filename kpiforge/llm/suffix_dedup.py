@@ -29,11 +29,11 @@ from kpiforge.llm.common import stored
 
 WINDOW = 200
 #: Text bytes of a block; bytes of all texts for one range of hashes, and the most ranges.
-BLOCK = 1 << 24
-RANGE_BYTES = 1 << 24
+BLOCK = 1 << 23
+RANGE_BYTES = 1 << 23
 MAX_RANGES = 1 << 14
 #: Members of a group that one task compares; the windows of larger groups are counted by Spark.
-GROUP_MAX = 20_000
+GROUP_MAX = 50_000
 #: Up to this many members, a group is compared pair by pair from its prefix lengths.
 PAIRS_MAX = 12
 #: What is sent back to the blocks is broadcast up to this many bytes, beyond that it is shuffled.
@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, lengths: np.ndarray, window: int):
     first |= np.concatenate([[True], ~inside[:-1]]) & inside
     s0 = np.flatnonzero(first)
     ends = np.flatnonzero(inside & np.concatenate([first[1:] | ~inside[1:], [True]]))
-    return np.array([at[s0], s0, ends]), h[at[s0]]
+    return np.array([at[s0], s0, ends]), mixed(h[at[s0]])  # anchors have small hashes; ranges need even ones
 
 
 class _Block:
@@ -283,7 +283,7 @@ def dedup(
     half, width = window // 2, window - window // 2 + 1
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    schema = f"kind string, block string, range int, a binary, b binary, ids array<{kind}>, c binary"
+    schema = f"kind string, block string, range int, a binary, b binary, ids array<struct<v:{kind}>>, c binary"
 
     def read(batches):
         from pyspark import TaskContext
@@ -293,8 +293,8 @@ def dedup(
 
         def flush():
             own = _Block(ids, texts, window)
-            types = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_type), pa.binary()]
-            rows = [("docs", f"{task}-{n}", -1, own.data, own.lengths.tobytes(), ids, own.where.astype(np.int32).tobytes() + own.index.astype(np.int32).tobytes())]
+            types = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("v", id_type)])), pa.binary()]
+            rows = [("docs", f"{task}-{n}", -1, own.data, own.lengths.tobytes(), [{"v": i} for i in ids], own.where.astype(np.int32).tobytes() + own.index.astype(np.int32).tobytes())]
             r = _range(own.known, ranges)
             cuts = np.flatnonzero(np.diff(np.concatenate([[-1], r, [ranges]])))
             for x, y in zip(cuts[:-1], cuts[1:]):
@@ -318,7 +318,7 @@ def dedup(
     grams = table.where("kind = 'grams'").select("block", "range", "a", "b")
     blocks = table.where("kind = 'docs'").select("block", "a", "b", "ids", "c")
 
-    def recurring(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def recurring(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         known = [np.frombuffer(a, np.uint64) for a in rows["a"]]
         many = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)).astype(bool) for k, b in zip(known, rows["b"])]
         _, inverse, counts = np.unique(np.concatenate(known), return_inverse=True, return_counts=True)
@@ -350,61 +350,79 @@ def dedup(
                     own = by_part.setdefault(key[0], [])
                     record[known[key]] = len(own)
                     own.append((key[1], key[2], len(known[key]) > 1))
-                out = [("refs", r.block, -1, chosen.astype(np.int32).tobytes(), part.astype(np.int32).tobytes(), record.tobytes(), b"", b"", b"")]
+                out = [("refs", r.block, -1, a.astype(np.int32).tobytes(), part.astype(np.int32).tobytes(), record.tobytes(), b"", b"", b"")]
                 out += [("runs", r.block, p, *Run.of(x).fields()) for p, x in by_part.items()]
                 del known, order, by_part
                 yield pd.DataFrame(out, columns=["kind", "block", "range", *Run.FIELDS])
 
     exchanged = stored(_by_block(blocks.select("block", "a", "c"), marks, F.lit(0) + F.size("back") * 16 + F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"]))).mapInPandas(runs, run_schema), by="kind")
 
-    def decide(key, rows: pd.DataFrame) -> pd.DataFrame:
-        held = [Run(*r) for r in rows[list(Run.FIELDS)].itertuples(index=False)]
-        lefts, names = [h.lefts() for h in held], rows["block"].tolist()
+    columns = ["block", "part", "bits", "window", "record", "offset"]
+
+    def decide(part: int, names: list[str], held: list[Run]) -> Iterator[pd.DataFrame]:
+        lefts = [h.lefts() for h in held]
         verdict = [np.zeros((len(h.lcp), width), dtype=bool) for h in held]
-        at, group, late, deferring = [0] * len(held), [], [], False
+        at, group, deferring = [0] * len(held), [], False
 
-        def close():
-            nonlocal group, deferring
+        def close() -> list[tuple]:
+            """Judges the group, or, of one that is too large, passes its windows on."""
+            late = []
             if deferring:
                 h = _window_hashes(group, window)
-                x, i = np.nonzero(h)
-                late.append((h[x, i].view(np.int64), np.array([g[4] for g in group])[x], np.array([g[5] for g in group])[x], i))
+                run, n = np.array([g[4] for g in group]), np.array([g[5] for g in group])
+                for x in np.unique(run):
+                    mine = np.flatnonzero(run == x)
+                    m, o = np.nonzero(h[mine])
+                    late.append((names[x], part, b"", h[mine][m, o].view(np.int64), n[mine][m], o))
+            if deferring or len(group) == 1:
                 for g in group:
                     if g[3]:
                         verdict[g[4]][g[5], window - len(g[1]) : len(g[2]) + 1] = True
-            elif len(group) > 1 or group and group[0][3]:
+            elif group:
                 for g, b in zip(group, _group_bits(group, window)):
                     verdict[g[4]][g[5]] |= b
-            group = []
+            group.clear()
+            return late
 
         for lcp, suffix, r in merge([h.suffixes() for h in held]):
-            if lcp < half:
-                close()
-                deferring = False
-            elif len(group) >= group_max:
-                deferring = True
-                close()
+            if lcp < half or len(group) >= group_max:
+                deferring = deferring or lcp >= half
+                late = close()
+                if late:
+                    yield pd.DataFrame(late, columns=columns)
+                deferring = lcp >= half
             n = at[r]
             at[r] += 1
             group.append((lcp, suffix, lefts[r][n], held[r].many[n], r, n))
-        close()
-        out = [(names[r], key[0], np.packbits(v, axis=1).tobytes() if v.any() else b"", None, None, None) for r, v in enumerate(verdict)]
-        for h, r, n, i in late:
-            for x in np.unique(r):
-                m = r == x
-                out.append((names[x], key[0], b"", h[m], n[m].astype(np.int64), i[m].astype(np.int64)))
-        return pd.DataFrame(out, columns=["block", "part", "bits", "window", "record", "offset"])
-
-    found = exchanged.where("kind = 'runs'").groupBy("range").applyInPandas(
-        decide, "block string, part int, bits binary, window array<long>, record array<long>, offset array<long>"
-    )
+        late = close()
+        late += [(names[r], part, np.packbits(v, axis=1).tobytes() if v.any() else b"", None, None, None) for r, v in enumerate(verdict)]
+        yield pd.DataFrame(late, columns=columns)
+
+    def decided(frames):
+        part, names, held = None, [], []
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if r.range != part:
+                    if held:
+                        yield from decide(part, names, held)
+                    part, names, held = r.range, [], []
+                names.append(r.block)
+                held.append(Run(*(getattr(r, f) for f in Run.FIELDS)))
+        if held:
+            yield from decide(part, names, held)
+
+    found = (
+        exchanged.where("kind = 'runs'").select("range", "block", *Run.FIELDS)
+        .repartition("range").sortWithinPartitions("range")
+        .mapInPandas(decided, "block string, part int, bits binary, window array<long>, record array<long>, offset array<long>")
+    )
     found = stored(found)
     late = found.where("window is not null").select("block", "part", F.explode(F.arrays_zip("window", "record", "offset")).alias("w")).select("block", "part", "w.*")
     twice = late.groupBy("window").count().where("count > 1").select("window")
     late = late.join(twice, "window").groupBy("block", "part").agg(F.collect_list(F.struct("record", "offset")).alias("extra"))
     verdicts = found.where("window is null").select("block", "part", "bits").join(late, ["block", "part"], "left")
     verdicts = verdicts.groupBy("block").agg(F.collect_list(F.struct("part", "bits", "extra")).alias("back"))
-    refs = exchanged.where("kind = 'refs'").select("block", *[F.col(f).alias(n) for f, n in zip(Run.FIELDS, ("chosen", "part", "record"))])
+    refs = exchanged.where("kind = 'refs'").select("block", *[F.col(f).alias(n) for f, n in zip(Run.FIELDS, ("anchor", "part", "record"))])
     back = stored(refs.join(verdicts, "block", "left"))
     result = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
@@ -414,7 +432,7 @@ def dedup(
                 lengths, data = np.frombuffer(r.b, np.int64), np.frombuffer(r.a, np.uint8)
                 dup = _repeated(r, len(data), width)
                 out, begin = [], 0
-                for i, n in zip(r.ids, lengths.tolist()):
+                for i, n in zip((x["v"] for x in r.ids), lengths.tolist()):
                     own = data[begin : begin + n]
                     starts = np.flatnonzero(dup[begin : begin + n])
                     begin += n
@@ -431,8 +449,8 @@ def dedup(
                     out.append((i, n, n - len(own), len(spans), hashlib.sha256(own.tobytes()).hexdigest(), spans))
                 yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"id": object})
 
-    weight = F.length("chosen") * 3 + F.coalesce(F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"])), F.lit(0))
-    return _by_block(blocks, back, weight).mapInPandas(cut_out, result).withColumnRenamed("id", id_col)
+    weight = F.length("anchor") * 3 + F.coalesce(F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"])), F.lit(0))
+    return _by_block(blocks.drop("c"), back, weight).mapInPandas(cut_out, result).withColumnRenamed("id", id_col)
 
 
 def _anchors_of(c: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -443,10 +461,9 @@ def _anchors_of(c: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _repeated(r, n: int, width: int) -> np.ndarray:
     """Whether the window that starts at each byte of the block occurs again."""
     dup = np.zeros(n, dtype=bool)
-    if r.chosen is None:
+    if r.anchor is None:
         return dup
-    chosen, part, record = (np.frombuffer(x, np.int32).astype(np.int64) for x in (r.chosen, r.part, r.record))
-    anchor = _anchors_of(r.c)[0][0][chosen]
+    anchor, part, record = (np.frombuffer(x, np.int32).astype(np.int64) for x in (r.anchor, r.part, r.record))
     for x in r.back if r.back is not None else []:
         mine = np.flatnonzero(part == x["part"])
         rows = -(-width // 8)

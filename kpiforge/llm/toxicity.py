@@ -20,7 +20,7 @@ from kpiforge.llm.common import cut, fresh
 MAX_TRAIN = 20_000
 #: Features kept: those that tell the grades apart best, in at least MIN_DOCS training texts.
 MAX_FEATURES = 4096
-MIN_DOCS = 5
+MIN_DOCS = 3
 BITS = 24
 PREFIXES = (4, 5, 6)
 EDGES = b".,;:!?()[]{}\"'<>|*#$%&"
