@@ -27,30 +27,40 @@ LEAST_GRANT = 64
 PARTITION_TOKENS = 1 << 22
 #: Beyond this many sources, queues are groups of sources (by hash).
 MAX_QUEUES = 4096
-#: Words remembered by a Python worker, from task to task.
-MAX_MEMO = 1 << 20
+#: Spellings remembered by a Python worker, from task to task (and twice as many encodings).
+MAX_MEMO = 1 << 19
 
 
 class WordIds(dict):
-    """Word -> its ids as bytes. Tokens never span white space, so words are encoded one by one."""
+    """Word -> its ids as bytes. Tokens never span white space, so words are encoded one by one.
+
+    Spellings of a word that differ in case or in end marks share one encoding: the vocabulary is lower
+    case, and letters and digits never share a token with end marks.
+    """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.dtype, self.core = Tokenizer.from_file(path), dtype, {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MAX_MEMO:
             self.clear()
-        low, head = word.lower() if b"<" not in word else word, word.rstrip(b".,")
-        if low != word:  # the vocabulary is lower case; strings of special tokens are left alone
-            self[word] = out = self[low]
-            return out
-        if head != word and head[-1:].isalnum():  # letters and digits never share a token with end marks
-            self[word] = out = self[head] + self[word[len(head) :]]
-            return out
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, dtype=self.dtype).tobytes()
+        low = word.lower() if b"<" not in word else word  # strings of special tokens are left alone
+        head = low.rstrip(b".,")
+        if head == low or not head[-1:].isalnum():
+            self[word] = out = self._encoded(low)
+        else:
+            self[word] = out = self._encoded(head) + self._encoded(low[len(head) :])
+        return out
+
+    def _encoded(self, word: bytes) -> bytes:
+        out = self.core.get(word)
+        if out is None:
+            if len(self.core) >= 2 * MAX_MEMO:
+                self.core.clear()
+            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            self.core[word] = out = np.array(ids, dtype=self.dtype).tobytes()
         return out
 
 

@@ -36,7 +36,7 @@ MAX_RANGES = 1 << 14
 GROUP_MAX = 50_000
 #: Up to this many members, a group is compared pair by pair from its prefix lengths.
 PAIRS_MAX = 12
-#: What is sent back to the blocks is broadcast up to this many bytes, beyond that it is shuffled.
+#: The marks of recurring anchors are broadcast up to this many bytes, beyond that they are shuffled.
 BROADCAST_BYTES = 32 << 20
 _SLICE = 1 << 20
 
@@ -262,7 +262,7 @@ def _group_bits(group: list, window: int) -> np.ndarray:
 
 
 def _by_block(blocks: DataFrame, back: DataFrame, size) -> DataFrame:
-    """Left join of the blocks with what came back for them (block, back); measured, then broadcast or shuffled."""
+    """Left join of the blocks with a bit per anchor; its size is measured, and it is broadcast or shuffled."""
     total = back.agg(F.sum(size)).first()[0] or 0
     return blocks.join(F.broadcast(back) if total <= BROADCAST_BYTES else back.hint("merge"), "block", "left")
 
@@ -449,8 +449,8 @@ def dedup(
                     out.append((i, n, n - len(own), len(spans), hashlib.sha256(own.tobytes()).hexdigest(), spans))
                 yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"id": object})
 
-    weight = F.length("anchor") * 3 + F.coalesce(F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"])), F.lit(0))
-    return _by_block(blocks.drop("c"), back, weight).mapInPandas(cut_out, result).withColumnRenamed("id", id_col)
+    joined = blocks.drop("c").join(back.hint("merge"), "block", "left")
+    return joined.mapInPandas(cut_out, result).withColumnRenamed("id", id_col)
 
 
 def _anchors_of(c: bytes) -> tuple[np.ndarray, np.ndarray]:
