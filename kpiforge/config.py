@@ -82,7 +82,7 @@ MAX_FALSE_ALARMS_PER_MONTH = 2.0
 
 # --- FIXED: outbox -------------------------------------------------------------------------
 SCHEMA_VERSION = "insight.v1"
-EVENT_SOURCE = "business-intelligence-system"
+EVENT_SOURCE = "kpiforge"
 MAX_ATTEMPTS = 5
 BASE_BACKOFF_MINUTES = 1
 BATCH_SIZE = 100

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.context import Ctx, model
+from kpiforge.functions.columns import severity_rank
 from kpiforge.operators import anomaly, kpi
 from kpiforge.operators.outbox import format_signed_pct, format_value
 
@@ -111,7 +112,7 @@ def top_drivers(ctx: Ctx) -> DataFrame:
 def monthly_entries(ctx: Ctx) -> DataFrame:
     """Every complete month's total of the monthly KPIs, formatted."""
     reg = anomaly.registry(ctx).filter((F.col("grain") == "month") & F.col("data_class").isin(ALLOWED_CLASSES))
-    reg = F.broadcast(reg.select(F.col("key").alias("kpi_key"), "label", "unit", "data_origin"))
+    reg = F.broadcast(reg.select(F.col("key").alias("kpi_key"), "label", "unit", "data_origin", "data_class"))
     m = kpi.kpi_monthly(ctx).filter((F.col("dimension") == "total") & F.col("is_complete")).join(reg, "kpi_key")
     return m.select(
         "kpi_key", "month_start",
@@ -119,6 +120,7 @@ def monthly_entries(ctx: Ctx) -> DataFrame:
         "label", "data_origin",
         F.date_format("month_start", "MM/yyyy").alias("month"),
         format_value(F.col("value"), F.col("unit")).alias("value_text"),
+        "data_class",
     )
 
 
@@ -129,27 +131,38 @@ def highest_class(classes: Column) -> Column:
 
 
 def context_document(week: DataFrame, monthly: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """One nested document per as-of day (KPI entries, the latest complete month,
-    anomalies of the last two days, highest data class, briefing severity), as JSON."""
+    """One nested document per as-of day (KPI entries, the latest complete month, up to
+    MAX_ANOMALIES anomalies of the last two days by severity, then age), as JSON. Its data class is the
+    highest of everything that it holds."""
     kpis = week.groupBy("as_of").agg(
         F.sort_array(F.collect_list(F.struct("id", "label", "last_7_days_text", "previous_7_days_text", "change_text"))).alias("kpis"),
-        highest_class(F.col("data_class")).alias("data_class"),
+        highest_class(F.col("data_class")).alias("week_class"),
     )
     latest_month = F.when(F.last_day("as_of") == F.col("as_of"), F.trunc("as_of", "month")).otherwise(
         F.add_months(F.trunc("as_of", "month"), -1)
     )
     k = kpis.select("*", latest_month.alias("month_start"))
     mon = monthly.groupBy("month_start").agg(
-        F.sort_array(F.collect_list(F.struct("id", "label", "month", "value_text"))).alias("monthly_kpis")
+        F.sort_array(F.collect_list(F.struct("id", "label", "month", "value_text"))).alias("monthly_kpis"),
+        highest_class(F.col("data_class")).alias("month_class"),
     )
-    an = anomalies.select(F.col("period_end").alias("as_of"), "event_id", "severity", "summary").unionByName(
-        anomalies.select(F.date_add("period_end", 1).alias("as_of"), "event_id", "severity", "summary")
+    fields = ["event_id", "severity", "summary", "period_end", F.col("data_class").alias("own_class")]
+    an = anomalies.select(F.col("period_end").alias("as_of"), *fields).unionByName(
+        anomalies.select(F.date_add("period_end", 1).alias("as_of"), *fields)
     )
+    order = Window.partitionBy("as_of").orderBy(severity_rank(F.col("severity")).desc(), F.col("period_end").desc(), "event_id")
+    an = an.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_ANOMALIES)
     an = an.groupBy("as_of").agg(
-        F.sort_array(F.collect_list(F.struct(F.concat(F.lit("insight:"), F.col("event_id")).alias("id"), "severity", "summary"))).alias("anomalies"),
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("place", F.concat(F.lit("insight:"), F.col("event_id")).alias("id"), "severity", "summary"))),
+            lambda a: F.struct(a["id"].alias("id"), a["severity"].alias("severity"), a["summary"].alias("summary")),
+        ).alias("anomalies"),
         F.bool_or(F.col("severity") == "critical").alias("any_critical"),
+        highest_class(F.col("own_class")).alias("anomaly_class"),
     )
-    doc = k.join(mon, "month_start", "left").join(an, "as_of", "left")
+    classes = F.array_compact(F.array("week_class", "month_class", "anomaly_class"))
+    highest = F.when(F.array_contains(classes, "confidential"), "confidential").when(F.array_contains(classes, "internal"), "internal")
+    doc = k.join(mon, "month_start", "left").join(an, "as_of", "left").withColumn("data_class", highest.otherwise("public"))
     briefing = F.when(F.coalesce(F.col("any_critical"), F.lit(False)), F.lit("warning")).otherwise(F.lit("info"))
     body = F.struct(
         F.col("as_of").cast("string").alias("date"),
@@ -212,3 +225,4 @@ def ingest_checks(log: DataFrame) -> DataFrame:
 
 
 MAX_INSIGHT_LINK_DAYS = {"day": 30, "month": 365}
+MAX_ANOMALIES = 20

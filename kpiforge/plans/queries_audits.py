@@ -9,6 +9,7 @@ from kpiforge.context import Ctx
 from kpiforge.operators import analyst, anomaly, audits, outbox
 from kpiforge.plans.catalog import register
 from kpiforge.plans.oracle_ctes import with_ctes
+from kpiforge.plans.queries_context import documents
 
 
 def _turn_pairs(ctx: Ctx) -> tuple[DataFrame, DataFrame]:
@@ -51,13 +52,21 @@ _PROVIDERS_SQL = ", ".join(f"('{name}')" for name, _ in audits.PROVIDERS)
 
 @register("class_route_audit", with_ctes(
     f"""SELECT p.as_of, p.data_class, v.provider, CASE v.provider {_ALLOWED_SQL} END AS allowed
-        FROM (SELECT as_of, coalesce(arg_max(data_class, CASE data_class WHEN 'confidential' THEN 2 WHEN 'internal' THEN 1
-                                                       WHEN 'public' THEN 0 END), 'public') AS data_class
-              FROM week_change GROUP BY as_of) p
-        CROSS JOIN (VALUES {_PROVIDERS_SQL}) v(provider)""", "week_change"))
+        FROM (SELECT as_of, CASE max(rank) WHEN 2 THEN 'confidential' WHEN 1 THEN 'internal' ELSE 'public' END AS data_class
+              FROM (SELECT as_of, CASE data_class WHEN 'confidential' THEN 2 WHEN 'internal' THEN 1 ELSE 0 END AS rank
+                    FROM (SELECT as_of, data_class FROM week_change
+                          UNION ALL
+                          SELECT w.as_of, m.data_class FROM (SELECT DISTINCT as_of FROM week_change) w JOIN monthly_entries m
+                            ON m.month_start = CASE WHEN last_day(w.as_of) = w.as_of THEN date_trunc('month', w.as_of)
+                                                    ELSE date_trunc('month', w.as_of) - INTERVAL 1 MONTH END
+                          UNION ALL
+                          SELECT w.as_of, i.data_class FROM (SELECT DISTINCT as_of FROM week_change) w JOIN insight_rows i
+                            ON w.as_of - i.period_end BETWEEN 0 AND 1
+                          WHERE i.type = 'anomaly' AND i.data_class IN ('public', 'internal')) x) y
+              GROUP BY as_of) p
+        CROSS JOIN (VALUES {_PROVIDERS_SQL}) v(provider)""", "week_change", "monthly_entries", "insight_rows"))
 def class_route_audit(ctx: Ctx) -> DataFrame:
-    """The data class of each day's analyst prompt against every provider's
-    clearance (prompt class = highest class of the KPIs it contains)."""
-    w = analyst.week_change(ctx)
-    prompts = w.groupBy("as_of").agg(analyst.highest_class(F.col("data_class")).alias("data_class"))
+    """The data class of each day's analyst prompt against every provider's clearance
+    (prompt class = highest class of all that its context document holds)."""
+    prompts = documents(ctx).select("as_of", "data_class")
     return audits.route_audit(prompts)

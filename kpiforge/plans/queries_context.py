@@ -82,7 +82,7 @@ cte("top_drivers", ["kpi_daily", "daily_registry"], f"""
 
 cte("monthly_entries", ["kpi_monthly", "registry"], f"""
     SELECT m.kpi_key, m.month_start, 'kpi:' || m.kpi_key AS id, r.label, r.data_origin, strftime(m.month_start, '%m/%Y') AS month,
-           {_fmt_sql('m.value', 'r.unit')} AS value_text
+           {_fmt_sql('m.value', 'r.unit')} AS value_text, r.data_class
     FROM kpi_monthly m JOIN registry r ON r.key = m.kpi_key
     WHERE m.dimension = 'total' AND m.is_complete AND r.grain = 'month' AND r.data_class IN {ALLOWED_SQL}""")
 
@@ -105,23 +105,24 @@ def context_monthly(ctx: Ctx) -> DataFrame:
     return analyst.monthly_entries(ctx)
 
 
-@register("context_document")
-def context_document(ctx: Ctx) -> DataFrame:
-    """The nested analyst context per as-of day as JSON (rows-only check)."""
+def documents(ctx: Ctx) -> DataFrame:
     anomalies = queries_more.monthly_insights(ctx).filter(
         (F.col("type") == "anomaly") & F.col("data_class").isin(analyst.ALLOWED_CLASSES)
     )
     return analyst.context_document(analyst.week_change(ctx), analyst.monthly_entries(ctx), anomalies)
 
 
+@register("context_document")
+def context_document(ctx: Ctx) -> DataFrame:
+    """The nested analyst context per as-of day as JSON (rows-only check)."""
+    return documents(ctx)
+
+
 @register("latest_briefing")
 def latest_briefing(ctx: Ctx) -> DataFrame:
     """The newest briefing a public/internal reader may see (one briefing per
     as-of day derived from its context document; rows-only: the payload is Spark JSON)."""
-    anomalies = queries_more.monthly_insights(ctx).filter(
-        (F.col("type") == "anomaly") & F.col("data_class").isin(analyst.ALLOWED_CLASSES)
-    )
-    docs = analyst.context_document(analyst.week_change(ctx), analyst.monthly_entries(ctx), anomalies)
+    docs = documents(ctx)
     briefings = analyst.briefing_events(docs).filter(F.col("data_class").isin(analyst.ALLOWED_CLASSES))
     return briefings.orderBy(F.col("period_end").desc(), F.col("created_at").desc(), "event_id").limit(1)
 
@@ -156,25 +157,26 @@ def series_with_markers(ctx: Ctx) -> DataFrame:
     )
 
 
+_LINK_FROM_SQL = f"CAST(period_end - CASE grain WHEN 'day' THEN {analyst.MAX_INSIGHT_LINK_DAYS['day'] - 1} ELSE {analyst.MAX_INSIGHT_LINK_DAYS['month'] - 1} END AS DATE)"
+
+
 @register("insight_links", with_ctes(
-    """SELECT kpi_key, entity_id, period_start, split_part(entity_id, ':', 1) AS entity_type,
+    f"""SELECT kpi_key, entity_id, period_start, split_part(entity_id, ':', 1) AS entity_type,
               regexp_extract(entity_id, '^[^:]*:(.*)$', 1) AS entity_key,
-              CAST(period_end - CASE grain WHEN 'day' THEN 30 ELSE 365 END AS DATE) AS link_from, period_end AS link_to,
-              '/kpi/' || kpi_key || '?from=' || CAST(CAST(period_end - CASE grain WHEN 'day' THEN 30 ELSE 365 END AS DATE) AS VARCHAR)
-                || '&to=' || CAST(period_end AS VARCHAR)
-                || CASE WHEN dimension = 'total' THEN '' ELSE '&dim=' || dimension || '&value=' || dimension_value END AS link
+              {_LINK_FROM_SQL} AS link_from, period_end AS link_to,
+              '?kpi=' || kpi_key || CASE WHEN dimension = 'total' THEN '' ELSE '&dim=' || dimension END
+                || '&from=' || CAST({_LINK_FROM_SQL} AS VARCHAR) || '&to=' || CAST(period_end AS VARCHAR) AS link
        FROM detect_monthly""", "detect_monthly"))
 def insight_links(ctx: Ctx) -> DataFrame:
-    """entity type/key of each finding and its deep link (30 days or a year back)."""
+    """entity type/key of each finding and its deep link: a window of 30 days (daily) or
+    365 days (monthly) that ends with the finding, both ends included."""
     d = anomaly.detect_monthly(ctx)
     etype, ekey = analyst.entity_split(F.col("entity_id"))
-    back = F.when(F.col("grain") == "day", F.lit(30)).otherwise(F.lit(365))
-    start = F.date_sub("period_end", back)
-    member = F.when(F.col("dimension") == "total", F.lit("")).otherwise(
-        F.concat(F.lit("&dim="), F.col("dimension"), F.lit("&value="), F.col("dimension_value"))
-    )
-    link = F.concat(F.lit("/kpi/"), F.col("kpi_key"), F.lit("?from="), start.cast("string"), F.lit("&to="),
-                    F.col("period_end").cast("string"), member)
+    days = analyst.MAX_INSIGHT_LINK_DAYS
+    start = F.date_sub("period_end", F.when(F.col("grain") == "day", F.lit(days["day"] - 1)).otherwise(F.lit(days["month"] - 1)))
+    dim = F.when(F.col("dimension") == "total", F.lit("")).otherwise(F.concat(F.lit("&dim="), F.col("dimension")))
+    link = F.concat(F.lit("?kpi="), F.col("kpi_key"), dim, F.lit("&from="), start.cast("string"), F.lit("&to="),
+                    F.col("period_end").cast("string"))
     return d.select("kpi_key", "entity_id", "period_start", etype.alias("entity_type"), ekey.alias("entity_key"),
                     start.alias("link_from"), F.col("period_end").alias("link_to"), link.alias("link"))
 

@@ -20,8 +20,7 @@ register_lazy = functools.partial(register, materialize=False)  # single-plan qu
 # --- fixed parameters of the registered query-layer calls ----------------------------------------
 SIM_D = config.SIM_DATE
 YEAR_START = SIM_D - timedelta(days=364)
-BREAKDOWN_END = query.month_start(SIM_D)
-BREAKDOWN_START = query.add_months(BREAKDOWN_END, -11)
+BREAKDOWN_START, BREAKDOWN_END = query.PeriodWindow.latest("month", SIM_D).bounds
 HISTORY_START = date(1992, 1, 1)
 NOW = datetime.combine(SIM_D, time(6, 0))
 OUTBOX_CUTOFF = SIM_D - timedelta(days=90)
@@ -64,7 +63,7 @@ def kpi_window_value(ctx: Ctx) -> DataFrame:
     return query.window_values(_daily_rows(ctx), YEAR_START, SIM_D)
 
 
-_P_START, _P_END = query.previous_window("month", BREAKDOWN_START, BREAKDOWN_END)
+_P_START, _P_END = query.PeriodWindow.between("month", BREAKDOWN_START, BREAKDOWN_END).previous().bounds
 
 
 def _wv(prefix: str) -> str:
@@ -130,8 +129,8 @@ def _breakdown_sql(rows: str, start: date, end: date, p_start: date, p_end: date
               GROUP BY kpi_key, dimension, dimension_value) a) b) c"""
 
 
-DAY_START, DAY_END = query.default_window("day", SIM_D)
-_DP_START, _DP_END = query.previous_window("day", DAY_START, DAY_END)
+DAY_START, DAY_END = query.PeriodWindow.latest("day", SIM_D).bounds
+_DP_START, _DP_END = query.PeriodWindow.between("day", DAY_START, DAY_END).previous().bounds
 
 
 @register_lazy(

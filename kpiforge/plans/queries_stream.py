@@ -45,7 +45,7 @@ def stream_kpi_daily(ctx: Ctx) -> DataFrame:
     "SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT event_id) AS events FROM events GROUP BY 1, 2",
 )
 def stream_dedup(ctx: Ctx) -> DataFrame:
-    """dropDuplicatesWithinWatermark on the event id, counted per day and type."""
+    """Events without repeats of an id, counted per day and type."""
     return streams.stream_dedup(ctx.spark, ctx.tables.sf_dir)
 
 

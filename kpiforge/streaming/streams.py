@@ -2,11 +2,12 @@
 
 * Sources are file streams over the landing tables (``Trigger.AvailableNow`` processes what
   is there and stops; a re-run resumes from the checkpoint, so loads are restartable).
-* Windowed aggregates run in update mode with a watermark; each micro-batch's updated rows
-  are appended under ``epoch=<n>`` and readers keep the newest version per key. The sink is
-  append-only (idempotent per epoch: a replayed epoch overwrites its own folder), so an
-  executor or driver restart never leaves a half-merged table.
-* All state and output folders live under the session's shared checkpoint directory.
+* Results do not depend on how rows are spread over files or micro-batches. Aggregates are written
+  per epoch as partial sums and counts and summed up again when read; deduplication compares
+  every batch with the keys that have landed. Rows are never cut off by a watermark within a run.
+* Every epoch has a folder of its own (``epoch=<n>``) that a replay overwrites, so an executor or
+  driver restart never leaves a half-merged table.
+* All output folders live under the session's shared checkpoint directory.
 """
 
 from __future__ import annotations
@@ -29,13 +30,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Stream over one landing table (schema taken from the table, never inferred per file)."""
     path = f"{sf_dir.rstrip('/')}/{table}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
     # The file source needs a directory or a glob; a one-character class globs the single file.
     return reader.parquet(path[:-1] + "[" + path[-1] + "]")
 
@@ -56,6 +55,27 @@ def read_latest(spark: SparkSession, out_dir: str, keys: Sequence[str]) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "epoch")
 
 
+def partial_sums(out_dir: str, aggregate):
+    """foreachBatch writer: each epoch's own aggregate, to be summed over the epochs when read."""
+    write = versioned_sink(out_dir)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        write(aggregate(batch), epoch)
+
+    return run
+
+
+def insert_new(spark: SparkSession, out_dir: str, key: str):
+    """foreachBatch writer: the rows of a batch whose key no other epoch holds, once per key."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        landed = spark.read.schema(batch.schema.add("epoch", "long")).parquet(out_dir)
+        landed = landed.filter(F.col("epoch") != epoch).select(key)  # a replayed epoch is written anew
+        batch.dropDuplicates([key]).join(landed, key, "left_anti").write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+
+    return run
+
+
 def run_available_now(query_builder) -> StreamingQuery:
     q = query_builder.trigger(availableNow=True).start()
     q.awaitTermination()
@@ -74,7 +94,7 @@ def stream_incremental_orders(spark: SparkSession, sf_dir: str, until: date = co
     """Land the orders up to the as-of date with a restartable file stream (append sink)."""
     ensure_defaults(spark)
     base = scratch(spark, "orders_raw")
-    s = file_stream(spark, sf_dir, "orders", max_files=1).filter(F.col("o_orderdate") < F.lit(day_after_ts(until)))
+    s = file_stream(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit(day_after_ts(until)))
     raw = s.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
@@ -89,33 +109,29 @@ def stream_incremental_orders(spark: SparkSession, sf_dir: str, until: date = co
 
 
 # --- R02: daily web KPIs --------------------------------------------------------------------------
-def web_daily_stream(events: DataFrame) -> DataFrame:
-    """Tumbling daily window over the event stream: sessions, ad spend, orders, revenue."""
-    e = event_time(events)
-    spend = F.when(F.col("event_type") == "click", F.col("value").cast("decimal(12,2)")).otherwise(F.lit(0).cast("decimal(12,2)"))
-    revenue = F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(12,2)")).otherwise(
-        F.lit(0).cast("decimal(12,2)")
-    )
-    return e.groupBy(F.window("event_time", "1 day").alias("w")).agg(
+def web_daily(events: DataFrame) -> DataFrame:
+    """Sessions, ad spend, orders and revenue per day of event time."""
+    money = F.col("value").cast("decimal(12,2)")
+    zero = F.lit(0).cast("decimal(12,2)")
+    return events.groupBy(F.to_date("ts").alias("kpi_date")).agg(
         F.count_if(F.col("event_type").isin("view", "click")).alias("sessions"),
-        F.sum(spend).alias("ad_spend"),
+        F.sum(F.when(F.col("event_type") == "click", money).otherwise(zero)).alias("ad_spend"),
         F.count_if(F.col("event_type") == "purchase").alias("web_orders"),
-        F.sum(revenue).alias("web_revenue"),
-    ).select(F.to_date(F.col("w.start").cast("timestamp_ntz")).alias("kpi_date"), "sessions", "ad_spend", "web_orders", "web_revenue")
+        F.sum(F.when(F.col("event_type") == "purchase", money).otherwise(zero)).alias("web_revenue"),
+    )
 
 
-def stream_kpi_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the daily web KPI stream to completion; return conversion rate and ROAS rows in
-    the long KPI format (numerator, denominator, rounded value)."""
+def stream_kpi_daily(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """Run the daily web KPI stream over what is there (a given ``base`` resumes an earlier run);
+    return conversion rate and ROAS rows in the long KPI format (numerator, denominator, rounded value)."""
     ensure_defaults(spark)
-    base = scratch(spark, "web_daily")
-    agg = web_daily_stream(file_stream(spark, sf_dir, "events", max_files=1))
+    base = base or scratch(spark, "web_daily")
+    events = file_stream(spark, sf_dir, "events")
     run_available_now(
-        agg.writeStream.outputMode("update").foreachBatch(versioned_sink(f"{base}/data")).option(
-            "checkpointLocation", f"{base}/_checkpoint"
-        )
+        events.writeStream.foreachBatch(partial_sums(f"{base}/data", web_daily)).option("checkpointLocation", f"{base}/_checkpoint")
     )
-    daily = read_latest(spark, f"{base}/data", ["kpi_date"])
+    parts = spark.read.parquet(f"{base}/data")
+    daily = parts.groupBy("kpi_date").agg(*[F.sum(c).alias(c) for c in ("sessions", "ad_spend", "web_orders", "web_revenue")])
     long = daily.selectExpr(
         "kpi_date",
         "stack(2, 'conversion_rate', cast(web_orders as double), cast(sessions as double), "
@@ -127,61 +143,57 @@ def stream_kpi_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- R03: dedup within the watermark ------------------------------------------------------------
+# --- R03: dedup against what has landed -----------------------------------------------------------
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact repeats of an event id are dropped within the watermark; the result is counted per
-    day and event type."""
+    """Repeats of an event id are dropped, whichever file or batch they come in; the result is
+    counted per day and event type."""
     ensure_defaults(spark)
     base = scratch(spark, "dedup")
-    e = event_time(file_stream(spark, sf_dir, "events", max_files=1), delay="1 hour")
-    unique = e.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts", "event_type")
+    events = file_stream(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    out = f"{base}/data"
+    spark.createDataFrame([], events.schema).write.parquet(f"{out}/epoch=-1")
     run_available_now(
-        unique.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/_checkpoint")
+        events.writeStream.foreachBatch(insert_new(spark, out, "event_id")).option("checkpointLocation", f"{base}/_checkpoint")
     )
-    d = spark.read.parquet(f"{base}/data")
+    d = spark.read.parquet(out)
     return d.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
 # --- R04: idempotent event emission ----------------------------------------------------------------
 def stream_outbox(spark: SparkSession, findings: DataFrame, existing: DataFrame, files: int = 8) -> DataFrame:
-    """Findings arrive as files (with repeats); within the watermark exact repeats of a dedup
-    key are dropped, and each micro-batch inserts only keys the outbox does not hold yet (an
-    anti join against the current outbox in ``foreachBatch``). Returns the final outbox."""
+    """Findings arrive as files (with repeats); each micro-batch inserts, once per dedup key, those
+    that the outbox does not hold yet. Returns the final outbox."""
     ensure_defaults(spark)
     base = scratch(spark, "outbox")
-    landing = f"{base}/landing"
-    findings.unionByName(findings).repartition(files, "dedup_key").write.mode("overwrite").parquet(landing)
-    outbox_dir = f"{base}/outbox"
-    existing.write.mode("overwrite").parquet(f"{outbox_dir}/epoch=-1")
-    schema = spark.read.parquet(landing).schema
+    landing, out = f"{base}/landing", f"{base}/outbox"
+    findings.unionByName(findings).repartition(files).write.mode("overwrite").parquet(landing)
+    existing.write.mode("overwrite").parquet(f"{out}/epoch=-1")
+    s = spark.readStream.schema(findings.schema).parquet(landing)
+    run_available_now(
+        s.writeStream.foreachBatch(insert_new(spark, out, "dedup_key")).option("checkpointLocation", f"{base}/_checkpoint")
+    )
+    return spark.read.parquet(out).drop("epoch")
 
-    def insert(batch: DataFrame, epoch: int) -> None:
-        current = spark.read.parquet(outbox_dir).select("dedup_key")
-        new = batch.drop("event_time").dropDuplicates(["dedup_key"]).join(current, "dedup_key", "left_anti")
-        new.write.mode("overwrite").parquet(f"{outbox_dir}/epoch={epoch}")
 
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landing)
-    s = event_time(s, col="created_at", delay="400 days").dropDuplicatesWithinWatermark(["dedup_key"])
-    run_available_now(s.writeStream.foreachBatch(insert).option("checkpointLocation", f"{base}/_checkpoint"))
-    return spark.read.parquet(outbox_dir).drop("epoch")
+# --- R07: sliding per-client counts ---------------------------------------------------------------
+def sliding_counts(events: DataFrame) -> DataFrame:
+    """Events per user in 1-hour windows sliding every 5 minutes."""
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour", "5 minutes").alias("w")
+    return events.groupBy("user_id", w).agg(F.count(F.lit(1)).alias("events")).select(
+        "user_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events",
+    )
 
 
-# --- R07: sliding per-client counts ---------------------------------------------------------------
 def stream_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per user in 1-hour windows sliding every 5 minutes."""
+    """Sliding counts per user, summed over the micro-batches."""
     ensure_defaults(spark)
     base = scratch(spark, "sliding")
-    e = event_time(file_stream(spark, sf_dir, "events", max_files=1), delay="1 hour")
-    agg = e.groupBy("user_id", F.window("event_time", "1 hour", "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    out = agg.select(
-        "user_id",
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-        "events",
-    )
+    events = file_stream(spark, sf_dir, "events")
     run_available_now(
-        out.writeStream.outputMode("update").foreachBatch(versioned_sink(f"{base}/data")).option(
+        events.writeStream.foreachBatch(partial_sums(f"{base}/data", sliding_counts)).option(
             "checkpointLocation", f"{base}/_checkpoint"
         )
     )
-    return read_latest(spark, f"{base}/data", ["user_id", "window_start"])
+    parts = spark.read.parquet(f"{base}/data")
+    return parts.groupBy("user_id", "window_start", "window_end").agg(F.sum("events").alias("events"))

@@ -35,7 +35,7 @@ def _payload(region_id: str) -> str:
         {
             "schema_version": "insight.v1",
             "insight_id": "88a7e9be-4fc2-3c74-2cbe-32c11c31afd7",
-            "source": "business-intelligence-system",
+            "source": "kpiforge",
             "type": "anomaly",
             "kpi": "gmv",
             "period": {"start": "2018-01-01", "end": "2018-01-01", "grain": "day"},
