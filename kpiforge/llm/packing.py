@@ -27,8 +27,8 @@ LEAST_GRANT = 64
 PARTITION_TOKENS = 1 << 22
 #: Beyond this many sources, queues are groups of sources (by hash).
 MAX_QUEUES = 4096
-#: Spellings remembered by a Python worker, from task to task (and twice as many encodings).
-MAX_MEMO = 1 << 19
+#: Spellings remembered by a Python worker, from task to task, and encodings of each of two generations.
+MAX_MEMO = 1 << 18
 
 
 class WordIds(dict):
@@ -42,6 +42,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.core = Tokenizer.from_file(path), dtype, {}
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MAX_MEMO:
@@ -57,10 +58,13 @@ class WordIds(dict):
     def _encoded(self, word: bytes) -> bytes:
         out = self.core.get(word)
         if out is None:
-            if len(self.core) >= 2 * MAX_MEMO:
-                self.core.clear()
-            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.core[word] = out = np.array(ids, dtype=self.dtype).tobytes()
+            out = self.old.get(word)
+            if out is None:
+                ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+                out = np.array(ids, dtype=self.dtype).tobytes()
+            if len(self.core) >= MAX_MEMO:  # words in use move on to the next generation
+                self.old, self.core = self.core, {}
+            self.core[word] = out
         return out
 
 

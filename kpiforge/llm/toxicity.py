@@ -26,7 +26,7 @@ PREFIXES = (4, 5, 6)
 EDGES = b".,;:!?()[]{}\"'<>|*#$%&"
 #: A document is rejected if its probability of a grade above 0 reaches this.
 REJECT = 0.5
-MAX_MEMO = 1 << 19
+MAX_MEMO = 1 << 17
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
