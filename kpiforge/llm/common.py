@@ -18,21 +18,30 @@ SPACE = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 200_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of one Arrow batch between the JVM and Python; texts are large, so batches are short.
+BATCH_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> None:
     ensure_defaults(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there (survives lost executors)."""
     checkpoint_dir(df.sparkSession)
-    ensure_defaults(df.sparkSession)
+    prepared(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as a Zstandard Parquet table in the shared checkpoint folder and read it back."""
-    ensure_defaults(df.sparkSession)
+    prepared(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)

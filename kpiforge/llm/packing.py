@@ -27,7 +27,7 @@ LEAST_GRANT = 64
 PARTITION_TOKENS = 1 << 22
 #: Beyond this many sources, queues are groups of sources (by hash).
 MAX_QUEUES = 4096
-#: Spellings remembered by a Python worker, from task to task, and encodings of each of two generations.
+#: Encodings remembered by a Python worker, from task to task, in each of two generations (spellings: half of it).
 MAX_MEMO = 1 << 18
 
 
@@ -45,7 +45,7 @@ class WordIds(dict):
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_MEMO:
+        if len(self) >= MAX_MEMO // 2:
             self.clear()
         low = word.lower() if b"<" not in word else word  # strings of special tokens are left alone
         head = low.rstrip(b".,")
