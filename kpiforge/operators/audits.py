@@ -57,50 +57,52 @@ def insight_contract_violations(events: DataFrame) -> DataFrame:
     return p.select("event_id", F.explode(F.array_compact(checks)).alias("rule"))
 
 
-def _parse_number(token: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "−", "-"), r"[+.]", ""), ",", ".")
-    return clean.try_cast("decimal(38,10)")
+def _magnitude(token: Column) -> Column:
+    """A number token without sign and thousands marks: digits, or digits,decimals."""
+    return F.regexp_replace(token, "[-−+.]", "")
 
 
-def _decimals(token: Column) -> Column:
-    return F.when(token.contains(","), F.length(F.substring_index(token, ",", -1))).otherwise(F.lit(0))
+def _decimals(magnitude: Column) -> Column:
+    return F.regexp_extract(magnitude, ",(.*)$", 1)
 
 
-def _rounds_to(allowed: Column, value: Column, k: Column) -> Column:
-    """Some allowed number, rounded half-up to k decimals, equals the token's value."""
+def _scaled(magnitude: Column, k: Column) -> Column:
+    """The number times 10^k, rounded half-up: its digits up to the k-th decimal as an integer,
+    plus one where the next decimal is 5 or more."""
+    whole, decimals = F.substring_index(magnitude, ",", 1), _decimals(magnitude)
+    kept = F.concat(whole, F.rpad(F.substring(decimals, F.lit(1), k), k, "0")).try_cast("decimal(38,0)")
+    return kept + F.when(F.substring(decimals, k + 1, F.lit(1)) >= "5", 1).otherwise(0)
 
-    def match(a: Column) -> Column:
-        r = F.abs(a)
-        expr = F.when(k == 0, F.round(r, 0))
-        for d in range(1, 7):
-            expr = expr.when(k == d, F.round(r, d))
-        return expr.otherwise(r) == value
 
-    return F.exists(allowed, match)
+def _rounds_to(allowed: Column, magnitude: Column) -> Column:
+    """Some allowed number, rounded half-up to the token's decimals (however many), equals it.
+    Numbers of more than 38 digits must be spelled alike."""
+    k = F.length(_decimals(magnitude))
+    own = _scaled(magnitude, k)
+    return F.exists(allowed, lambda a: F.coalesce(_scaled(a, k) == own, a == magnitude))
 
 
 def number_provenance(outputs: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """Dates and numbers in generated text that the source does not support.
-    ``outputs`` / ``sources``: keys + text. Dates must occur verbatim in the source; numbers
-    match a source value rounded half-up to the token's decimals."""
+    ``outputs`` / ``sources``: keys + text. Dates must occur verbatim in the source (each reported
+    once per text); numbers match a source value rounded half-up to the token's decimals."""
     src = sources.select(
         *keys,
         F.regexp_extract_all("text", F.lit(DATE_PATTERN), 0).alias("src_dates"),
         F.transform(
-            F.regexp_extract_all(F.regexp_replace("text", DATE_PATTERN, " "), F.lit(NUMBER_PATTERN), 0), _parse_number
+            F.regexp_extract_all(F.regexp_replace("text", DATE_PATTERN, " "), F.lit(NUMBER_PATTERN), 0), _magnitude
         ).alias("allowed"),
     )
     out = outputs.select(
         *keys,
-        F.regexp_extract_all("text", F.lit(DATE_PATTERN), 0).alias("dates"),
+        F.array_distinct(F.regexp_extract_all("text", F.lit(DATE_PATTERN), 0)).alias("dates"),
         F.regexp_extract_all(F.regexp_replace("text", DATE_PATTERN, " "), F.lit(NUMBER_PATTERN), 0).alias("numbers"),
     ).join(src, keys, "left")
     dates = out.select(*keys, F.explode("dates").alias("token"), "src_dates").filter(
         ~F.array_contains(F.coalesce("src_dates", F.array().cast("array<string>")), F.col("token"))
     ).select(*keys, "token", F.lit("date").alias("kind"))
     nums = out.select(*keys, F.posexplode("numbers").alias("position", "token"), "allowed")
-    value = F.abs(_parse_number(F.col("token")))
-    ok = _rounds_to(F.coalesce("allowed", F.array().cast("array<decimal(38,10)>")), value, _decimals(F.col("token")))
+    ok = _rounds_to(F.coalesce("allowed", F.array().cast("array<string>")), _magnitude(F.col("token")))
     bad_nums = nums.filter(~F.coalesce(ok, F.lit(False))).select(*keys, "token", F.lit("number").alias("kind"))
     return dates.unionByName(bad_nums)
 
@@ -122,16 +124,16 @@ def route_audit(prompts: DataFrame) -> DataFrame:
     return out
 
 
-def draft_acceptance(problems: DataFrame, drafts: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Per conversation, the first of its first ``max_attempts`` drafts without
-    unsupported numbers or dates; rejected drafts counted."""
-    bad = problems.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("problems"))
+def draft_acceptance(problems: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Per conversation, the first of its drafts without unsupported numbers or dates, and
+    the drafts rejected before it (all of them where none passes)."""
+    bad = problems.select("conv_id", "turn").distinct().withColumn("_bad", F.lit(True))
     order = Window.partitionBy("conv_id").orderBy("turn")
-    d = drafts.select("conv_id", "turn", F.row_number().over(order).alias("attempt")).filter(F.col("attempt") <= max_attempts)
-    j = d.join(bad, ["conv_id", "turn"], "left").select("*", F.coalesce("problems", F.lit(0)).alias("n"))
-    return j.groupBy("conv_id").agg(
-        F.min(F.when(F.col("n") == 0, F.col("attempt"))).alias("accepted_attempt"),
-        F.count_if(F.col("n") > 0).alias("rejected_attempts"),
+    d = drafts.select("conv_id", "turn", F.row_number().over(order).alias("attempt"))
+    accepted = F.min(F.when(F.col("_bad").isNull(), F.col("attempt")))
+    return d.join(bad, ["conv_id", "turn"], "left").groupBy("conv_id").agg(
+        accepted.alias("accepted_attempt"),
+        F.coalesce(accepted.cast("long") - 1, F.count(F.lit(1))).alias("rejected_attempts"),
     )
 
 

@@ -38,7 +38,8 @@ def number_provenance(ctx: Ctx) -> DataFrame:
 
 @register("draft_acceptance")
 def draft_acceptance(ctx: Ctx) -> DataFrame:
-    """First of up to three drafts per conversation that passes the number audit."""
+    """First draft per conversation that passes the number audit, and the drafts rejected
+    before it (conversations name no evidence, so F41 has nothing to check)."""
     drafts, sources = _turn_pairs(ctx)
     problems = audits.number_provenance(drafts, sources, ["conv_id", "turn"])
     return audits.draft_acceptance(problems, drafts)

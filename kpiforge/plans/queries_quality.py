@@ -36,17 +36,26 @@ MODELS = {
     "dim_seller": marts.dim_seller,
     "fct_orders": marts.fct_orders,
     "fct_order_items": marts.fct_order_items,
+    "fct_payments": marts.fct_payments,
+    "fct_reviews": marts.fct_reviews,
+    "budget_vs_actual": marts.budget_vs_actual,
+    "stg_category_translation": staging.stg_category_translation,
     "kpi_daily": kpi.kpi_daily,
     "kpi_monthly": kpi.kpi_monthly,
 }
 
 NOT_NULL = [
+    ("stg_sellers", ["seller_id"]),
+    ("stg_category_translation", ["category_name_pt"]),
+    ("dim_date", ["date_day"]),
+    ("dim_product", ["product_id", "category_name_en"]),
+    ("dim_seller", ["seller_id"]),
     ("stg_orders", ["order_id", "customer_id", "order_status", "purchased_at"]),
     ("stg_order_items", ["order_id", "product_id", "price"]),
     ("stg_customers", ["customer_id", "customer_unique_id"]),
     ("stg_reviews", ["review_score"]),
     ("product_category", ["product_id", "category_name_en"]),
-    ("dim_region", ["state_code", "state_name"]),
+    ("dim_region", ["state_code", "entity_id", "state_name"]),
     ("dim_customer", ["customer_unique_id"]),
     ("fct_orders", ["order_id", "customer_unique_id", "state_code", "purchase_date"]),
     ("kpi_daily", ["kpi_date", "kpi_key", "value"]),
@@ -66,10 +75,16 @@ UNIQUE = [
     ("stg_budgets", ["budget_month", "category_name_en"]),
     ("dim_date", ["date_day"]),
     ("dim_region", ["state_code"]),
+    ("dim_region", ["entity_id"]),
     ("dim_customer", ["customer_unique_id"]),
     ("dim_product", ["product_id"]),
     ("dim_seller", ["seller_id"]),
+    ("stg_category_translation", ["category_name_pt"]),
+    ("fct_orders", ["order_id"]),
     ("fct_order_items", ["order_id", "order_item_id"]),
+    ("fct_payments", ["order_id", "payment_sequential"]),
+    ("fct_reviews", ["review_id", "order_id"]),
+    ("budget_vs_actual", ["month_start", "category_name_en"]),
     ("kpi_daily", ["kpi_date", "kpi_key", "dimension", "dimension_value"]),
     ("kpi_monthly", ["month_start", "kpi_key", "dimension", "dimension_value"]),
 ]
@@ -79,6 +94,7 @@ RELATIONSHIPS = [
     ("stg_order_items", "order_id", "stg_orders", "order_id"),
     ("dim_customer", "state_code", "dim_region", "state_code"),
     ("dim_seller", "state_code", "dim_region", "state_code"),
+    ("fct_orders", "customer_unique_id", "dim_customer", "customer_unique_id"),
     ("fct_orders", "state_code", "dim_region", "state_code"),
     ("fct_orders", "purchase_date", "dim_date", "date_day"),
     ("fct_order_items", "product_id", "dim_product", "product_id"),

@@ -30,6 +30,34 @@ def test_number_provenance(spark):
     assert bad == [("date", "14.05.1998"), ("number", "215.000")]
 
 
+def test_number_provenance_any_decimals(spark):
+    source = spark.createDataFrame([(1, "Kurs 0,123456789012345 und 9,995, Menge 12.345")], "k int, text string")
+    outputs = spark.createDataFrame(
+        [
+            (1, "Kurs 0,12345679"),  # eight decimals, rounded up
+            (1, "Kurs 0,12345678"),  # cut instead of rounded -> unsupported
+            (1, "Kurs 0,12345678901235"),  # fourteen decimals, rounded up
+            (1, "10,00 und 10"),  # the carry reaches the whole number
+            (1, "Menge 12.345,000"),  # more decimals than the source has
+            (1, "am 01.02.2020 und 01.02.2020"),  # unknown date, reported once
+        ],
+        "k int, text string",
+    )
+    problems = audits.number_provenance(outputs, source, ["k"])
+    bad = sorted((r.kind, r.token) for r in problems.collect())
+    assert bad == [("date", "01.02.2020"), ("number", "0,12345678")]
+
+
+def test_draft_acceptance(spark):
+    drafts = spark.createDataFrame([(c, t) for c in (1, 2, 3) for t in (2, 4, 6, 8)], "conv_id int, turn int")
+    problems = spark.createDataFrame(
+        [(1, 2), (1, 2), (1, 6), (2, 2), (2, 4), (2, 6), (2, 8)], "conv_id int, turn int"
+    )
+    got = sorted(tuple(r) for r in audits.draft_acceptance(problems, drafts).collect())
+    # failures after the accepted draft do not count; without one, all drafts are rejected
+    assert got == [(1, 2, 1), (2, None, 4), (3, 1, 0)]
+
+
 def _payload(region_id: str) -> str:
     return json.dumps(
         {
