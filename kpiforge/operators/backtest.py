@@ -61,9 +61,9 @@ def _sigma_group(pdf: pd.DataFrame) -> pd.DataFrame:
 @model
 def robust_sigma(ctx: Ctx) -> DataFrame:
     """Robust spread of the causal one-step errors of each KPI total over the evaluation
-    window and its 119-day lead-in (one group per KPI, bounded by the calendar)."""
+    window and its 120-day lead-in (one group per KPI, bounded by the calendar)."""
     start, end = window(ctx)
-    t = totals(ctx).filter(F.col("day").between(F.lit(start - timedelta(days=config.WINDOW_DAYS - 1)), F.lit(end)))
+    t = totals(ctx).filter(F.col("day").between(F.lit(start - timedelta(days=config.WINDOW_DAYS)), F.lit(end)))
     return t.select("kpi_key", "day", "value").groupBy("kpi_key").applyInPandas(_sigma_group, "kpi_key string, sigma double")
 
 

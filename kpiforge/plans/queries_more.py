@@ -24,6 +24,7 @@ BREAKDOWN_START, BREAKDOWN_END = query.PeriodWindow.latest("month", SIM_D).bound
 HISTORY_START = date(1992, 1, 1)
 NOW = datetime.combine(SIM_D, time(6, 0))
 OUTBOX_CUTOFF = SIM_D - timedelta(days=90)
+PANEL_END = SIM_D - timedelta(days=40)
 
 
 
@@ -471,6 +472,25 @@ def insights_query(ctx: Ctx) -> DataFrame:
     )
 
 
+@register_lazy("panel_deviations", f"SELECT * FROM ({ORACLE['kpi_breakdown']}) b WHERE position <= {query.PANEL_DEVIATIONS}")
+def panel_deviations(ctx: Ctx) -> DataFrame:
+    """The 12 strongest deviations of every KPI and dimension, last 12 months vs the 12 before."""
+    rows = query.breakdown(_monthly_rows(ctx), "month", BREAKDOWN_START, BREAKDOWN_END)
+    return rows.filter(F.col("position") <= query.PANEL_DEVIATIONS)
+
+
+@register("panel_insights", with_ctes(
+    f"""SELECT {_INSIGHT_COLS} FROM insight_rows
+        WHERE event_type = 'insight' AND type = 'anomaly' AND severity IN ('warning', 'critical')
+          AND data_class IN ('public', 'internal') AND period_end BETWEEN DATE '{YEAR_START}' AND DATE '{PANEL_END}'
+        ORDER BY period_end DESC, CASE severity WHEN 'critical' THEN 0 ELSE 1 END, created_at DESC, event_id
+        LIMIT {query.PANEL_INSIGHTS}""", "insight_rows"))
+def panel_insights(ctx: Ctx) -> DataFrame:
+    """The six newest anomalies that end inside a window (a year cut 40 days before its end)."""
+    e = query.insights(monthly_insights(ctx), since=YEAR_START, types=["anomaly"], min_severity="warning", classes=_ALLOWED)
+    return query.panel_insights(e, PANEL_END).select(*_INSIGHT_COLS.split(", "))
+
+
 @register("latest_event", with_ctes(
     f"""SELECT {_INSIGHT_COLS} FROM insight_rows WHERE data_class IN ('public', 'internal')
         ORDER BY period_end DESC, created_at DESC, event_id LIMIT 1""", "insight_rows"))
