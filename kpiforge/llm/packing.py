@@ -9,6 +9,8 @@ totals of the sources alone and every task can compute the partitions that it ne
 
 from __future__ import annotations
 
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,48 +31,104 @@ PARTITION_TOKENS = 1 << 22
 MAX_QUEUES = 4096
 #: Encodings remembered by a Python worker, from task to task, in each of two generations (spellings: half of it).
 MAX_MEMO = 1 << 18
+#: Longer words are encoded anew each time.
+MEMO_BYTES = 64
+
+
+#: The normalizers and the pieces of the tokenizers whose words are encoded one by one.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin-1 letters, then ASCII marks: a word of (at most) two pieces, which normalizing only lower-cases.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
+
+
+def word_by_word(tokenizer) -> bool:
+    """Whether the tokenizer drops white space and cuts words into PIECES, so that words can be encoded apart."""
+    spec = json.loads(tokenizer.to_str())
+    normalizers = (spec["normalizer"] or {}).get("normalizers", [])
+    cutters = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [n["type"] for n in normalizers] != NORMALIZERS or [c["type"] for c in cutters] != ["Split", "ByteLevel"]:
+        return False
+    split, level = cutters
+    cuts = split["pattern"].get("Regex") == PIECES and split["behavior"] == "Removed" and split["invert"]
+    return cuts and not level["add_prefix_space"] and not level["use_regex"] and spec["post_processor"] is None
 
 
 class WordIds(dict):
-    """Word -> its ids as bytes. Tokens never span white space, so words are encoded one by one.
+    """Word -> its ids as bytes, for tokenizers that ``word_by_word`` accepts.
 
-    Spellings of a word that differ in case or in end marks share one encoding: the vocabulary is lower
-    case, and letters and digits never share a token with end marks.
+    Spellings of a word that differ in case or in end marks share one encoding. Pieces of plain words go
+    to the tokenizer's model as they are; all other words take its whole way.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.core = Tokenizer.from_file(path), dtype, {}
-        self.old: dict[bytes, bytes] = {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.model = self.tokenizer.model
+        self.core: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.spelt = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_MEMO // 2:
-            self.clear()
-        low = word.lower() if b"<" not in word else word  # strings of special tokens are left alone
-        head = low.rstrip(b".,")
-        if head == low or not head[-1:].isalnum():
-            self[word] = out = self._encoded(low)
+        text = word.decode("utf-8", "replace")
+        plain = PLAIN.fullmatch(text)
+        if plain is None:
+            out = self._known(text, self._whole)
         else:
-            self[word] = out = self._encoded(head) + self._encoded(low[len(head) :])
+            head, marks = plain.groups()
+            out = self._known(head.lower(), self._letters)
+            if marks:
+                out += self._known(marks, self._marks)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MAX_MEMO // 2:
+                self.clear()
+            self[word] = out
         return out
 
-    def _encoded(self, word: bytes) -> bytes:
-        out = self.core.get(word)
+    def _known(self, text: str, encode) -> bytes:
+        out = self.core.get(text)
         if out is None:
-            out = self.old.get(word)
+            out = self.old.get(text)
             if out is None:
-                ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-                out = np.array(ids, dtype=self.dtype).tobytes()
-            if len(self.core) >= MAX_MEMO:  # words in use move on to the next generation
-                self.old, self.core = self.core, {}
-            self.core[word] = out
+                out = np.array(encode(text), dtype=self.dtype).tobytes()
+            if len(text) <= MEMO_BYTES:
+                if len(self.core) >= MAX_MEMO:  # words in use move on to the next generation
+                    self.old, self.core = self.core, {}
+                self.core[text] = out
         return out
 
+    def _letters(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text.translate(self.spelt))]
+
+    def _marks(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text)]  # ASCII marks are spelt as they are
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+class TextIds:
+    """Text -> its ids as bytes, by any tokenizer."""
+
+    def __init__(self, path: str, dtype: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.words = WordIds(path, dtype) if word_by_word(self.tokenizer) else None
+
+    def __call__(self, text: bytes) -> bytes:
+        if self.words is not None:
+            words = self.words
+            return b"".join([words[w] for w in text.split()])
+        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(ids, dtype=self.dtype).tobytes()
+
 
 @lru_cache(maxsize=1)
-def _memo(path: str, dtype: str) -> WordIds:
-    return WordIds(path, dtype)
+def _memo(path: str, dtype: str) -> TextIds:
+    return TextIds(path, dtype)
 
 
 def tokenized(docs: DataFrame, path: str, id_col, text_col, queue, end_id=END_ID) -> DataFrame:
@@ -88,12 +146,9 @@ def tokenized(docs: DataFrame, path: str, id_col, text_col, queue, end_id=END_ID
     def run(batches):
         from pyspark import TaskContext
 
-        part, memo, filled = TaskContext.get().partitionId(), _memo(path, dtype), {}
+        part, encoded, filled = TaskContext.get().partitionId(), _memo(path, dtype), {}
         for b in batches:
-            ids = []
-            for t in b.column(2):
-                found = t.as_buffer().to_pybytes().split() if t.is_valid else ()
-                ids.append(b"".join([memo[w] for w in found]) + end)
+            ids = [(encoded(t.as_buffer().to_pybytes()) if t.is_valid else b"") + end for t in b.column(2)]
             n = [len(x) // len(end) for x in ids]
             before = []
             for q, k in zip(b.column(1).to_pylist(), n):

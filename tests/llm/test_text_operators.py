@@ -140,6 +140,21 @@ def test_word_ids_equal_whole_texts():
         assert ids == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_text_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    marks = "abzABZéÉßÿÞøØ×÷µªºÅKİıſ'.,!*#<|>[]^_`{~09é̂中ش  \u0085’— \t\n"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [rng.choice(["<|endoftext|>", "<|STARTOFTEXT|>x", "it's don'T we'LL.,"]) + t for t in texts[:300]] + ["É" * 500 + "..."]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tok, ids = Tokenizer.from_file(path), packing.TextIds(path, "<u4")
+        assert (ids.words is not None) == name.startswith("word")
+        for t in texts:
+            assert np.frombuffer(ids(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_simhash(docs, rows, empty, spark):
     def fp(text):
         ws = words((text or "").encode().lower().decode())
