@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from functools import reduce
 
@@ -48,6 +49,17 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame, only: str = "") -> None:
+    """Delete the files of stored tables (``only``: those whose path has this in it), once nothing will read them again, and let Spark drop old shuffles."""
+    jvm, conf = tables[0].sparkSession._jvm, tables[0].sparkSession._jsc.hadoopConfiguration()
+    for df in tables:
+        for name in filter(lambda n: only in n, df.inputFiles()):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+            path.getFileSystem(conf).delete(path, False)
+    gc.collect()
+    jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

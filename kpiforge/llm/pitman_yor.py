@@ -1,15 +1,16 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Three levels of restaurants: the root serves words from a uniform base; each of 64 restaurants
-(the last byte of the previous word) orders from the root; each of 4096 (its last three bytes) orders
-from one of those 64, so context restaurants share parents. Seating is sampled by Gibbs: in every sweep
-the tables of each dish are drawn anew, customer by customer, by the Chinese-restaurant rule given
-everything else, and the predictive probabilities are averaged over the sweeps after the first ones.
-
-All counts of a word, at all levels, lie in one part of the vocabulary (by the word's hash), so a
-sweep runs part by part; between sweeps only the restaurants' totals (a fixed number) are summed up.
-Words go through blocks: a task turns about ``BLOCK`` tokens into distinct (word, context) pairs
-before anything is shuffled, and gets back one probability for each pair.
+One restaurant per previous word (by its 64-bit hash; the first word of a text follows the end token) orders
+from the root, which serves words from a uniform base; the number of restaurants grows with the corpus.
+Seating is sampled by Gibbs: in every sweep the tables of each dish are drawn anew, customer by customer,
+by the Chinese-restaurant rule given everything else, and the predictive probabilities are averaged over
+the sweeps after the first ones.
+
+A task turns about ``BLOCK`` tokens into distinct (word, previous word) pairs before anything is shuffled.
+The pairs lie in parts by the hash of both words, so that neither a frequent word nor a frequent previous
+word fills a part; the words themselves, as dishes of the root and as restaurants, lie in buckets by their
+hash. In a sweep the parts draw their tables and send each bucket the sums for its words; the buckets add
+them up, draw the root's tables and send back what the parts need. Only a few scalars reach the driver.
 """
 
 from __future__ import annotations
@@ -22,15 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.bytescan import hashes, running, texts_of
-from kpiforge.llm.common import SPACE, cut, stored
+from kpiforge.llm.bytescan import hashes, mixed, running, texts_of
+from kpiforge.llm.common import SPACE, released, stored
 
 MODULUS, HELD = 7, 2
 BLOCK = 3_000_000
 #: Text bytes of one part of the vocabulary, and the most parts.
 PART_BYTES = 12 << 20
 MAX_PARTS = 1 << 16
-PARENTS, CONTEXTS = 64, 4096
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 3
 #: Customers of a dish beyond this many are seated in groups (a binomial draw each).
@@ -47,19 +47,15 @@ def held_out(key: object) -> bool:
     return zlib.crc32(("" if key is None else str(key)).encode()) % MODULUS == HELD
 
 
-def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, context class that it gives to the next token) of the words of lower-cased bytes."""
+def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of lower-cased bytes."""
     a = np.frombuffer(data, dtype=np.uint8)
     space = _SPACE[a]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    prefix = running(a)
-    h = hashes(prefix, start, end)
+    h = hashes(running(a), start, end)
     h[h <= END] += np.uint64(2)
-    last = a[end - 1].astype(np.int64)
-    two = np.where(end - start > 1, a[np.maximum(end - 2, 0)], 0).astype(np.int64)
-    three = np.where(end - start > 2, a[np.maximum(end - 3, 0)], 0).astype(np.int64)
-    return start, h, (1 + last % (PARENTS - 1)) * (CONTEXTS // PARENTS) + (two * 31 + three) % (CONTEXTS // PARENTS)
+    return start, h
 
 
 def _slices(texts: list[bytes]):
@@ -75,51 +71,78 @@ def _slices(texts: list[bytes]):
         yield run
 
 
+def _packed(x: np.ndarray, kind=np.int64) -> bytes:
+    """Whole numbers with their bytes by place, so that the high ones compress."""
+    return x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def _unpacked(b: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, in less memory."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    x = x[new]
+    inverse = np.empty(len(order), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x, inverse
+
+
 class _Block:
     def __init__(self):
-        self.hash, self.context, self.length, self.ids, self.size = [], [], [], [], 0
+        self.hash, self.length, self.ids, self.size = [], [], [], 0
 
     def add(self, ids: list, texts: list[bytes]) -> None:
-        """Tokens of each text: its words and the end; the context of the first word is class 0."""
+        """Tokens of each text: its words and the end."""
         joined = b"\n".join(texts).lower() + b"\n"
-        start, h, gives = _tokens(joined)
+        start, h = _tokens(joined)
         stops = np.cumsum([len(t) + 1 for t in texts])
         per = np.diff(np.concatenate([[0], np.searchsorted(start, stops)]))
-        at = np.cumsum(per)
-        self.hash.append(np.insert(h, at, END))
-        self.context.append(np.concatenate([[0], np.insert(gives, at, 0)[:-1]]))
+        self.hash.append(np.insert(h, np.cumsum(per), END))
         self.length.append(per + 1)
         self.ids += ids
         self.size += len(h) + len(texts)
 
     def rows(self, name: str, parts: int):
-        h, context, length = map(np.concatenate, (self.hash, self.context, self.length))
-        words, inverse = np.unique(h, return_inverse=True)
-        pairs, pair = np.unique(inverse * CONTEXTS + context, return_inverse=True)
+        length = np.concatenate(self.length)
+        words, inverse = _distinct(np.concatenate(self.hash))
+        self.hash = []
+        # every text ends with the end token, so the token before a text's first is the end too
+        key = inverse.astype(np.int64) * len(words)
+        key[1:] += inverse[:-1]
+        key[0] += np.searchsorted(words, END)
+        del inverse
+        pairs, pair = _distinct(key)
+        del key
         train = np.array([not held_out(i) for i in self.ids])
-        count = np.bincount(pair, weights=np.repeat(train, length), minlength=len(pairs)).astype(np.int64)
-        of_word = pairs // CONTEXTS
-        per_word = np.bincount(of_word, minlength=len(words)).astype(np.int32)
-        # the bytes of the pair numbers by place, so that the high ones compress
-        planes = pair.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+        count = np.bincount(pair[np.repeat(train, length)], minlength=len(pairs))
+        word, context = words[pairs // len(words)], words[pairs % len(words)]
+        del pairs
+        part = _part(mixed(word ^ mixed(context + np.uint64(SEED))), parts)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         ids = [{"v": i} for i in self.ids]
-        yield ("docs", name, -1, length.astype(np.int32).tobytes(), planes, per_word.tobytes(), np.packbits(~train).tobytes(), ids)
-        part = _part(words, parts)
-        first = np.concatenate([[0], np.cumsum(per_word)])
-        bounds = np.flatnonzero(np.diff(np.concatenate([[-1], part, [parts]])))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            x, y = first[a], first[b]
-            yield ("pairs", name, int(part[a]), words[a:b].tobytes(), per_word[a:b].tobytes(), (pairs[x:y] % CONTEXTS).astype(np.uint16).tobytes(), count[x:y].tobytes(), [])
+        yield ("docs", name, -1, [length.astype(np.int32).tobytes(), _packed(rank[pair], np.int32), np.packbits(~train).tobytes()], ids)
+        del pair, rank
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+        for p in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[p] : bounds[p + 1]]
+            own, per = np.unique(word[at], return_counts=True)
+            yield ("pairs", name, int(p), [own.tobytes(), per.astype(np.int32).tobytes(), context[at].tobytes(), _packed(count[at])], [])
 
 
-def _part(words: np.ndarray, parts: int) -> np.ndarray:
-    return ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int) -> DataFrame:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     kind = source.schema["id"].dataType
-    schema = f"kind string, block string, part int, a binary, b binary, c binary, d binary, ids array<struct<v:{kind.simpleString()}>>"
+    schema = f"kind string, block string, part int, v array<binary>, ids array<struct<v:{kind.simpleString()}>>"
 
     def run(batches):
         from pyspark import TaskContext
@@ -127,8 +150,8 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int)
         at, n, own = TaskContext.get().partitionId(), 0, _Block()
 
         def flush():
-            names = ["kind", "block", "part", "a", "b", "c", "d", "ids"]
-            types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.struct([("v", id_type)]))]
+            names = ["kind", "block", "part", "v", "ids"]
+            types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.struct([("v", id_type)]))]
             for row in own.rows(f"{at}-{n}", parts):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
@@ -154,25 +177,22 @@ class _Pairs:
         self.words, self.place, self.context, self.count = words, place, context, count
 
     @classmethod
-    def read(cls, a: bytes, b: bytes, c: bytes, d: bytes):
-        words, per = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32)
-        return cls(words, np.repeat(np.arange(len(words)), per), np.frombuffer(c, np.uint16).astype(np.int64), np.frombuffer(d, np.int64))
+    def read(cls, v):
+        words, per = np.frombuffer(v[0], np.uint64), np.frombuffer(v[1], np.int32)
+        return cls(words, np.repeat(np.arange(len(words)), per), np.frombuffer(v[2], np.uint64), _unpacked(v[3]))
 
     @classmethod
     def merged(cls, all_: list):
-        """The training counts of several, summed."""
+        """The training counts of several, summed; ``at``: where the pairs of each went, one after the other."""
         words = np.unique(np.concatenate([p.words for p in all_]))
-        key = np.concatenate([np.searchsorted(words, p.words)[p.place] * CONTEXTS + p.context for p in all_])
-        n = np.concatenate([p.count for p in all_])
-        key, n = key[n > 0], n[n > 0]
-        keys, inverse = np.unique(key, return_inverse=True)
-        count = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
-        known = np.unique(keys // CONTEXTS)
-        return cls(words[known], np.searchsorted(known, keys // CONTEXTS), keys % CONTEXTS, count)
-
-    def bytes(self) -> list[bytes]:
-        per = np.bincount(self.place, minlength=len(self.words)).astype(np.int32)
-        return [self.words.tobytes(), per.tobytes(), self.context.astype(np.uint16).tobytes(), self.count.tobytes()]
+        contexts = np.unique(np.concatenate([p.context for p in all_]))
+        key = np.concatenate([np.searchsorted(words, p.words)[p.place] for p in all_]) * len(contexts)
+        key += np.concatenate([np.searchsorted(contexts, p.context) for p in all_])
+        keys, at = _distinct(key)
+        count = np.bincount(at, weights=np.concatenate([p.count for p in all_]), minlength=len(keys)).astype(np.int64)
+        out = cls(words, keys // len(contexts), contexts[keys % len(contexts)], count)
+        out.at = at
+        return out
 
 
 def _seated(c: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
@@ -196,79 +216,93 @@ def _seated(c: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
     return out
 
 
+def _root(c0, t0, facts: dict):
+    """The root's predictive probabilities of words with c0 customers and t0 tables there."""
+    d = facts["d"][0]
+    return (c0 - d * t0 + (STRENGTH + d * facts["T0"]) / (facts["V"] + 1)) / (STRENGTH + facts["C0"])
+
+
+def _orders(tables, root, facts: dict):
+    """What restaurants with so many tables pass to the root for words of these probabilities."""
+    return (STRENGTH + facts["d"][-1] * tables) * root
+
+
+def _served(c, t, tables, customers, root, facts: dict):
+    """Predictive probabilities in restaurants with so many tables and customers, c and t of them the word's."""
+    return (c - facts["d"][-1] * t + _orders(tables, root, facts)) / (STRENGTH + customers)
+
+
+def _root_tables(c0, facts: dict, rng):
+    d = facts["d"][0]
+    return _seated(c0, np.full(len(c0), (STRENGTH + d * facts["T0"]) / (facts["V"] + 1)), d, rng)
+
+
 class _Chain:
-    """The seating of one part's words and its sweeps; ``totals`` are the restaurants' in all parts."""
+    """The model and its sweeps in one process, contexts numbered; ``facts["c2"]`` are the contexts' customers."""
 
     def __init__(self, pairs: _Pairs, facts: dict, seed: list[int]):
         self.p, self.facts, self.seed, self.sweeps = pairs, facts, seed, 0
-        key1 = pairs.place * PARENTS + pairs.context // (CONTEXTS // PARENTS)
-        self.key1, self.up = np.unique(key1, return_inverse=True)
-        self.word1, self.parent1 = self.key1 // PARENTS, self.key1 % PARENTS
-        self.t2, self.t1, self.t0 = np.ones(len(pairs.count)), np.ones(len(self.key1)), np.ones(len(pairs.words))
-
-    @property
-    def c1(self):
-        return np.bincount(self.up, weights=self.t2, minlength=len(self.key1))
+        self.t2 = np.minimum(pairs.count, 1).astype(float)
+        self.t0 = np.minimum(self.c0, 1)
 
     @property
     def c0(self):
-        return np.bincount(self.word1, weights=self.t1, minlength=len(self.p.words))
+        return np.bincount(self.p.place, weights=self.t2, minlength=len(self.p.words))
 
     def totals(self) -> np.ndarray:
-        return np.concatenate([
-            np.bincount(self.p.context, weights=self.t2, minlength=CONTEXTS),
-            np.bincount(self.parent1, weights=self.t1, minlength=PARENTS), [self.t0.sum()],
-        ])
-
-    def rates(self, totals: np.ndarray):
-        """Per level: what a restaurant passes to its parent, and its number of customers."""
-        d, t2, t1, t0 = self.facts["d"], totals[:CONTEXTS], totals[CONTEXTS:-1], totals[-1]
-        c1 = t2.reshape(PARENTS, -1).sum(axis=1)
-        return (
-            (STRENGTH + d[0] * t0, STRENGTH + t1.sum()),
-            (STRENGTH + d[1] * t1, STRENGTH + c1),
-            (STRENGTH + d[2] * t2, STRENGTH + self.facts["c2"]),
-        )
-
-    def predict(self, totals, words=None, context=None):
-        """Predictive probabilities, of the part's own pairs or of given (words, contexts)."""
-        d, (r0, n0), (r1, n1), (r2, n2) = self.facts["d"], *self.rates(totals)
-        base = 1.0 / (self.facts["V"] + 1)
-        root = (self.c0 - d[0] * self.t0 + r0 * base) / n0
-        mid = (self.c1 - d[1] * self.t1 + r1[self.parent1] * root[self.word1]) / n1[self.parent1]
-        if words is None:
-            return root, mid
-        place = np.minimum(np.searchsorted(self.p.words, words), max(len(self.p.words) - 1, 0))
-        known = self.p.words[place] == words if len(self.p.words) else np.zeros(len(words), bool)
-        p0 = np.where(known, root[place] if len(root) else 0, r0 * base / n0)
-        parent = context // (CONTEXTS // PARENTS)
-        at, met = _find(self.key1, place * PARENTS + parent, known)
-        own = np.where(met, (self.c1 - d[1] * self.t1)[at] if len(self.key1) else 0, 0)
-        p1 = (own + r1[parent] * p0) / n1[parent]
-        at, met = _find(self.p.place * CONTEXTS + self.p.context, place * CONTEXTS + context, known)
-        own = np.where(met, (self.p.count - d[2] * self.t2)[at] if len(self.t2) else 0, 0)
-        return (own + r2[context] * p1) / n2[context]
+        t2 = np.bincount(self.p.context, weights=self.t2, minlength=len(self.facts["c2"]))
+        return np.concatenate([t2, [self.t0.sum(), t2.sum()]])
+
+    def _at(self, totals: np.ndarray) -> dict:
+        return self.facts | {"T0": totals[-2], "C0": totals[-1]}
+
+    def predict(self, totals: np.ndarray, words: np.ndarray, context: np.ndarray) -> np.ndarray:
+        facts, own = self._at(totals), {}
+        for i, pair in enumerate(zip(self.p.words[self.p.place].tolist(), self.p.context.tolist())):
+            own[pair] = i
+        at = np.array([own.get(pair, -1) for pair in zip(words.tolist(), context.tolist())])
+        place = {w: i for i, w in enumerate(self.p.words.tolist())}
+        word = np.array([place.get(w, -1) for w in words.tolist()])
+        c0, t0 = (np.append(x, 0)[word] for x in (self.c0, self.t0))
+        c, t = (np.append(x, 0)[at] for x in (self.p.count, self.t2))
+        return _served(c, t, totals[context], self.facts["c2"][context], _root(c0, t0, facts), facts)
 
     def sweep(self, totals: np.ndarray) -> None:
-        rng = np.random.default_rng([*self.seed, self.sweeps])
-        d, (r0, _), (r1, _), (r2, _) = self.facts["d"], *self.rates(totals)
-        root, mid = self.predict(totals)
-        if len(self.p.count):
-            self.t2 = _seated(self.p.count, r2[self.p.context] * mid[self.up], d[2], rng)
-            self.t1 = _seated(self.c1, r1[self.parent1] * root[self.word1], d[1], rng)
-            self.t0 = _seated(self.c0, np.full(len(self.p.words), r0 / (self.facts["V"] + 1)), d[0], rng)
+        rng, facts = np.random.default_rng([*self.seed, self.sweeps]), self._at(totals)
+        root = _root(self.c0, self.t0, facts)[self.p.place]
+        self.t2 = _seated(self.p.count, _orders(totals[self.p.context], root, facts), facts["d"][-1], rng)
+        self.t0 = _root_tables(self.c0, facts, rng)
         self.sweeps += 1
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray, known: np.ndarray):
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, known & (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+def _messages(own, t: np.ndarray, buckets: int):
+    """Per bucket: its words in this part, and for each the tables and customers as dish and as restaurant."""
+    keys, word, context, count = _own(own)
+    sums = [np.bincount(i, weights=w, minlength=len(keys)) for w in (t, count) for i in (word, context)]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(_part(keys, buckets), minlength=buckets))])
+    for b in np.flatnonzero(np.diff(bounds)):
+        x, y = bounds[b], bounds[b + 1]
+        yield int(b), [keys[x:y].tobytes(), *[_packed(s[x:y]) for s in sums]]
+
 
+def _own(v) -> tuple:
+    return np.frombuffer(v[0], np.uint64), _unpacked(v[1], np.int32), _unpacked(v[2], np.int32), _unpacked(v[3])
 
-def _summed(vectors: DataFrame) -> np.ndarray:
-    """The sum of arrays of equal length over all rows."""
-    rows = vectors.select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
-    return np.array([r["s"] for r in sorted(rows, key=lambda r: r["pos"])])
+
+def _added(rows: pd.DataFrame, first: bool, facts: dict, rng):
+    """One bucket's answers to the parts that sent ``rows`` and its share of the scalars."""
+    sent = [np.frombuffer(v[0], np.uint64) for v in rows["v"]]
+    keys, at = _distinct(np.concatenate(sent))
+    c0, tables, n, customers = (
+        np.bincount(at, weights=np.concatenate([_unpacked(v[i]) for v in rows["v"]]), minlength=len(keys)) for i in range(1, 5)
+    )
+    t0 = np.minimum(c0, 1) if first else _root_tables(c0, facts, rng)
+    done = 0
+    for part, k in zip(rows["part"], sent):
+        own = at[done : done + len(k)]
+        done += len(k)
+        yield int(part), [_packed(x[own]) for x in (c0, t0, tables, n, customers)], []
+    yield -1, [], [float(x) for x in (t0.sum(), c0.sum(), (n > 0).sum(), n.sum(), (c0 == 1).sum(), (c0 == 2).sum())]
 
 
 def score(
@@ -285,92 +319,108 @@ def score(
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, min(MAX_PARTS, -(-size // part_bytes)))
     tables = _blocks(docs, id_col, text_col, parts, block)
-    pairs = tables.where("kind = 'pairs'").select("block", "part", "a", "b", "c", "d")
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        all_ = [_Pairs.read(*r) for r in rows[["a", "b", "c", "d"]].itertuples(index=False)]
-        return pd.DataFrame([[key[0], *_Pairs.merged(all_).bytes()]], columns=["part", "a", "b", "c", "d"])
-
-    held = "part int, a binary, b binary, c binary, d binary"
-    merged = stored(pairs.groupBy("part").applyInPandas(merge, held))
-
-    def count(batches):
-        for frame in batches:
-            for r in frame.itertuples(index=False):
-                p = _Pairs.read(r.a, r.b, r.c, r.d)
-                chain = _Chain(p, {}, [])
-                ones = [f(x) for x in (chain.c0, chain.c1, p.count) for f in (lambda x: (x == 1).sum(), lambda x: (x == 2).sum())]
-                c2 = np.bincount(p.context, weights=p.count, minlength=CONTEXTS)
-                yield pd.DataFrame({"v": [np.concatenate([ones, [len(p.words)], c2, chain.totals()])]})
-
-    known = _summed(merged.mapInPandas(count, "v array<double>"))
-    if not len(known):
-        known = np.zeros(7 + 2 * CONTEXTS + PARENTS + 1)
-    d = [float(np.clip(known[i] / max(known[i] + 2 * known[i + 1], 1), 0.05, 0.95)) for i in (0, 2, 4)]
-    c2 = known[7 : 7 + CONTEXTS]
-    facts = {"d": d, "V": int(known[6]), "c2": c2, "N": int(c2.sum())}
-    history = [known[7 + CONTEXTS :]]
-    sc = docs.sparkSession.sparkContext
-
-    def chained(sweeps: int):
-        shared = sc.broadcast((facts, list(history)))
-
-        def run(batches):
-            facts_, past = shared.value
-            for frame in batches:
-                for r in frame.itertuples(index=False):
-                    chain = _Chain(_Pairs.read(r.a, r.b, r.c, r.d), facts_, [seed, int(r.part)])
-                    for s in range(sweeps):
-                        chain.sweep(past[s])
-                    yield pd.DataFrame({"v": [chain.totals()]})
-
-        return run
-
-    # totals after each sweep; a task repeats the sweeps before it from the same seeds, so no state is kept
-    for s in range(1, burn_in + samples + 1):
-        after = _summed(merged.mapInPandas(chained(s), "v array<double>"))
-        history.append(after if len(after) else history[0])
-    shared = sc.broadcast((facts, history))
-
-    def predicted(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        facts_, past = shared.value
-        p = _Pairs.read(*own[["a", "b", "c", "d"]].iloc[0]) if len(own) else _Pairs.merged([_Pairs.read(b"", b"", b"", b"")])
-        chain = _Chain(p, facts_, [seed, int(key[0])])
-        wanted = [_Pairs.read(*r) for r in asked[["wa", "wb", "wc", "wd"]].itertuples(index=False)]
-        total = [np.zeros(len(w.place)) for w in wanted]
-        for s in range(burn_in + samples):
-            chain.sweep(past[s])
-            if s >= burn_in:
-                for t, w in zip(total, wanted):
-                    t += chain.predict(past[s + 1], w.words[w.place], w.context)
-        per_word = np.bincount(p.place, weights=p.count, minlength=len(p.words)).astype(np.int64)
-        out = []
-        for name, t, w in zip(asked["block"], total, wanted):
-            at, met = _find(p.words, w.words, np.ones(len(w.words), bool))
-            c = np.where(met, per_word[at] if len(per_word) else 0, 0).astype(np.int64)
-            out.append((name, key[0], np.log10(t / samples).astype(np.float32).tobytes(), c.tobytes()))
-        return pd.DataFrame(out, columns=["block", "part", "p", "n"])
-
-    ask = pairs.select("block", F.col("part").alias("wpart"), *[F.col(c).alias(f"w{c}") for c in "abcd"])
-    ask = ask.withColumn("wd", F.lit(b""))  # the counts stay
-    answers = (
-        merged.groupBy("part").cogroup(ask.groupBy("wpart"))
-        .applyInPandas(predicted, "block string, part int, p binary, n binary")
-    )
+        all_ = [_Pairs.read(v) for v in rows["v"]]
+        p = _Pairs.merged(all_)
+        keys = np.union1d(p.words, p.context)
+        word, context = np.searchsorted(keys, p.words)[p.place], np.searchsorted(keys, p.context)
+        own = [keys.tobytes(), _packed(word, np.int32), _packed(context, np.int32), _packed(p.count)]
+        out, done = [("own", key[0], "", own, int((p.count == 1).sum()), int((p.count == 2).sum()))], 0
+        for name, q in zip(rows["block"], all_):
+            out.append(("place", key[0], name, [_packed(p.at[done : done + len(q.count)], np.int32)], 0, 0))
+            done += len(q.count)
+        return pd.DataFrame(out, columns=["kind", "part", "block", "v", "ones", "twos"])
+
+    pairs = tables.where("kind = 'pairs'").select("block", "part", "v")
+    held = "kind string, part int, block string, v array<binary>, ones long, twos long"
+    merged = stored(pairs.groupBy("part").applyInPandas(merge, held), by="kind")
+    own = merged.where("kind = 'own'").select("part", F.lit("own").alias("tag"), "v")
+    places = merged.where("kind = 'place'").select("part", F.concat(F.lit("p"), "block").alias("tag"), "v")
+    released(pairs, only="/kind=pairs/")
+    ones, twos = (x or 0 for x in merged.agg(F.sum("ones"), F.sum("twos")).first())
+
+    def discount(one: float, two: float) -> float:
+        return float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
+
+    def exchanged(state: DataFrame | None, sweep: int, facts: dict):
+        """The buckets' answers to the parts' tables, and the facts after them."""
+
+        def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            got = dict(zip(rows["tag"], rows["v"]))
+            t = _unpacked(got["state"][0]) if "state" in got else np.minimum(_own(got["own"])[3], 1)
+            return pd.DataFrame([(b, key[0], v) for b, v in _messages(got["own"], t, parts)], columns=["bucket", "part", "v"])
+
+        def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rng = np.random.default_rng([seed, sweep, 0, key[0]])
+            out = [("facts" if p < 0 else "answer", p, f"{key[0]:08d}", v, x) for p, v, x in _added(rows.sort_values("part"), not sweep, facts, rng)]
+            return pd.DataFrame(out, columns=["kind", "part", "tag", "v", "x"])
+
+        rows = own if state is None else own.unionByName(state)
+        sent = rows.groupBy("part").applyInPandas(send, "bucket int, part int, v array<binary>")
+        back = stored(sent.groupBy("bucket").applyInPandas(add, "kind string, part int, tag string, v array<binary>, x array<double>"), by="kind")
+        sums = back.where("kind = 'facts'").agg(*[F.sum(F.col("x")[i]) for i in range(6)]).first()
+        t0, c0, v, n, one, two = (x or 0.0 for x in sums)
+        d = facts.get("d") or [discount(one, two), discount(ones, twos)]
+        return back.where("kind = 'answer'").select("part", "tag", "v"), {"d": d, "V": int(v), "N": int(n), "T0": t0, "C0": c0}
+
+    def told(rows: pd.DataFrame, facts: dict, take: bool):
+        """What a part has of its pairs and the answers to its last message; ``take``: this sweep counts."""
+        got = dict(zip(rows["tag"], rows["v"]))
+        keys, word, context, count = _own(got["own"])
+        answers = [got[tag] for tag in sorted(t for t in got if t[0].isdigit())]
+        c0, t0, at, n, customers = (np.concatenate([_unpacked(a[i]) for a in answers]) for i in range(5))
+        root = _root(c0, t0, facts)[word]
+        state = got.get("state")
+        t = np.minimum(count, 1) if state is None else _unpacked(state[0])
+        total = np.frombuffer(state[1], np.float32) if state is not None and state[1] else np.zeros(len(count), np.float32)
+        if take:
+            total = total + _served(count, t, at[context], customers[context], root, facts).astype(np.float32)
+        return got, count, _orders(at[context], root, facts), total, n[word]
+
+    answers, facts = exchanged(None, 0, {})
+    def drawn(sweep: int, facts: dict):
+        take = sweep > burn_in
+
+        def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            _, count, odds, total, _ = told(rows, facts, take)
+            t = _seated(count, odds, facts["d"][1], np.random.default_rng([seed, sweep + 1, 1, key[0]]))
+            return pd.DataFrame([(key[0], "state", [_packed(t), total.tobytes() if take else b""])], columns=["part", "tag", "v"])
+
+        return draw
+
+    state = None
+    for s in range(burn_in + samples):
+        rows = own.unionByName(answers) if state is None else own.unionByName(answers).unionByName(state)
+        before = [answers] if state is None else [answers, state]
+        state = stored(rows.groupBy("part").applyInPandas(drawn(s, facts), "part int, tag string, v array<binary>"))
+        released(*before)
+        answers, facts = exchanged(state, s + 1, facts)
+
+    def predicted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        got, _, _, total, n = told(rows, facts, True)
+        p, out = np.log10(total / samples).astype(np.float32), []
+        for tag, v in got.items():
+            if tag[0] == "p":
+                at = _unpacked(v[0], np.int32)
+                out.append((tag[1:], key[0], p[at].tobytes(), _packed(n[at])))
+        return pd.DataFrame(out, columns=["of", "part", "p", "n"])
+
+    rows = own.unionByName(answers).unionByName(state).unionByName(places)
+    answers = rows.groupBy("part").applyInPandas(predicted, "of string, part int, p binary, n binary")
     kind = docs.schema[id_col].dataType.simpleString()
     result = (
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    texts = tables.where("kind = 'docs'").select("block", "a", "b", "c", "d", "ids")
+    texts = tables.where("kind = 'docs'").select("block", "v", "ids")
     n_all, v_all = facts["N"], facts["V"]
 
     def total(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         row, got = own.iloc[0], got.sort_values("part")
-        length, per_word = np.frombuffer(row["a"], np.int32), np.frombuffer(row["c"], np.int32)
-        pair = np.ascontiguousarray(np.frombuffer(row["b"], np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
-        held = np.unpackbits(np.frombuffer(row["d"], np.uint8), count=len(length)).astype(bool)
+        length, pair = np.frombuffer(row["v"][0], np.int32), _unpacked(row["v"][1], np.int32)
+        held = np.unpackbits(np.frombuffer(row["v"][2], np.uint8), count=len(length)).astype(bool)
         logp = np.concatenate([np.frombuffer(x, np.float32) for x in got["p"]]).astype(np.float64)
-        c = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in got["n"]]), per_word)
+        c = np.concatenate([_unpacked(x) for x in got["n"]])
         base = np.log10((c + 1) / (n_all + 1 * (v_all + 1)))
         first = np.concatenate([[0], np.cumsum(length)[:-1]])
         ids = [x["v"] for x in row["ids"]]
@@ -380,5 +430,4 @@ def score(
             "base_score": np.add.reduceat(base[pair], first), "score": np.add.reduceat(logp[pair], first),
         })
 
-    answers = answers.select(F.col("block").alias("of"), "part", "p", "n")
     return texts.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(total, result).withColumnRenamed("id", id_col)

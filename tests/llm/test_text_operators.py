@@ -363,6 +363,19 @@ def test_pitman_yor_sums_to_one():
             assert p.sum() + unknown[0] == pytest.approx(1)
 
 
+def test_pitman_yor_keeps_previous_words_apart(spark):
+    """Previous words that end alike are different contexts, however many there are."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        picks = [rng.randrange(50) for _ in range(40)]
+        rows.append((i, " ".join(f"k{k}xyz v{k}" for k in picks), "s"))
+    got = pitman_yor.score(spark.createDataFrame(rows, SCHEMA), block=4000, part_bytes=20000).collect()
+    held = [r["score"] / 40 for r in got if r["held_out"]]
+    # a draw of 50 words costs 1.7 decimal digits; the word after it is certain
+    assert held and min(held) > -2.2
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     vocab = [f"w{i}x{i % 7}" for i in range(200)]
