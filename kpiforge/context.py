@@ -28,6 +28,9 @@ class Ctx:
     sim_date: date = config.SIM_DATE
     web_sim_date: date = config.WEB_SIM_DATE
     materialize: bool = True
+    #: First and last evaluation day of the backtest; the year up to the as-of date when not given.
+    eval_start: date | None = None
+    eval_end: date | None = None
     memo: dict[str, DataFrame] = field(default_factory=dict)
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
 

@@ -21,6 +21,8 @@ TREND = 15
 LOW_PASS = 9
 INNER = 2
 OUTER = 15
+#: Rows longer than this are smoothed neighbourhood by neighbourhood instead of by dense (n, n) matrices.
+DENSE_DAYS = 512
 
 
 @functools.lru_cache(maxsize=256)
@@ -62,6 +64,8 @@ def _loess(y: np.ndarray, q: int, xs: np.ndarray, nleft: np.ndarray, nright: np.
     fit(xs) = T0/S0 + (xs - xbar) / var * (T1/S0 - xbar * T0/S0), the linear term dropped when
     the neighbourhood is degenerate (h = 0 or a spread below 0.001 (n - 1))."""
     n = y.shape[1]
+    if n > DENSE_DAYS:
+        return _loess_banded(y, q, xs, nleft, nright, rw)
     xs_a, h, w0, w1, w2 = _moment_matrices(n, q, tuple(np.asarray(xs, dtype=float)), tuple(nleft), tuple(nright))
     r = np.ones_like(y) if rw is None else rw
     ry = r * y
@@ -78,6 +82,25 @@ def _loess(y: np.ndarray, q: int, xs: np.ndarray, nleft: np.ndarray, nright: np.
     return ys, ok
 
 
+def _loess_banded(y: np.ndarray, q: int, xs: np.ndarray, nleft: np.ndarray, nright: np.ndarray, rw: np.ndarray | None):
+    """``_loess`` with the points of each neighbourhood gathered: memory grows with n * q, not n * n."""
+    n = y.shape[1]
+    xs_a, idx, w, h = _geometry(n, q, tuple(np.asarray(xs, dtype=float)), tuple(nleft), tuple(nright))
+    x = idx - xs_a[:, None]  # distances, so the fit is wanted at 0
+    r = w[None] if rw is None else w[None] * rw[:, idx]
+    near = y[:, idx]
+    s0 = r.sum(-1)
+    ok = np.broadcast_to(s0 > 0, near.shape[:2])
+    s0 = np.where(s0 > 0, s0, 1.0)
+    xbar = (r * x).sum(-1) / s0
+    var = (r * x * x).sum(-1) / s0 - xbar * xbar
+    t0 = (r * near).sum(-1) / s0
+    t1 = (r * x * near).sum(-1) / s0
+    lin = (h[None, :] > 0) & (np.sqrt(np.maximum(var, 0.0)) > 0.001 * (n - 1))
+    slope = np.where(lin, (t1 - xbar * t0) / np.where(lin, var, 1.0), 0.0)
+    return t0 - xbar * slope, ok
+
+
 def _smooth(y: np.ndarray, q: int, rw: np.ndarray | None) -> np.ndarray:
     """LOESS smoothing of every point with a window of q neighbours sliding along the row."""
     n = y.shape[1]

@@ -33,7 +33,8 @@ MAGNITUDE = 6.0
 
 
 def window(ctx: Ctx) -> tuple[date, date]:
-    return ctx.sim_date - timedelta(days=364), ctx.sim_date
+    end = ctx.eval_end or ctx.sim_date
+    return ctx.eval_start or end - timedelta(days=364), end
 
 
 @model

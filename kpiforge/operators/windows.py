@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kpiforge import config
 from kpiforge.context import Ctx, model
 from kpiforge.functions import stl
-from kpiforge.operators import anomaly, backtest
+from kpiforge.operators import anomaly
 
 SERIES = ["kpi_key", "dimension", "dimension_value"]
 
@@ -100,12 +100,7 @@ def _seasonal_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @model
 def stl_seasonal(ctx: Ctx) -> DataFrame:
-    """Weekly component of a robust STL fit of each KPI total over the evaluation window
-    and its lead-in (one group per KPI, bounded by the calendar)."""
-    start, end = backtest.window(ctx)
-    from datetime import timedelta
-
-    d = dense_totals(ctx).filter(
-        F.col("kpi_date").between(F.lit(start - timedelta(days=config.WINDOW_DAYS - 1)), F.lit(end))
-    ).select("kpi_key", "kpi_date", "value")
+    """Weekly component of a robust STL fit of each KPI total over its whole history
+    (one group per KPI, one row per day)."""
+    d = dense_totals(ctx).select("kpi_key", "kpi_date", "value")
     return d.groupBy("kpi_key").applyInPandas(_seasonal_group, "kpi_key string, kpi_date date, value double, seasonal double")

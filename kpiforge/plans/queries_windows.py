@@ -62,5 +62,5 @@ def trailing_counts(ctx: Ctx) -> DataFrame:
 
 @register("stl_seasonal")
 def stl_seasonal(ctx: Ctx) -> DataFrame:
-    """Weekly STL component of each KPI total over the evaluation window (rows-only)."""
+    """Weekly STL component of each KPI total over its whole history (rows-only)."""
     return windows.stl_seasonal(ctx)
