@@ -10,12 +10,15 @@ have their anchor at the same place, and only anchors whose string occurs again
 3. A range's runs are exchanged and merged by a loser tree. It compares two suffixes only from the prefix
    that both are known to share with the last one put out, and it yields the shared prefix length of
    neighbours. Suffixes that share an anchor string form a group; each window of a member is looked up in it.
+   The suffixes of anchors with more than ``GROUP_MAX`` occurrences are dealt by their block instead, over as many
+   runs' ranges as they need, and all their windows are counted by Spark.
 4. The verdicts (one bit per window) go back to the blocks, which cut the covered bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -298,7 +301,7 @@ def dedup(
             r = _range(own.known, ranges)
             cuts = np.flatnonzero(np.diff(np.concatenate([[-1], r, [ranges]])))
             for x, y in zip(cuts[:-1], cuts[1:]):
-                rows.append(("grams", f"{task}-{n}", int(r[x]), own.known[x:y].tobytes(), np.packbits(own.count[x:y] > 1).tobytes(), [], b""))
+                rows.append(("grams", f"{task}-{n}", int(r[x]), own.known[x:y].tobytes(), own.count[x:y].astype(np.int32).tobytes(), [], b""))
             for row in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
@@ -320,14 +323,18 @@ def dedup(
 
     def recurring(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         known = [np.frombuffer(a, np.uint64) for a in rows["a"]]
-        many = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)).astype(bool) for k, b in zip(known, rows["b"])]
-        _, inverse, counts = np.unique(np.concatenate(known), return_inverse=True, return_counts=True)
-        again = np.split(counts[inverse] > 1, np.cumsum([len(k) for k in known])[:-1])
-        bits = [np.packbits(x | m).tobytes() for x, m in zip(again, many)]
-        return pd.DataFrame({"block": rows["block"], "part": key[0], "n": [len(k) for k in known], "bits": bits})
-
-    marks = stored(grams.groupBy("range").applyInPandas(recurring, "block string, part int, n int, bits binary"))
-    marks = marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "n", "bits"))).alias("back"))
+        own = np.concatenate([np.frombuffer(b, np.int32) for b in rows["b"]])
+        _, inverse = np.unique(np.concatenate(known), return_inverse=True)
+        total = np.bincount(inverse, weights=own)[inverse]
+        ends = np.cumsum([len(k) for k in known])[:-1]
+        bits = [np.packbits(x > 1).tobytes() for x in np.split(total, ends)]
+        hot = [np.packbits(x > group_max).tobytes() if (x > group_max).any() else b"" for x in np.split(total, ends)]
+        spread = [int(x.sum()) for x in np.split(np.where(total > group_max, own, 0), ends)]
+        return pd.DataFrame({"block": rows["block"], "part": key[0], "n": [len(k) for k in known], "bits": bits, "hot": hot, "spread": spread})
+
+    marks = stored(grams.groupBy("range").applyInPandas(recurring, "block string, part int, n int, bits binary, hot binary, spread long"))
+    salts = max(1, -(-(marks.agg(F.sum("spread")).first()[0] or 0) // group_max))
+    marks = marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "n", "bits", "hot"))).alias("back"))
 
     run_schema = "kind string, block string, range int, " + ", ".join(f"{f} binary" for f in Run.FIELDS)
 
@@ -342,6 +349,9 @@ def dedup(
                 # the range of a gram from its place among the block's distinct ones
                 part_of = np.repeat([x["part"] for x in (r.back if r.back is not None else [])], [x["n"] for x in (r.back if r.back is not None else [])])
                 part = part_of[index[chosen]] if len(chosen) else np.zeros(0, np.int64)
+                if len(chosen) and any(x["hot"] for x in r.back):
+                    hot = np.concatenate([np.unpackbits(np.frombuffer(x["hot"] or bytes(len(x["bits"])), np.uint8), count=x["n"]) for x in r.back])
+                    part = np.where(hot[index[chosen]], ranges + zlib.crc32(r.block.encode()) % salts, part)
                 for i, (p, x, f, e) in enumerate(zip(part.tolist(), a.tolist(), s0.tolist(), s1.tolist())):
                     known.setdefault((p, data[x : e + window], data[f:x]), []).append(i)
                 record, order = np.zeros(len(chosen), dtype=np.int32), sorted(known)
@@ -355,19 +365,20 @@ def dedup(
                 del known, order, by_part
                 yield pd.DataFrame(out, columns=["kind", "block", "range", *Run.FIELDS])
 
-    exchanged = stored(_by_block(blocks.select("block", "a", "c"), marks, F.lit(0) + F.size("back") * 16 + F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"]))).mapInPandas(runs, run_schema), by="kind")
+    exchanged = stored(_by_block(blocks.select("block", "a", "c"), marks, F.lit(0) + F.size("back") * 16 + F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"]) + F.length(x["hot"]))).mapInPandas(runs, run_schema), by="kind")
 
     columns = ["block", "part", "bits", "window", "record", "offset"]
 
     def decide(part: int, names: list[str], held: list[Run]) -> Iterator[pd.DataFrame]:
         lefts = [h.lefts() for h in held]
         verdict = [np.zeros((len(h.lcp), width), dtype=bool) for h in held]
-        at, group, deferring = [0] * len(held), [], False
+        hot = part >= ranges  # the other members of a group may lie in other parts
+        at, group, deferring = [0] * len(held), [], hot
 
         def close() -> list[tuple]:
             """Judges the group, or, of one that is too large, passes its windows on."""
             late = []
-            if deferring:
+            if deferring and group:
                 h = _window_hashes(group, window)
                 run, n = np.array([g[4] for g in group]), np.array([g[5] for g in group])
                 for x in np.unique(run):
@@ -390,7 +401,7 @@ def dedup(
                 late = close()
                 if late:
                     yield pd.DataFrame(late, columns=columns)
-                deferring = lcp >= half
+                deferring = hot or lcp >= half
             n = at[r]
             at[r] += 1
             group.append((lcp, suffix, lefts[r][n], held[r].many[n], r, n))

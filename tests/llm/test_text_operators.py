@@ -320,6 +320,26 @@ def test_quality_counts(docs, spark, rows, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_suffix_dedup_spreads_a_frequent_passage(spark):
+    """A passage in many texts with different surroundings does not fill one range; all its copies go."""
+    import glob
+
+    from kpiforge.session import checkpoint_dir
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = " ".join(word() for _ in range(60))
+    around = lambda: " ".join(word() for _ in range(30))
+    rows = [(i, f"{around()} {passage} {around()}", "s") for i in range(200)]
+    folder = f"{checkpoint_dir(spark).removeprefix('file://').rstrip('/')}/llm/*/kind=runs"
+    before = set(glob.glob(folder))
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, SCHEMA), block=4000, group_max=50).collect()
+    assert len(got) == 200 and all(len(passage) <= r["n_removed"] < len(passage) + 20 for r in got)
+    (runs,) = set(glob.glob(folder)) - before
+    per = [r["n"] for r in spark.read.parquet(runs).groupBy("range").agg(F.sum(F.length("lcp")).alias("n")).collect()]
+    assert max(per) < sum(per) / 4
+
+
 def test_pitman_yor(docs, rows, empty):
     got = pitman_yor.score(docs, block=300, part_bytes=4000).collect()
     assert len(got) == len(rows)
