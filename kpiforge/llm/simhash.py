@@ -1,11 +1,11 @@
-"""SimHash near-dedup over a byte-position inverted index with count filtering.
+"""SimHash near-dedup over a byte-position inverted index.
 
 Two 64-bit fingerprints that differ in at most d bits differ in at most d of their 8 bytes, so they
 share at least 8 - d bytes at equal positions. A list of the index holds the fingerprints with given
 bytes at 8 - d positions (what the lists of those single bytes have in common, so a list has at most
-256^d members however large the table is). Pairs that meet in a list are tallied (bytes shared, in
-all 8 positions), those below the guaranteed minimum are dropped and the rest is verified bit by bit.
-A list emits at most one link per member (a spanning forest), and links are joined to components.
+256^d members however large the table is). Being in the same list takes the place of a tally of shared
+bytes: every pair in a list has the guaranteed minimum already. Pairs of a list of up to ``DENSE`` members
+are verified bit by bit; in longer ones each member's neighbours are looked up by flipping bits. A list emits at most one link per member (a spanning forest), and links are joined to components.
 """
 
 from __future__ import annotations
