@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import line_dedup, mixing, neighbours, packing, pitman_yor, quality, sharding, simhash, suffix_dedup, toxicity
-from kpiforge.llm.common import table
+from kpiforge.llm import (
+    line_dedup, mixing, neighbours, packing, periodic, pitman_yor, quality, secrets, sharding, simhash, suffix_dedup, toxicity, variants,
+)
+from kpiforge.llm.common import table, words
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,6 +72,69 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*").drop("clean_text")
 
 
+def _looped(text: Column, doc_id: Column) -> Column:
+    """The texts that op11's contract asks for: of every tenth document (by the checksum of its id), the words from a on repeat with period p."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, ws = F.floor(h / 10).cast("long"), words(text)
+    n = F.size(ws).cast("long")
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+    place = F.sequence(F.lit(0).cast("long"), n - 1)
+    looped = F.transform(place, lambda i: F.get(ws, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(looped, " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, and the texts without their repeats as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.collapse(docs).select("doc_id", "periodic.*")
+    order = lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.array_max(F.transform("runs", order)).alias("top"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+    length, period = F.col("top.length"), -F.col("top.period")
+    return best.select(
+        "doc_id", "n_runs", (-F.col("top.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def _letter_runs(docs: DataFrame) -> DataFrame:
+    """The words of op12's contract: runs of six letters and more, lower-cased, some with one letter left out."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    run = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z\u00C0-\u00FF]{6,})"), 1))
+    runs = docs.select("doc_id", run.alias("run")).select("doc_id", F.translate("run", upper, upper.lower()).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    gap = (h % F.length("run")).cast("int")
+    cut = F.concat(F.col("run").substr(F.lit(1), gap), F.col("run").substr(gap + 2, F.length("run")))
+    return runs.select(F.when(h % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with their near words, forms and roots."""
+    return variants.group(_letter_runs(table(spark, sf_dir, "documents")))
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spelt = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    of = lambda kind: F.filter("secrets", lambda s: s["kind"] == kind)
+    kinds = [kind for kind, *_ in secrets.BASE]
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(spelt(base), 256).alias("base_sha256"), spelt("secrets").alias("spans"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline of corpus_pipeline.py."""
     import corpus_pipeline
@@ -150,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_suffix_dedup, op3_packing, op4_lm_scoring, op5_mixing, op6_sharding, op7_simhash,
-        op8_neighbours, op9_toxicity, op10_quality_rules, pipeline,
+        op8_neighbours, op9_toxicity, op10_quality_rules, op11_periodic_runs, op12_spelling_variants, op13_secret_scans, pipeline,
     )
 }
 
