@@ -76,12 +76,12 @@ def _looped(text: Column, doc_id: Column) -> Column:
     """The texts that op11's contract asks for: of every tenth document (by the checksum of its id), the words from a on repeat with period p."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g, ws = F.floor(h / 10).cast("long"), words(text)
-    n = F.size(ws).cast("long")
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
-    place = F.sequence(F.lit(0).cast("long"), n - 1)
-    looped = F.transform(place, lambda i: F.get(ws, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(looped, " ")).otherwise(text)
+    n = F.when(F.size(ws) > 0, F.size(ws))
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    loop = F.flatten(F.array_repeat(F.slice(ws, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    looped = F.concat(F.slice(ws, F.lit(1), a), F.slice(loop, F.lit(1), n - a))
+    return F.when(h % 10 == 0, F.coalesce(F.array_join(looped, " "), text)).otherwise(text)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
