@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,9 @@ from kpiforge import config
 from kpiforge.session import checkpoint_dir
 from kpiforge.sources.tables import Tables
 
+if TYPE_CHECKING:
+    from kpiforge.operators.rawstore import RawStore
+
 
 @dataclass
 class Ctx:
@@ -28,6 +32,8 @@ class Ctx:
     sim_date: date = config.SIM_DATE
     web_sim_date: date = config.WEB_SIM_DATE
     materialize: bool = True
+    #: Raw tables that staging reads by newest load; None reads the sources directly.
+    raw: RawStore | None = None
     #: First and last evaluation day of the backtest; the year up to the as-of date when not given.
     eval_start: date | None = None
     eval_end: date | None = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,11 +40,26 @@ ITEM_ORDER = [
 ]
 
 
+def newest(ctx: Ctx, name: str) -> DataFrame | None:
+    """An entity's rows from the raw tables, if the context has any: typed, the newest load of each key."""
+    if ctx.raw is None:
+        return None
+    from kpiforge.operators.rawstore import ENTITIES
+
+    return ctx.raw.newest(ENTITIES[name])
+
+
+def source_rows(ctx: Ctx, name: str, landed: Callable[[Ctx], DataFrame]) -> DataFrame:
+    """The newest loaded rows, or what ``landed`` extracts directly."""
+    rows = newest(ctx, name)
+    return landed(ctx) if rows is None else rows
+
+
 @model(table=True)
 def raw_orders(ctx: Ctx) -> DataFrame:
     """The landed ERP orders up to the as-of date (raw layer, read by the staged orders and by
     the review export)."""
-    return landing.erp_orders(ctx)
+    return source_rows(ctx, "orders", landing.erp_orders)
 
 
 @model
@@ -86,7 +101,9 @@ def stg_orders(ctx: Ctx) -> DataFrame:
 def stg_order_items(ctx: Ctx) -> DataFrame:
     """Typed line items, one per (order_id, order_item_id). Money in decimal: the freight is
     price x tax rounded to cents, never rounded in floating point."""
-    raw = latest_per_key(landing.erp_order_items(ctx), ["order_id", "order_item_id"], ITEM_ORDER)
+    raw = source_rows(
+        ctx, "order_items", lambda c: latest_per_key(landing.erp_order_items(c), ["order_id", "order_item_id"], ITEM_ORDER)
+    )
     price = F.col("price").cast("decimal(12,2)")
     freight = F.round(price * F.col("tax_rate").cast("decimal(4,2)"), 2).cast("decimal(12,2)")
     return raw.select(
@@ -102,7 +119,7 @@ def stg_order_items(ctx: Ctx) -> DataFrame:
 
 @model
 def stg_payments(ctx: Ctx) -> DataFrame:
-    raw = landing.erp_payments(ctx)
+    raw = source_rows(ctx, "payments", landing.erp_payments)
     return raw.select(
         "order_id",
         F.col("payment_sequential").cast("int").alias("payment_sequential"),
@@ -114,7 +131,7 @@ def stg_payments(ctx: Ctx) -> DataFrame:
 
 @model
 def stg_customers(ctx: Ctx) -> DataFrame:
-    return landing.erp_customers(ctx).select(
+    return source_rows(ctx, "customers", landing.erp_customers).select(
         "customer_id",
         "customer_unique_id",
         F.col("customer_zip_code_prefix").alias("zip_code_prefix"),
@@ -125,7 +142,7 @@ def stg_customers(ctx: Ctx) -> DataFrame:
 
 @model
 def stg_sellers(ctx: Ctx) -> DataFrame:
-    return landing.erp_sellers(ctx).select(
+    return source_rows(ctx, "sellers", landing.erp_sellers).select(
         "seller_id",
         F.col("seller_zip_code_prefix").alias("zip_code_prefix"),
         F.col("seller_city").alias("city"),
@@ -135,7 +152,7 @@ def stg_sellers(ctx: Ctx) -> DataFrame:
 
 @model
 def stg_products(ctx: Ctx) -> DataFrame:
-    return landing.erp_products(ctx).select(
+    return source_rows(ctx, "products", landing.erp_products).select(
         "product_id",
         F.col("product_category_name").alias("category_name_pt"),
         F.col("product_photos_qty").cast("int").alias("photos_qty"),
@@ -157,7 +174,7 @@ def stg_category_translation(ctx: Ctx) -> DataFrame:
 
 @model
 def stg_reviews(ctx: Ctx) -> DataFrame:
-    raw = landing.legacy_reviews(ctx, orders=raw_orders(ctx))
+    raw = source_rows(ctx, "reviews", lambda c: landing.legacy_reviews(c, orders=raw_orders(c)))
     return raw.select(
         "review_id",
         "order_id",
@@ -180,7 +197,7 @@ def stg_geolocation(ctx: Ctx) -> DataFrame:
 
 @model
 def stg_marketing(ctx: Ctx) -> DataFrame:
-    return landing.marketing_daily(ctx).select(
+    return source_rows(ctx, "daily", landing.marketing_daily).select(
         F.col("date").alias("marketing_date"),
         "channel",
         F.col("sessions").cast("int").alias("sessions"),

@@ -64,6 +64,7 @@ def all_queries() -> dict[str, QueryFn]:
     from kpiforge.plans import queries_windows  # noqa: F401
     from kpiforge.plans import queries_loads  # noqa: F401
     from kpiforge.plans import queries_audits  # noqa: F401
+    from kpiforge.plans import queries_raw  # noqa: F401
 
     return dict(QUERIES)
 
