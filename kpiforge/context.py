@@ -2,9 +2,9 @@
 
 Models are plain functions ``ctx -> DataFrame``. Memoising them per context means a model read
 by several downstream models is one logical subtree. Marts (``@model(table=True)``) are
-additionally materialised once per run as Parquet under the session's shared checkpoint
-folder and read back: the lineage is cut (a lost executor recomputes nothing upstream), and
-every reader gets column pruning and filter pushdown on the written table.
+additionally written to the mart store (``kpiforge.martstore``) and read back: the lineage is cut (a
+lost executor recomputes nothing upstream), every reader gets column pruning and filter pushdown
+on the written table, and contexts over the same input files and dates share it.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge import config
-from kpiforge.session import checkpoint_dir
+from kpiforge.martstore import MartStore
 from kpiforge.sources.tables import Tables
 
 if TYPE_CHECKING:
@@ -37,8 +37,10 @@ class Ctx:
     #: First and last evaluation day of the backtest; the year up to the as-of date when not given.
     eval_start: date | None = None
     eval_end: date | None = None
+    #: The days that the daily mart is built for; all, if not given.
+    only_days: tuple[date, ...] | None = None
     memo: dict[str, DataFrame] = field(default_factory=dict)
-    run_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
+    _store: MartStore | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -48,8 +50,19 @@ class Ctx:
     def of(cls, spark: SparkSession, sf_dir: str, **kw) -> Ctx:
         return cls(Tables(spark, sf_dir), **kw)
 
-    def table_path(self, name: str) -> str:
-        return f"{checkpoint_dir(self.spark).rstrip('/')}/marts/{self.run_id}/{name}"
+    @property
+    def store(self) -> MartStore:
+        """The marts of this context's inputs and dates; raw tables, which change, have marts of their own."""
+        if self._store is None:
+            dates = (self.sim_date, self.web_sim_date, self.eval_start, self.eval_end)
+            own = uuid.uuid4().hex[:16] if self.raw is not None else None
+            source = self.raw.root if self.raw is not None else self.tables.sf_dir
+            self._store = MartStore(self.spark, source, dates, version=own)
+        return self._store
+
+    def on_days(self, days: list[date] | None) -> Ctx:
+        """This context for some days of the daily mart."""
+        return self if days is None else replace(self, only_days=tuple(days), memo={}, _store=self.store)
 
 
 def model(fn: Callable[[Ctx], DataFrame] | None = None, *, table: bool = False):
@@ -60,12 +73,7 @@ def model(fn: Callable[[Ctx], DataFrame] | None = None, *, table: bool = False):
         def wrapper(ctx: Ctx) -> DataFrame:
             key = f.__module__ + "." + f.__name__
             if key not in ctx.memo:
-                df = f(ctx)
-                if table and ctx.materialize:
-                    path = ctx.table_path(f.__name__)
-                    df.write.mode("overwrite").parquet(path)
-                    df = ctx.spark.read.parquet(path)
-                ctx.memo[key] = df
+                ctx.memo[key] = ctx.store.get(f.__name__, lambda: f(ctx)) if table and ctx.materialize else f(ctx)
             return ctx.memo[key]
 
         return wrapper

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.context import Ctx, model
@@ -63,16 +63,16 @@ def date_spine(ctx: Ctx) -> DataFrame:
 
 
 def densify_totals(ctx: Ctx, agg: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Zero-filled total rows on the spine + member rows as they are."""
-    totals = agg.filter(F.col("dimension") == "total").drop("dimension", "dimension_value")
-    dense = date_spine(ctx).join(totals, "kpi_date", "left").select(
-        "kpi_date",
-        F.lit("total").alias("dimension"),
-        F.lit("all").alias("dimension_value"),
-        *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures],
-    )
-    members = agg.filter(F.col("dimension") != "total").select("kpi_date", "dimension", "dimension_value", *measures)
-    return dense.unionByName(members)
+    """Zero-filled total rows on the spine + member rows as they are: the aggregate and a row of zeros per day, summed once."""
+    spine = on_days(ctx, date_spine(ctx), "kpi_date")
+    zeros = spine.select("kpi_date", F.lit("total").alias("dimension"), F.lit("all").alias("dimension_value"), *[F.lit(0).alias(m) for m in measures])
+    both = agg.select("kpi_date", "dimension", "dimension_value", *measures).unionByName(zeros)
+    return both.groupBy("kpi_date", "dimension", "dimension_value").agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def on_days(ctx: Ctx, df: DataFrame, day: str) -> DataFrame:
+    """The rows of the days that the context asks for."""
+    return df if ctx.only_days is None else df.where(F.col(day).isin(list(ctx.only_days)))
 
 
 def unpivot(df: DataFrame, rows: Sequence[tuple[str, str, str, str | None]]) -> DataFrame:
@@ -87,7 +87,7 @@ def unpivot(df: DataFrame, rows: Sequence[tuple[str, str, str, str | None]]) ->
 
 @model
 def kpi_orders_agg(ctx: Ctx) -> DataFrame:
-    o = marts.fct_orders(ctx)
+    o = on_days(ctx, marts.fct_orders(ctx), "purchase_date")
     return grouped_by_dimension(
         o,
         "purchase_date",
@@ -104,23 +104,38 @@ def kpi_orders_agg(ctx: Ctx) -> DataFrame:
 
 @model
 def kpi_items_agg(ctx: Ctx) -> DataFrame:
-    i = marts.fct_order_items(ctx).filter(~F.col("is_canceled"))
-    return grouped_by_dimension(
-        i,
+    """Item measures per day, region and category with the number of different orders.
+
+    Items are summed per order and category after one shuffle by order; one of an order's rows is
+    marked, so that orders are counted by sums (a day's and a region's by the marks, a category's by the rows) and
+    no order id passes the grouping sets.
+    """
+    i = on_days(ctx, marts.fct_order_items(ctx).filter(~F.col("is_canceled")), "purchase_date")
+    keys = ["order_id", "purchase_date", "state_code", "category_name_en"]
+    per = i.select(*keys, "price", "freight_value").repartition("order_id").groupBy(*keys).agg(
+        F.sum("price").alias("gmv"), F.sum("freight_value").alias("freight"), F.count(F.lit(1)).alias("items")
+    )
+    first = F.row_number().over(Window.partitionBy("order_id").orderBy("category_name_en")) == 1
+    marked = per.select("*", first.cast("int").alias("first"))
+    counted = grouped_by_dimension(
+        marked,
         "purchase_date",
         [("region", "state_code"), ("category", "category_name_en")],
         {
-            "gmv": F.sum("price"),
-            "freight": F.sum("freight_value"),
-            "items": F.count(F.lit(1)),
-            "orders_with_items": F.count_distinct("order_id"),
+            "gmv": F.sum("gmv"),
+            "freight": F.sum("freight"),
+            "items": F.sum("items"),
+            "firsts": F.sum("first"),
+            "order_rows": F.count(F.lit(1)),
         },
     )
+    orders = F.when(F.col("dimension") == "category", F.col("order_rows")).otherwise(F.col("firsts"))
+    return counted.select("kpi_date", "dimension", "dimension_value", "gmv", "freight", "items", orders.alias("orders_with_items"))
 
 
 @model
 def kpi_delivery_agg(ctx: Ctx) -> DataFrame:
-    o = marts.fct_orders(ctx).filter(F.col("delivery_date").isNotNull())
+    o = on_days(ctx, marts.fct_orders(ctx).filter(F.col("delivery_date").isNotNull()), "delivery_date")
     return grouped_by_dimension(
         o,
         "delivery_date",
@@ -135,7 +150,7 @@ def kpi_delivery_agg(ctx: Ctx) -> DataFrame:
 
 @model
 def kpi_review_agg(ctx: Ctx) -> DataFrame:
-    r = marts.fct_reviews(ctx)
+    r = on_days(ctx, marts.fct_reviews(ctx), "review_date")
     return grouped_by_dimension(
         r,
         "review_date",
@@ -198,7 +213,7 @@ def kpi_inputs(ctx: Ctx) -> DataFrame:
         ),
         unpivot(kpi_review_agg(ctx), [("review_score_avg", "ratio", "score_sum", "reviews")]),
         unpivot(
-            kpi_marketing(ctx),
+            on_days(ctx, kpi_marketing(ctx), "kpi_date"),
             [
                 ("conversion_rate", "ratio", "web_orders", "sessions"),
                 ("roas", "ratio", "web_revenue", "ad_spend"),
@@ -219,8 +234,7 @@ def kpi_entity_id(dimension: Column, member: Column, kpi_key: Column) -> Column:
     )
 
 
-@model(table=True)
-def kpi_daily(ctx: Ctx) -> DataFrame:
+def kpi_rows(ctx: Ctx) -> DataFrame:
     k = kpi_inputs(ctx)
     return k.select(
         "kpi_date",
@@ -235,6 +249,34 @@ def kpi_daily(ctx: Ctx) -> DataFrame:
     )
 
 
+def day_digests(ctx: Ctx) -> DataFrame:
+    """(part, day, n, digest): per day of each input of the daily mart, its rows' number and the sum of their hashes."""
+    orders = marts.fct_orders(ctx)
+    parts = {
+        "orders": ("purchase_date", orders.select("purchase_date", "state_code", "is_canceled", "is_first_order")),
+        "delivery": ("delivery_date", orders.where("delivery_date IS NOT NULL").select("delivery_date", "state_code", "delivery_days", "is_on_time")),
+        "items": ("purchase_date", marts.fct_order_items(ctx).where("NOT is_canceled").select(
+            "purchase_date", "order_id", "state_code", "category_name_en", "price", "freight_value")),
+        "reviews": ("review_date", marts.fct_reviews(ctx).select("review_date", "state_code", "review_score")),
+        "marketing": ("kpi_date", kpi_marketing(ctx)),
+    }
+    out = None
+    for part, (day, df) in parts.items():
+        own = df.groupBy(F.col(day).alias("day")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("digest")
+        ).select(F.lit(part).alias("part"), "day", "n", "digest")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@model
+def kpi_daily(ctx: Ctx) -> DataFrame:
+    """The daily mart; from the mart store, if the context writes marts, where only changed days are built."""
+    if not ctx.materialize:
+        return kpi_rows(ctx)
+    return ctx.store.by_day("kpi_daily", "kpi_date", lambda: day_digests(ctx), lambda days: kpi_rows(ctx.on_days(days)))
+
+
 @model
 def kpi_budget(ctx: Ctx) -> DataFrame:
     """budget_deviation per month: total and per category (grouping sets)."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame
@@ -15,7 +14,6 @@ from kpiforge.plans.catalog import ORACLE, register
 from kpiforge.plans.oracle_ctes import cte, with_ctes
 from kpiforge.sources.registry import registry_values_sql
 
-register_lazy = functools.partial(register, materialize=False)  # single-plan query-layer calls
 
 # --- fixed parameters of the registered query-layer calls ----------------------------------------
 SIM_D = config.SIM_DATE
@@ -50,7 +48,7 @@ _WINDOW_VALUE = (
 )
 
 
-@register_lazy(
+@register(
     "kpi_window_value",
     with_ctes(
         f"""SELECT kpi_key, dimension, dimension_value, entity_id, {_WINDOW_VALUE} AS value
@@ -74,7 +72,7 @@ def _wv(prefix: str) -> str:
     )
 
 
-@register_lazy(
+@register(
     "kpi_breakdown",
     with_ctes(
         f"""SELECT *, row_number() OVER (PARTITION BY kpi_key, dimension
@@ -134,7 +132,7 @@ DAY_START, DAY_END = query.PeriodWindow.latest("day", SIM_D).bounds
 _DP_START, _DP_END = query.PeriodWindow.between("day", DAY_START, DAY_END).previous().bounds
 
 
-@register_lazy(
+@register(
     "kpi_breakdown_daily",
     with_ctes(_breakdown_sql("daily_rows", DAY_START, DAY_END, _DP_START, _DP_END), "daily_rows"),
 )
@@ -144,7 +142,7 @@ def kpi_breakdown_daily(ctx: Ctx) -> DataFrame:
     return query.breakdown(_daily_rows(ctx), "day", DAY_START, DAY_END)
 
 
-@register_lazy(
+@register(
     "breakdown_presentation",
     f"""SELECT b.kpi_key, b.dimension, b.dimension_value,
                CASE WHEN r.unit = 'ratio' THEN b.change_abs * 100 ELSE b.change_pct END AS change_shown,
@@ -165,7 +163,7 @@ def breakdown_presentation(ctx: Ctx) -> DataFrame:
     )
 
 
-@register_lazy(
+@register(
     "kpi_series_top",
     with_ctes(
         f"""SELECT w.kpi_key, w.dimension, w.dimension_value, w.entity_id, w.period, w.value, v.member_rank
@@ -183,7 +181,7 @@ def kpi_series_top(ctx: Ctx) -> DataFrame:
     return query.series(_monthly_rows(ctx), HISTORY_START, SIM_D, None, 5)
 
 
-@register_lazy(
+@register(
     "kpi_series",
     with_ctes(
         f"""SELECT kpi_key, dimension, dimension_value, entity_id, period, value FROM daily_rows
@@ -199,7 +197,7 @@ def kpi_series(ctx: Ctx) -> DataFrame:
 _PIVOT_SQL = ", ".join(f"max(value) FILTER (WHERE kpi_key = '{k}') AS {k}" for k in config.MONTHLY_KPI_KEYS)
 
 
-@register_lazy(
+@register(
     "kpi_series_pivot",
     with_ctes(f"SELECT period, {_PIVOT_SQL} FROM monthly_rows WHERE dimension = 'total' GROUP BY period", "monthly_rows"),
 )
@@ -209,7 +207,7 @@ def kpi_series_pivot(ctx: Ctx) -> DataFrame:
     return rows.groupBy("period").pivot("kpi_key", config.MONTHLY_KPI_KEYS).agg(F.max("value"))
 
 
-@register_lazy(
+@register(
     "visible_kpis",
     with_ctes(
         """SELECT r.key, r.label, r.unit, r.grain, r.data_class, l.latest_date, l.latest_value
@@ -472,7 +470,7 @@ def insights_query(ctx: Ctx) -> DataFrame:
     )
 
 
-@register_lazy("panel_deviations", f"SELECT * FROM ({ORACLE['kpi_breakdown']}) b WHERE position <= {query.PANEL_DEVIATIONS}")
+@register("panel_deviations", f"SELECT * FROM ({ORACLE['kpi_breakdown']}) b WHERE position <= {query.PANEL_DEVIATIONS}")
 def panel_deviations(ctx: Ctx) -> DataFrame:
     """The 12 strongest deviations of every KPI and dimension, last 12 months vs the 12 before."""
     rows = query.breakdown(_monthly_rows(ctx), "month", BREAKDOWN_START, BREAKDOWN_END)
