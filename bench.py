@@ -33,13 +33,14 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    from kpiforge.martstore import DIR
     from kpiforge.session import local_session
     from kpiforge.plans.catalog import all_queries
 
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="kpiforge-bench")
     queries = all_queries()
     names = [n for n in HEADLINE if n in queries]
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-"))
+    spark.conf.set(DIR, tempfile.mkdtemp(prefix="bench-"))
     # JVM / code-generation warm-up on the smallest tables (not timed).
     warm_dir = "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf_dir
     queries["fct_orders"](spark, warm_dir).write.format("noop").mode("overwrite").save()
@@ -47,7 +48,7 @@ def main() -> None:
     warm: dict[str, float] = {}
     shared = tempfile.mkdtemp(prefix="bench-")
     for name in names:
-        spark.sparkContext.setCheckpointDir(f"{shared}/{name}")
+        spark.conf.set(DIR, f"{shared}/{name}")
         for found in (timings, warm):
             t0 = time.perf_counter()
             df = queries[name](spark, sf_dir)

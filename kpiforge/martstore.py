@@ -30,10 +30,17 @@ INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 KEEP = 2
 #: Beyond this share of changed days, or this many patches, a mart is written anew.
 MAX_CHANGED, MAX_PATCHES = 0.25, 8
+#: Session setting: where marts are stored (a folder that all executors share).
+DIR = "spark.kpiforge.marts.dir"
 #: Marks a version in use; the newest mark is the newest version.
 MARK = "_used"
 
 
+def store_dir(spark: SparkSession) -> str:
+    """The folder that the setting DIR names, or one in the shared checkpoint folder."""
+    return (spark.conf.get(DIR, None) or f"{checkpoint_dir(spark).rstrip('/')}/marts").rstrip("/")
+
+
 @functools.lru_cache(maxsize=1)
 def code_hash() -> str:
     """Hash of the package's sources, so that changed code never reads marts of other code."""
@@ -62,7 +69,7 @@ class MartStore:
     def __init__(self, spark: SparkSession, sf_dir: str, dates: tuple, version: str | None = None):
         self.spark = spark
         slot = hashlib.sha256(f"{sf_dir}|{'|'.join(map(str, dates))}".encode()).hexdigest()[:16]
-        self.slot = f"{checkpoint_dir(spark).rstrip('/')}/marts/{slot}"
+        self.slot = f"{store_dir(spark)}/{slot}"
         self.version = version or fingerprint(spark, sf_dir)
         self.root = f"{self.slot}/{self.version}"
 

@@ -9,8 +9,8 @@ Plan (all distributed, no driver loop over KPIs or days):
    trailing windows contain it (about 2 copies) -- the range join made an equi-join -- and
    ``applyInPandas`` per (series, bucket) scores all target days of the bucket with the
    batched STL kernel. Group size is bounded by 239 days, independent of the data volume.
-4. ``robust_score_core``: the same score with the weekly component fixed at zero, written
-   entirely as window functions (checkable against SQL).
+4. ``robust_score_core``: the same score with the weekly component fixed at zero, by sliding order
+   statistics over the same buckets (checkable against SQL).
 5. Threshold detection on the monthly mart is plain SQL-able DataFrame code.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kpiforge import config
 from kpiforge.context import Ctx, model
-from kpiforge.functions import stl
+from kpiforge.functions import orderstat, stl
 from kpiforge.functions.columns import threshold_severity
 from kpiforge.operators import kpi
 from kpiforge.sources.registry import registry_df
@@ -214,32 +214,37 @@ def series_densify(ctx: Ctx) -> DataFrame:
     return days.join(values, [*SERIES_KEYS, "day"], "left")
 
 
+def _spread_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level and error spread of every target day of one (series, bucket) group."""
+    lo = int(pdf["bucket"].iloc[0]) * BUCKET_DAYS - (config.WINDOW_DAYS - 1)
+    values = np.full(BUCKET_DAYS + config.WINDOW_DAYS - 1, np.nan)
+    values[pdf["day_num"].to_numpy() - lo] = pdf["value"].to_numpy(dtype=float)
+    targets = np.sort(pdf.loc[pdf["is_target"], "day_num"].to_numpy()) - lo
+    rows = orderstat.error_spread(values, targets.tolist(), config.WINDOW_DAYS, config.LEVEL_DAYS)
+    out = pd.DataFrame(rows, columns=["level", "history", "errors", "center", "mad"])
+    out.insert(0, "observed", values[targets])
+    out.insert(0, "eval_day", pd.to_datetime(targets + lo, unit="D").date)
+    for k in reversed(SERIES_KEYS):
+        out.insert(0, k, pdf[k].iloc[0])
+    return out
+
+
 @model
 def robust_score_core(ctx: Ctx) -> DataFrame:
-    """T04-T07 with the weekly component fixed at zero, all in window functions: causal level
-    (median of the previous 14 days, at least 7 present), one-step errors, center = median,
-    scale = 1.4826 x MAD with the 1 % level floor, applicability gates, score."""
+    """T02/T04-T07 with the weekly component fixed at zero: causal level (median of the previous 14
+    days, at least 7 present), one-step errors, center = median, scale = 1.4826 x MAD with the 1 % level
+    floor, applicability gates, score. The medians slide over each series (``functions.orderstat``):
+    a value row is copied to about two buckets of days, not to the 120 windows that hold it."""
     reg = F.broadcast(registry(ctx).select(F.col("key").alias("kpi_key"), "min_history_days"))
-    d = series_densify(ctx).join(reg, "kpi_key")
     win = [*SERIES_KEYS, "eval_day"]
-    prev14 = Window.partitionBy(*win).orderBy("day").rowsBetween(-config.LEVEL_DAYS, -1)
-    lvl = d.select(
-        "*",
-        F.when(
-            F.count("value").over(prev14) >= config.LEVEL_DAYS // 2, F.percentile(F.col("value"), 0.5).over(prev14)
-        ).alias("level"),
-    )
-    hist = F.col("day") < F.col("eval_day")
-    err = lvl.select("*", F.when(hist, F.col("value") - F.col("level")).alias("err"))
-    centered = err.select("*", F.percentile(F.col("err"), 0.5).over(Window.partitionBy(*win)).alias("center"))
-    agg = centered.groupBy(*win, "min_history_days").agg(
-        F.max(F.when(~hist, F.col("value"))).alias("observed"),
-        F.max(F.when(~hist, F.col("level"))).alias("level"),
-        F.count(F.when(hist, F.col("value"))).alias("history"),
-        F.count("err").alias("errors"),
-        F.max("center").alias("center"),
-        F.percentile(F.abs(F.col("err") - F.col("center")), 0.5).alias("mad"),
+    values = alert_series(ctx).select(*SERIES_KEYS, "kpi_date", "value")
+    targets = monitor_targets_daily(ctx).select(*SERIES_KEYS, F.col("eval_day").alias("kpi_date"))
+    schema = ", ".join(f"{k} string" for k in SERIES_KEYS) + (
+        ", eval_day date, observed double, level double, history long, errors long, center double, mad double"
     )
+    spread = bucketed(values, targets, SERIES_KEYS).groupBy(*SERIES_KEYS, "bucket").applyInPandas(_spread_group, schema)
+    known = {c: F.nanvl(c, F.lit(None)) for c in ("observed", "level", "center", "mad")}
+    agg = spread.withColumns(known).join(reg, "kpi_key")
     scale = F.greatest(
         F.lit(config.MAD_TO_SIGMA) * F.col("mad"), F.lit(config.SCALE_FLOOR) * F.abs(F.col("level")), F.lit(1e-9)
     )
@@ -308,29 +313,31 @@ def _bucket_scorer(keys: list[str]):
     return score, schema
 
 
-def score_days(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Robust seasonal score of every target (series, day), each day seeing only its own
-    trailing window.
+def bucketed(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Every value row in the 120-day buckets whose trailing windows contain it (about 2 copies: the
+    range join made an equi-join), for buckets with a target day.
 
-    ``values``: keys + kpi_date, value, threshold, min_history_days (string keys);
-    ``targets``: keys + kpi_date. Every value row is copied to the 120-day buckets whose
-    trailing windows contain it (about 2 copies: the range join made an equi-join); one
-    ``applyInPandas`` group per (series, bucket) holds at most 239 days whatever the data
-    volume, and only buckets with a target day are shipped to Python.
+    ``values``: keys + kpi_date and what else is needed (string keys); ``targets``: keys + kpi_date.
+    The result has bucket, day_num and is_target instead of the date; a group (keys, bucket) holds at
+    most 239 days whatever the data volume.
     """
     t = targets.select(*keys, "kpi_date", F.lit(True).alias("_t"))
     dn = day_number(F.col("kpi_date"))
-    tagged = values.join(t, [*keys, "kpi_date"], "left")
-    exploded = tagged.select(
+    rest = [c for c in values.columns if c not in keys and c != "kpi_date"]
+    exploded = values.join(t, [*keys, "kpi_date"], "left").select(
         *keys,
         dn.alias("day_num"),
-        "value",
-        "threshold",
-        "min_history_days",
+        *rest,
         F.coalesce(F.col("_t"), F.lit(False)).alias("_t"),
         F.explode(F.sequence(F.floor(dn / BUCKET_DAYS), F.floor((dn + config.WINDOW_DAYS - 1) / BUCKET_DAYS))).alias("bucket"),
     ).select("*", (F.col("_t") & (F.floor(F.col("day_num") / BUCKET_DAYS) == F.col("bucket"))).alias("is_target")).drop("_t")
     live = exploded.filter("is_target").select(*keys, "bucket").distinct()
-    groups = exploded.join(live, [*keys, "bucket"], "left_semi")
+    return exploded.join(live, [*keys, "bucket"], "left_semi")
+
+
+def score_days(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Robust seasonal score of every target (series, day), each day seeing only its own
+    trailing window. ``values``: keys + kpi_date, value, threshold, min_history_days; ``targets``: keys + kpi_date.
+    """
     fn, schema = _bucket_scorer(keys)
-    return groups.groupBy(*keys, "bucket").applyInPandas(fn, schema)
+    return bucketed(values, targets, keys).groupBy(*keys, "bucket").applyInPandas(fn, schema)

@@ -88,5 +88,5 @@ def series_densify(ctx: Ctx) -> DataFrame:
 
 @register("robust_score_core", with_ctes("SELECT * FROM robust_score_core", "robust_score_core"))
 def robust_score_core(ctx: Ctx) -> DataFrame:
-    """Robust score with zero weekly component, all window functions."""
+    """Robust score with zero weekly component, by sliding medians."""
     return anomaly.robust_score_core(ctx)

@@ -19,10 +19,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are m
 
 
 @pytest.fixture
-def folder(tmp_path):
+def folder(spark, tmp_path):
+    spark.conf.set("spark.kpiforge.marts.dir", str(tmp_path / "marts"))
     for t in INPUTS:
         shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
-    return str(tmp_path)
+    yield str(tmp_path)
+    spark.conf.unset("spark.kpiforge.marts.dir")
 
 
 def rewrite(spark, folder, table, change):
