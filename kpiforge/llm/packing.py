@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +31,8 @@ LEAST_GRANT = 64
 PARTITION_TOKENS = 1 << 22
 #: Beyond this many sources, queues are groups of sources (by hash).
 MAX_QUEUES = 4096
-#: Encodings remembered by a Python worker, from task to task, in each of two generations (spellings: half of it).
-MAX_MEMO = 1 << 18
+#: Encodings remembered by a Python worker, from task to task, in each of two generations, and spellings.
+MAX_MEMO, MAX_SPELT = 3 << 17, 3 << 17
 #: Longer words are encoded anew each time.
 MEMO_BYTES = 64
 
@@ -38,8 +40,9 @@ MEMO_BYTES = 64
 #: The normalizers and the pieces of the tokenizers whose words are encoded one by one.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Latin-1 letters, then ASCII marks: a word of (at most) two pieces, which normalizing only lower-cases.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: A word of these letters and then ASCII marks is (at most) two pieces, which normalizing only lower-cases.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
 
 
@@ -58,7 +61,7 @@ def word_by_word(tokenizer) -> bool:
 class WordIds(dict):
     """Word -> its ids as bytes, for tokenizers that ``word_by_word`` accepts.
 
-    Spellings of a word that differ in case or in end marks share one encoding. Pieces of plain words go
+    Spellings of a word that differ in ASCII case or in end marks share one encoding. Pieces of plain words go
     to the tokenizer's model as they are; all other words take its whole way.
     """
 
@@ -67,46 +70,60 @@ class WordIds(dict):
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         self.model = self.tokenizer.model
-        self.core: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.core: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
         self.spelt = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text)
-        if plain is None:
-            out = self._known(text, self._whole)
-        else:
-            head, marks = plain.groups()
-            out = self._known(head.lower(), self._letters)
-            if marks:
-                out += self._known(marks, self._marks)
+        head = word.rstrip(MARKS)
+        key = head.lower()
+        out = self.core.get(key) or self._encoded(key, None)
+        if out is None:  # not plain
+            whole = b"\0" + word  # apart from the letters of plain words
+            out = self.core.get(whole) or self._encoded(whole, word)
+        elif len(head) < len(word):
+            out += self._marked(word[len(head) :])
         if len(word) <= MEMO_BYTES:
-            if len(self) >= MAX_MEMO // 2:
+            if len(self) >= MAX_SPELT:
                 self.clear()
             self[word] = out
         return out
 
-    def _known(self, text: str, encode) -> bytes:
-        out = self.core.get(text)
+    def _encoded(self, key: bytes, word: bytes | None) -> bytes | None:
+        """Ids of the letters ``key`` (None if it is something else), or of the whole ``word``, to be kept under ``key``."""
+        out = self.old.get(key)
         if out is None:
-            out = self.old.get(text)
-            if out is None:
-                out = np.array(encode(text), dtype=self.dtype).tobytes()
-            if len(text) <= MEMO_BYTES:
-                if len(self.core) >= MAX_MEMO:  # words in use move on to the next generation
-                    self.old, self.core = self.core, {}
-                self.core[text] = out
+            if word is not None:
+                ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            elif key.isalpha():  # ASCII letters are spelt as they are
+                ids = [t.id for t in self.model.tokenize(key.decode())]
+            elif PLAIN.fullmatch(text := key.decode("utf-8", "replace")):
+                ids = [t.id for t in self.model.tokenize(text.lower().translate(self.spelt))]
+            else:
+                return None
+            out = _ids_bytes(ids, self.dtype)
+        if len(key) <= MEMO_BYTES:
+            if len(self.core) >= MAX_MEMO:  # words in use move on to the next generation
+                self.old, self.core = self.core, {}
+            self.core[key] = out
         return out
 
-    def _letters(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.translate(self.spelt))]
+    def _marked(self, marks: bytes) -> bytes:
+        out = self.marks.get(marks)
+        if out is None:
+            # ASCII marks are spelt as they are
+            out = _ids_bytes([t.id for t in self.model.tokenize(marks.decode())], self.dtype)
+            if len(marks) <= MEMO_BYTES and len(self.marks) < MAX_SPELT:
+                self.marks[marks] = out
+        return out
 
-    def _marks(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text)]  # ASCII marks are spelt as they are
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+def _ids_bytes(ids: list[int], dtype: str) -> bytes:
+    code = array("H" if dtype == "<u2" else "I", ids)
+    if sys.byteorder == "big":
+        code.byteswap()
+    return code.tobytes()
 
 
 class TextIds:
