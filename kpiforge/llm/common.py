@@ -15,8 +15,8 @@ from kpiforge.session import checkpoint_dir, ensure_defaults
 #: ASCII white space: the characters that end a word.
 SPACE = " \t\n\x0b\f\r"
 
-#: A table of at most this many rows may be broadcast (its rows are counted first).
-BROADCAST_ROWS = 200_000
+#: A table of at most this many rows and bytes (as JSON) may be broadcast; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 #: Rows of one Arrow batch between the JVM and Python; texts are large, so batches are short.
@@ -87,13 +87,15 @@ def unit_hash(*cols: Column, seed: str) -> Column:
 def attach(docs: DataFrame, small: DataFrame, on: list[str], salts: int = 64) -> DataFrame:
     """Left join of ``docs`` with a table of one row per key; nulls in a key match each other.
 
-    ``small`` must be cut (it is counted): up to BROADCAST_ROWS rows it is broadcast, beyond that its
-    rows are repeated for each salt, so that a key with a third of all documents is spread over
-    ``salts`` partitions.
+    ``small`` must be cut (it is counted): up to BROADCAST_ROWS rows and BROADCAST_BYTES bytes it is
+    broadcast, beyond that its rows are repeated for each salt, so that a key with a third of all
+    documents is spread over ``salts`` partitions.
     """
     s = small.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in small.columns if c not in on])
     match = reduce(lambda a, b: a & b, [docs[c].eqNullSafe(s[f"__r_{c}"]) for c in on])
-    if small.count() <= BROADCAST_ROWS:
+    spelt = F.octet_length(F.to_json(F.struct(*small.columns)))
+    counted = small.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(spelt), F.lit(0)).alias("bytes")).first()
+    if counted["n"] <= BROADCAST_ROWS and counted["bytes"] <= BROADCAST_BYTES:
         joined = docs.join(F.broadcast(s), match, "left")
     else:
         salt = fresh(docs, "__salt")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import SPACE, attach, cut, fresh
 
 RATIO = 0.05
-MIN_PAGES = 5
+#: A line of one page alone is no boilerplate, whatever its share.
+MIN_PAGES = 2
 
 
 def _line_keys(lines):
@@ -44,11 +45,11 @@ def drop_boilerplate(docs: DataFrame, host_col="source", text_col="text", ratio=
     text is one blank line; a text whose lines all go is left empty. Repeated rows are pages of
     their own. Tables without rows give none.
     """
-    out, lines, keys = fresh(docs, "lines"), fresh(docs, "__lines"), fresh(docs, "__keys")
+    out, lines, keys, host = (fresh(docs, c) for c in ("lines", "__lines", "__keys", "__host"))
     gone = cut(boilerplate(docs, host_col, text_col, ratio, min_pages).select(
-        F.col("host").alias("__host"), F.col("lines").alias(keys)
+        F.col("host").alias(host), F.col("lines").alias(keys)
     ))
-    joined = attach(docs.withColumn("__host", F.col(host_col)), gone, ["__host"])
+    joined = attach(docs.withColumn(host, F.col(f"`{host_col}`")), gone, [host])
     split = F.split(F.col(text_col), "\n", -1)
     kept = F.when(F.col(keys).isNull(), split).otherwise(
         F.filter(split, lambda x: ~F.array_contains(F.col(keys), F.md5(x)))

@@ -59,19 +59,19 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     out, key, size = fresh(docs, "mix"), "source", fresh(docs, "__size")
     sized = docs.withColumn(size, F.size(words(F.col(text_col))).cast("long"))
     sizes = sized.groupBy(F.col(source_col).alias(key)).agg(F.sum(size).alias("source_size"))
+    of, source = fresh(docs, "__of"), fresh(docs, "__source")
     side = cut(
-        source_targets(sizes, **how).select(
-            F.col("source").alias("__source"), F.struct("source_size", "target").alias("__of")
-        )
+        source_targets(sizes, **how).select(F.col("source").alias(source), F.struct("source_size", "target").alias(of))
     )
-    keyed = sized.withColumn("__source", F.col(source_col))
-    joined = attach(keyed, side, ["__source"])
-    rate = F.when(F.col("__of.source_size") > 0, F.col("__of.target") / F.col("__of.source_size")).otherwise(0.0)
+    keyed = sized.withColumn(source, F.col(f"`{source_col}`"))
+    joined = attach(keyed, side, [source])
+    full, target = F.col(f"{of}.source_size"), F.col(f"{of}.target")
+    rate = F.when(full > 0, target / full).otherwise(0.0)
     whole = F.floor(rate)
     extra = (unit_hash(F.col(id_col), seed=seed) < rate - whole).cast("int")
     made = F.struct(
-        F.col(size).alias("size"), F.col("__of.source_size").alias("source_size"),
-        F.col("__of.target").alias("target"), rate.alias("rate"), (whole + extra).cast("int").alias("copies"),
+        F.col(size).alias("size"), full.alias("source_size"), target.alias("target"), rate.alias("rate"),
+        (whole + extra).cast("int").alias("copies"),
     )
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], made.alias(out))
 

@@ -11,6 +11,7 @@ until a row as near as its k-th best would lie beyond the visited radius only wi
 
 from __future__ import annotations
 
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -144,19 +145,25 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows found with the largest inner products per query.
 
-    Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own.
-    Null ids, and vectors that are null, empty, zero or hold null or non-finite components, take no
-    part; neither do vectors of fewer components than the longest. Of rows with the same id one (the
+    Queries are the rows whose id is divisible by ``every``, candidates all rows of the same length but
+    the query's own. Null ids, and vectors that are null, empty, zero or hold null or non-finite
+    components, take no part. Each length is searched among its own kind, one search a length. Of rows with the same id one (the
     smallest vector) counts. Equal scores go to smaller ids; of equal vectors only the 2k + 1
-    smallest ids are searched, as no other can be among the k best.
+    smallest ids are searched, as no other can be among the k best. Extra columns are left out; a table without
+    vectors gives no rows.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
-    spark = vectors.sparkSession
     rows = cut(_valid(vectors, id_col, vec_col))
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    if not facts["n"]:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == facts["dim"])
+    lengths = [r["dim"] for r in rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()]
+    found = [_nearest_of(rows.where(F.size("v") == d), d, k, every, dims, miss, max_sample, cell_rows) for d in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_of(rows: DataFrame, dim: int, k: int, every: int, dims: int, miss: float, max_sample: int, cell_rows: int) -> DataFrame:
+    """``nearest`` among stored rows (id, v) of one length."""
+    spark = rows.sparkSession
+    facts = {"n": rows.count(), "dim": dim}
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     most = rows.agg(F.max(square)).first()[0]
     projector = Projector(facts["dim"], dims, most)

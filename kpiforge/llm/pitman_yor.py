@@ -27,9 +27,9 @@ from kpiforge.llm.bytescan import hashes, mixed, running, texts_of
 from kpiforge.llm.common import SPACE, released, stored
 
 MODULUS, HELD = 7, 2
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: Text bytes of one part of the vocabulary, and the most parts.
-PART_BYTES = 12 << 20
+PART_BYTES = 4 << 20
 MAX_PARTS = 1 << 16
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 3
@@ -332,9 +332,15 @@ def score(
             done += len(q.count)
         return pd.DataFrame(out, columns=["kind", "part", "block", "v", "ones", "twos"])
 
+    spread = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def by(df: DataFrame, key: str):
+        # a given number of partitions is not merged, so that a task holds few parts
+        return df.repartition(spread, key).groupBy(key)
+
     pairs = tables.where("kind = 'pairs'").select("block", "part", "v")
     held = "kind string, part int, block string, v array<binary>, ones long, twos long"
-    merged = stored(pairs.groupBy("part").applyInPandas(merge, held), by="kind")
+    merged = stored(by(pairs, "part").applyInPandas(merge, held), by="kind")
     own = merged.where("kind = 'own'").select("part", F.lit("own").alias("tag"), "v")
     places = merged.where("kind = 'place'").select("part", F.concat(F.lit("p"), "block").alias("tag"), "v")
     released(pairs, only="/kind=pairs/")
@@ -357,8 +363,8 @@ def score(
             return pd.DataFrame(out, columns=["kind", "part", "tag", "v", "x"])
 
         rows = own if state is None else own.unionByName(state)
-        sent = rows.groupBy("part").applyInPandas(send, "bucket int, part int, v array<binary>")
-        back = stored(sent.groupBy("bucket").applyInPandas(add, "kind string, part int, tag string, v array<binary>, x array<double>"), by="kind")
+        sent = by(rows, "part").applyInPandas(send, "bucket int, part int, v array<binary>")
+        back = stored(by(sent, "bucket").applyInPandas(add, "kind string, part int, tag string, v array<binary>, x array<double>"), by="kind")
         sums = back.where("kind = 'facts'").agg(*[F.sum(F.col("x")[i]) for i in range(6)]).first()
         t0, c0, v, n, one, two = (x or 0.0 for x in sums)
         d = facts.get("d") or [discount(one, two), discount(ones, twos)]
@@ -393,7 +399,7 @@ def score(
     for s in range(burn_in + samples):
         rows = own.unionByName(answers) if state is None else own.unionByName(answers).unionByName(state)
         before = [answers] if state is None else [answers, state]
-        state = stored(rows.groupBy("part").applyInPandas(drawn(s, facts), "part int, tag string, v array<binary>"))
+        state = stored(by(rows, "part").applyInPandas(drawn(s, facts), "part int, tag string, v array<binary>"))
         released(*before)
         answers, facts = exchanged(state, s + 1, facts)
 
@@ -407,7 +413,7 @@ def score(
         return pd.DataFrame(out, columns=["of", "part", "p", "n"])
 
     rows = own.unionByName(answers).unionByName(state).unionByName(places)
-    answers = rows.groupBy("part").applyInPandas(predicted, "of string, part int, p binary, n binary")
+    answers = by(rows, "part").applyInPandas(predicted, "of string, part int, p binary, n binary")
     kind = docs.schema[id_col].dataType.simpleString()
     result = (
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -80,12 +80,14 @@ def _cuts(t: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, grades: DataFrame, id_col="doc_id", text_col="text", max_train=MAX_TRAIN, max_features=MAX_FEATURES):
     """Fits on the documents that ``grades`` (id, grade 0..K) covers; returns a dict that ``score`` takes.
 
-    Rows with a null id or grade are left out, repeated ids count with their highest grade. Without
-    two grades to learn from, all weights are 0.
+    Rows with a null id or grade are left out, repeated ids count once, with their highest grade and
+    smallest text, so at most ``max_train`` rows reach the driver. Ties between features go to the smaller hash. Columns of
+    any other name play no part. Without two grades to learn from, all weights are 0.
     """
-    known = grades.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("grade"))
-    chosen = known.orderBy(F.xxhash64("__id", F.lit("train")), "__id").limit(max_train)
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("grade", F.col(text_col).cast("binary").alias("t"))
+    known = grades.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max("grade").alias("grade"))
+    chosen = known.orderBy(F.xxhash64("of", F.lit("train")), "of").limit(max_train)
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
+    texts = own.join(F.broadcast(chosen), F.col("id") == F.col("of")).groupBy("id").agg(F.max("grade").alias("grade"), F.min("t").alias("t")).drop("id")
 
     def run(batches):
         for b in batches:
