@@ -27,9 +27,9 @@ from kpiforge.llm.bytescan import hashes, mixed, running, texts_of
 from kpiforge.llm.common import SPACE, released, stored
 
 MODULUS, HELD = 7, 2
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 #: Text bytes of one part of the vocabulary, and the most parts.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 MAX_PARTS = 1 << 16
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 3
@@ -332,11 +332,9 @@ def score(
             done += len(q.count)
         return pd.DataFrame(out, columns=["kind", "part", "block", "v", "ones", "twos"])
 
-    spread = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
     def by(df: DataFrame, key: str):
         # a given number of partitions is not merged, so that a task holds few parts
-        return df.repartition(spread, key).groupBy(key)
+        return df.repartition(parts, key).groupBy(key)
 
     pairs = tables.where("kind = 'pairs'").select("block", "part", "v")
     held = "kind string, part int, block string, v array<binary>, ones long, twos long"
