@@ -11,17 +11,21 @@ text), each citable by id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiforge import config
 from kpiforge.context import Ctx, model
-from kpiforge.functions.columns import severity_rank
+from kpiforge.functions.columns import latest_complete_month
 from kpiforge.operators import anomaly, kpi
 from kpiforge.operators.outbox import format_signed_pct, format_value
 
 WINDOW = 7
 TOP_DRIVERS = 3
 RATIO_CANDIDATES = 10
+MAX_ANOMALIES = 20
 ALLOWED_CLASSES = ["public", "internal"]
 
 
@@ -130,57 +134,110 @@ def highest_class(classes: Column) -> Column:
     return F.coalesce(F.max_by(classes, rank), F.lit("public"))
 
 
-def context_document(week: DataFrame, monthly: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """One nested document per as-of day (KPI entries, the latest complete month, up to
-    MAX_ANOMALIES anomalies of the last two days by severity, then age), as JSON. Its data class is the
-    highest of everything that it holds."""
-    kpis = week.groupBy("as_of").agg(
-        F.sort_array(F.collect_list(F.struct("id", "label", "last_7_days_text", "previous_7_days_text", "change_text"))).alias("kpis"),
-        highest_class(F.col("data_class")).alias("week_class"),
-    )
-    latest_month = F.when(F.last_day("as_of") == F.col("as_of"), F.trunc("as_of", "month")).otherwise(
-        F.add_months(F.trunc("as_of", "month"), -1)
+def recent_anomalies(findings: DataFrame) -> DataFrame:
+    """E09/L08 for every as-of day: the findings that ended on it or the day before, critical ones first, then by
+    creation, at most MAX_ANOMALIES."""
+    visible = findings.filter((F.col("type") == "anomaly") & F.col("data_class").isin(ALLOWED_CLASSES))
+    fields = ["event_id", "severity", "summary", "created_at", "data_class"]
+    both = visible.select(F.col("period_end").alias("as_of"), *fields).unionByName(
+        visible.select(F.date_add("period_end", 1).alias("as_of"), *fields)
     )
-    k = kpis.select("*", latest_month.alias("month_start"))
-    mon = monthly.groupBy("month_start").agg(
-        F.sort_array(F.collect_list(F.struct("id", "label", "month", "value_text"))).alias("monthly_kpis"),
-        highest_class(F.col("data_class")).alias("month_class"),
+    order = Window.partitionBy("as_of").orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), "created_at", "event_id")
+    ranked = both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_ANOMALIES)
+    return ranked.select("as_of", "place", F.concat(F.lit("insight:"), F.col("event_id")).alias("id"), "severity", "summary", "data_class")
+
+
+def context_entries(ctx: Ctx, findings: DataFrame) -> DataFrame:
+    """Every entry of each as-of day's context as a row: KPIs with direction and data origin, their
+    drivers (``parent``: the KPI's id), the latest complete month, recent anomalies."""
+    reg = F.broadcast(daily_registry(ctx).select("kpi_key", "unit", "direction", "data_origin"))
+    text = lambda x=None: (F.lit(None) if x is None else x).cast("string")
+
+    def rows(df: DataFrame, section: str, place: Column, **fields: Column) -> DataFrame:
+        names = ("parent", "label", "direction", "data_origin", "current", "previous", "change", "severity", "data_class")
+        return df.select(
+            "as_of", F.lit(section).alias("section"), place.cast("int").alias("place"), "id", *[text(fields.get(n)).alias(n) for n in names]
+        )
+
+    week = week_change(ctx).join(reg, "kpi_key")
+    parts = [
+        rows(week, "kpi", F.lit(0), label=F.col("label"), direction=F.col("direction"), data_origin=F.col("data_origin"),
+             current=F.col("last_7_days_text"), previous=F.col("previous_7_days_text"), change=F.col("change_text"),
+             data_class=F.col("data_class")),
+    ]
+    known = week_change(ctx).select("kpi_key", "as_of")
+    drivers = top_drivers(ctx).join(reg, "kpi_key").join(known, ["kpi_key", "as_of"], "left_semi")
+    parts.append(rows(
+        drivers, "driver", F.col("driver_rank"), parent=F.concat(F.lit("kpi:"), F.col("kpi_key")),
+        current=format_value(F.col("last_7_days"), F.col("unit")), previous=format_value(F.col("previous_7_days"), F.col("unit")),
+        change=format_signed_pct(F.col("change_pct")),
+    ))
+    days = week_change(ctx).select("as_of", latest_complete_month(F.col("as_of")).alias("month_start")).distinct()
+    parts.append(rows(
+        days.join(monthly_entries(ctx), "month_start"), "month", F.lit(0), label=F.col("label"), data_origin=F.col("data_origin"),
+        current=F.col("value_text"), previous=F.col("month"), data_class=F.col("data_class"),
+    ))
+    recent = recent_anomalies(findings).join(days.select("as_of"), "as_of", "left_semi")
+    parts.append(rows(recent, "anomaly", F.col("place"), label=F.col("summary"), severity=F.col("severity"), data_class=F.col("data_class")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def context_document(entries: DataFrame) -> DataFrame:
+    """One nested document per as-of day from its entries, as JSON: KPIs with their drivers, the latest complete
+    month, anomalies. Its data class is the highest of everything that it holds."""
+    own = entries.filter(F.col("section") == "driver").groupBy("as_of", "parent").agg(
+        F.sort_array(F.collect_list(F.struct("place", "id", "current", "previous", "change"))).alias("drivers")
+    ).select("as_of", F.col("parent").alias("id"), "drivers")
+    rest = entries.filter(F.col("section") != "driver").join(own, ["as_of", "id"], "left")
+    of = lambda section, *cols: F.sort_array(F.collect_list(F.when(F.col("section") == section, F.struct(*cols))))
+    doc = rest.groupBy("as_of").agg(
+        of("kpi", "id", "label", "direction", "data_origin", "current", "previous", "change", "drivers").alias("k"),
+        of("month", "id", "label", "data_origin", "previous", "current").alias("m"),
+        of("anomaly", "place", "id", "severity", "label").alias("a"),
+        highest_class(F.col("data_class")).alias("data_class"),
+        F.bool_or((F.col("section") == "anomaly") & (F.col("severity") == "critical")).alias("any_critical"),
     )
-    fields = ["event_id", "severity", "summary", "period_end", F.col("data_class").alias("own_class")]
-    an = anomalies.select(F.col("period_end").alias("as_of"), *fields).unionByName(
-        anomalies.select(F.date_add("period_end", 1).alias("as_of"), *fields)
-    )
-    order = Window.partitionBy("as_of").orderBy(severity_rank(F.col("severity")).desc(), F.col("period_end").desc(), "event_id")
-    an = an.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_ANOMALIES)
-    an = an.groupBy("as_of").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("place", F.concat(F.lit("insight:"), F.col("event_id")).alias("id"), "severity", "summary"))),
-            lambda a: F.struct(a["id"].alias("id"), a["severity"].alias("severity"), a["summary"].alias("summary")),
-        ).alias("anomalies"),
-        F.bool_or(F.col("severity") == "critical").alias("any_critical"),
-        highest_class(F.col("own_class")).alias("anomaly_class"),
-    )
-    classes = F.array_compact(F.array("week_class", "month_class", "anomaly_class"))
-    highest = F.when(F.array_contains(classes, "confidential"), "confidential").when(F.array_contains(classes, "internal"), "internal")
-    doc = k.join(mon, "month_start", "left").join(an, "as_of", "left").withColumn("data_class", highest.otherwise("public"))
-    briefing = F.when(F.coalesce(F.col("any_critical"), F.lit(False)), F.lit("warning")).otherwise(F.lit("info"))
+    week = lambda x: [x["current"].alias("last_7_days"), x["previous"].alias("previous_7_days"), x["change"].alias("change")]
+    driver = lambda d: F.struct(d["id"].alias("id"), *week(d))
     body = F.struct(
         F.col("as_of").cast("string").alias("date"),
         F.lit(f"letzte {WINDOW} Tage gegenüber den {WINDOW} Tagen davor").alias("comparison"),
-        "kpis",
-        F.coalesce("monthly_kpis", F.array()).alias("monthly_kpis"),
-        F.coalesce("anomalies", F.array()).alias("anomalies"),
+        F.transform("k", lambda k: F.struct(
+            k["id"].alias("id"), k["label"].alias("label"), k["direction"].alias("direction"), k["data_origin"].alias("data_origin"),
+            *week(k), F.transform(k["drivers"], driver).alias("top_drivers"))).alias("kpis"),
+        F.transform("m", lambda m: F.struct(
+            m["id"].alias("id"), m["label"].alias("label"), m["data_origin"].alias("data_origin"), m["previous"].alias("month"),
+            m["current"].alias("value"))).alias("monthly_kpis"),
+        F.transform("a", lambda a: F.struct(a["id"].alias("id"), a["severity"].alias("severity"), a["label"].alias("summary"))).alias("anomalies"),
         "data_class",
-    )
+    )
+    briefing = F.when(F.coalesce(F.col("any_critical"), F.lit(False)), F.lit("warning")).otherwise(F.lit("info"))
     return doc.select("as_of", "data_class", briefing.alias("briefing_severity"), F.to_json(body).alias("document"))
 
 
+def unsupported_evidence(cited: DataFrame, entries: DataFrame) -> DataFrame:
+    """Citations (as_of, finding, ref) whose id no entry of that day's context has."""
+    ids = entries.select("as_of", F.col("id").alias("ref")).distinct()
+    return cited.join(ids, ["as_of", "ref"], "left_anti").select("as_of", "finding", "ref")
+
+
 def briefing_events(documents: DataFrame) -> DataFrame:
     """One 'briefing' insight per as-of day from its context document (severity from E12,
     class from A27); ids and times derived from the dedup key, like the other insights."""
     key = F.concat_ws(":", F.lit("briefing"), F.lit("-"), F.lit("-"), F.lit("day"), F.col("as_of").cast("string"), F.col("as_of").cast("string"))
     h = F.sha2(key, 256)
     event_id = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    created = F.to_timestamp_ntz(F.concat(F.date_add("as_of", 1).cast("string"), F.lit(" 07:00:00")))
+    day = F.col("as_of").cast("string")
+    payload = F.to_json(F.struct(
+        F.lit(config.SCHEMA_VERSION).alias("schema_version"), event_id.alias("insight_id"), F.lit(config.EVENT_SOURCE).alias("source"),
+        F.lit("briefing").alias("type"), F.struct(day.alias("start"), day.alias("end"), F.lit("day").alias("grain")).alias("period"),
+        F.col("briefing_severity").alias("severity"), F.array().cast("array<string>").alias("entity_refs"),
+        F.struct(F.lit("context").alias("method")).alias("evidence"),
+        F.concat(F.lit("Briefing "), F.date_format("as_of", "dd.MM.yyyy")).alias("summary"), "data_class",
+        F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        F.struct(F.parse_json("document").alias("context"), F.lit("context.v1").alias("format")).alias("details"),
+    ))
     return documents.select(
         event_id.alias("event_id"),
         F.lit("insight").alias("event_type"),
@@ -191,8 +248,8 @@ def briefing_events(documents: DataFrame) -> DataFrame:
         F.col("as_of").alias("period_end"),
         F.col("briefing_severity").alias("severity"),
         "data_class",
-        F.to_timestamp_ntz(F.concat(F.date_add("as_of", 1).cast("string"), F.lit(" 07:00:00"))).alias("created_at"),
-        F.col("document").alias("payload"),
+        created.alias("created_at"),
+        payload.alias("payload"),
     )
 
 
@@ -225,4 +282,3 @@ def ingest_checks(log: DataFrame) -> DataFrame:
 
 
 MAX_INSIGHT_LINK_DAYS = {"day": 30, "month": 365}
-MAX_ANOMALIES = 20

@@ -264,6 +264,29 @@ def robust_score_core(ctx: Ctx) -> DataFrame:
     )
 
 
+@model
+def detect_core(ctx: Ctx) -> DataFrame:
+    """T08/T10 on the core scores: daily anomalies, members with the stricter threshold, ratio expectations clamped
+    to [0, 1] before direction and deviation are derived."""
+    reg = F.broadcast(registry(ctx).select(F.col("key").alias("kpi_key"), "label", "unit", "data_class", "alert_threshold"))
+    factor = F.when(F.col("dimension") == "total", 1.0).otherwise(config.MEMBER_THRESHOLD_FACTOR)
+    s = robust_score_core(ctx).join(reg, "kpi_key").withColumn("bound", F.col("alert_threshold") * factor)
+    s = s.filter(F.abs("score") >= F.col("bound"))
+    expected = F.when(F.col("unit") == "ratio", F.least(F.greatest("expected", F.lit(0.0)), F.lit(1.0))).otherwise(F.col("expected"))
+    critical = F.abs("score") >= F.col("bound") * config.CRITICAL_FACTOR
+    return s.select(
+        F.lit("anomaly").alias("type"), "kpi_key", "dimension", "dimension_value",
+        kpi.kpi_entity_id(F.col("dimension"), F.col("dimension_value"), F.col("kpi_key")).alias("entity_id"),
+        F.col("eval_day").alias("period_start"), F.col("eval_day").alias("period_end"), F.lit("day").alias("grain"),
+        F.when(critical, "critical").otherwise("warning").alias("severity"),
+        "observed", expected.alias("expected"), F.round("score", 3).alias("score"), F.lit("median_mad").alias("method"),
+        F.lit(None).cast("double").alias("evidence_threshold"), "label", "unit", "data_class",
+    ).select(
+        "*", _direction(F.col("observed"), F.col("expected")).alias("direction"),
+        _deviation_pct(F.col("observed"), F.col("expected")).alias("deviation_pct"),
+    )
+
+
 def _tie_safe_round(x: Column, digits: int) -> Column:
     """Round after a 1e-13 nudge: values that sit exactly on a decimal half-way point (common
     for medians of short decimals) then round the same way in every engine."""

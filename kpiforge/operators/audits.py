@@ -10,20 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge import config
+from kpiforge.functions.payload import Member, Shape, is_object, violations
 from kpiforge.operators.quality import ENTITY_PATTERNS
 
 # FIXED: date and German-number token patterns (numbers: '.' thousands groups, ',' decimals).
 DATE_PATTERN = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b|\b\d{1,2}/\d{4}\b"
 NUMBER_PATTERN = r"(?<![\d,.])[-−+]?\d{1,3}(?:\.\d{3})+(?:,\d+)?(?![\d])|(?<![\d,.])[-−+]?\d+(?:,\d+)?(?![\d])"
 
-INSIGHT_SCHEMA = (
-    "schema_version string, insight_id string, source string, type string, kpi string, "
-    "period struct<start: string, `end`: string, grain: string>, severity string, direction string, "
-    "observed double, expected double, deviation_pct double, entity_refs array<struct<type: string, id: string>>, "
-    "evidence struct<method: string, score: double, query_ref: string, threshold: double>, context_ref string, "
-    "summary string, data_class string, created_at string"
-)
-
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -35,26 +28,60 @@ def _valid_entity(id_: Column) -> Column:
     return ok
 
 
+# FIXED: members of insight.v1, of its period, evidence and entity references.
+_DAY, _TIME = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
+INSIGHT = Shape({
+    "schema_version": Member(("string",), True, (config.SCHEMA_VERSION,)),
+    "insight_id": Member(("string",), True, pattern=UUID),
+    "source": Member(("string",), True, (config.EVENT_SOURCE,)),
+    "type": Member(("string",), True, ("anomaly", "briefing", "forecast_deviation", "data_quality")),
+    "kpi": Member(("string", "null"), pattern=r"^[a-z][a-z0-9_]*$"),
+    "period": Member(("object",), True),
+    "severity": Member(("string",), True, ("info", "warning", "critical")),
+    "direction": Member(("string", "null"), values=("up", "down")),
+    "observed": Member(("number", "null")),
+    "expected": Member(("number", "null")),
+    "deviation_pct": Member(("number", "null")),
+    "entity_refs": Member(("array",)),
+    "evidence": Member(("object",), True),
+    "context_ref": Member(("string", "null")),
+    "summary": Member(("string",), True, least=1),
+    "data_class": Member(("string",), True, ("public", "internal", "confidential")),
+    "created_at": Member(("string",), True, pattern=_TIME),
+    "details": Member(("object", "null")),
+})
+PERIOD = Shape({
+    "start": Member(("string",), True, pattern=_DAY), "end": Member(("string",), True, pattern=_DAY),
+    "grain": Member(("string",), True, ("day", "month")),
+})
+EVIDENCE = Shape({
+    "method": Member(("string",), True), "score": Member(("number", "null")), "query_ref": Member(("string", "null")),
+}, closed=False)
+ENTITY_REF = Shape({"type": Member(("string",), True, tuple(ENTITY_PATTERNS)), "id": Member(("string",), True)})
+
+
 def insight_contract_violations(events: DataFrame) -> DataFrame:
-    """Insight.v1 rules on the JSON payload -> (event_id, rule) per violation."""
-    p = events.select("event_id", F.from_json("payload", INSIGHT_SCHEMA).alias("p"))
-    rules = {
-        "schema_version": F.col("p.schema_version") == config.SCHEMA_VERSION,
-        "insight_id": F.col("p.insight_id").rlike(UUID),
-        "source": F.col("p.source") == config.EVENT_SOURCE,
-        "type": F.col("p.type").isin("anomaly", "briefing", "forecast_deviation", "data_quality"),
-        "kpi": F.col("p.kpi").isNull() | F.col("p.kpi").rlike(r"^[a-z][a-z0-9_]*$"),
-        "period.grain": F.col("p.period.grain").isin("day", "month"),
-        "period.order": F.to_date("p.period.start") <= F.to_date("p.period.end"),
-        "severity": F.col("p.severity").isin("info", "warning", "critical"),
-        "direction": F.col("p.direction").isNull() | F.col("p.direction").isin("up", "down"),
-        "data_class": F.col("p.data_class").isin("public", "internal", "confidential"),
-        "evidence.method": F.col("p.evidence.method").isNotNull(),
-        "summary": F.length(F.col("p.summary")) > 0,
-        "entity_refs": F.forall(F.coalesce(F.col("p.entity_refs"), F.array()), lambda r: _valid_entity(r["id"])),
-    }
-    checks = F.array(*[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()])
-    return p.select("event_id", F.explode(F.array_compact(checks)).alias("rule"))
+    """Insight.v1 rules on the JSON payload -> (event_id, rule) per violation.
+
+    The objects at every level are walked by their own keys: unknown members of closed objects, missing
+    ones, types, allowed values and patterns; then the order of the period and the ids' namespaces.
+    """
+    at = lambda path: F.get_json_object("payload", f"$.{path}")
+    refs = F.coalesce(F.from_json(at("entity_refs"), "array<variant>"), F.array())
+    broken = F.flatten(F.array(
+        F.when(is_object(F.col("payload")), F.array()).otherwise(F.array(F.lit("payload: type"))),
+        violations(F.col("payload"), INSIGHT),
+        F.when(is_object(at("period")), violations(at("period"), PERIOD, "period")).otherwise(F.array()),
+        F.when(is_object(at("evidence")), violations(at("evidence"), EVIDENCE, "evidence")).otherwise(F.array()),
+        F.flatten(F.transform(refs, lambda r: F.when(is_object(F.to_json(r)), violations(F.to_json(r), ENTITY_REF, "entity_refs[]")).otherwise(
+            F.array(F.lit("entity_refs[]: type"))))),
+        F.transform(
+            F.filter(refs, lambda r: ~F.coalesce(_valid_entity(F.try_variant_get(r, "$.id", "string")), F.lit(False))),
+            lambda r: F.lit("entity_refs"),
+        ),
+        F.when(at("period.start") > at("period.end"), F.array(F.lit("period: order"))).otherwise(F.array()),
+    ))
+    return events.select("event_id", F.explode(F.array_distinct(broken)).alias("rule"))
 
 
 def _magnitude(token: Column) -> Column:

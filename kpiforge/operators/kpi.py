@@ -9,6 +9,7 @@ only where there is data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,6 +160,23 @@ def kpi_review_agg(ctx: Ctx) -> DataFrame:
     )
 
 
+def join_frames(frames: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Full outer join of any number of inputs with one row per key: a tagged union and one aggregation.
+
+    Every input's other columns come along, NULL where it has no such key; ``in_<name>`` tells which inputs
+    have the key, so that an inner or left join is a filter on the result. One shuffle whatever the number of inputs, and no key of a
+    single input is lost.
+    """
+    others = {name: [c for c in df.columns if c not in keys] for name, df in frames.items()}
+    parts = [
+        df.select(*keys, *others[name], F.lit(True).alias(f"in_{name}")) for name, df in frames.items()
+    ]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    measures = [F.max(c).alias(c) for own in others.values() for c in own]
+    present = [F.coalesce(F.bool_or(f"in_{name}"), F.lit(False)).alias(f"in_{name}") for name in frames]
+    return union.groupBy(*keys).agg(*measures, *present)
+
+
 @model
 def kpi_marketing(ctx: Ctx) -> DataFrame:
     """Daily sessions and spend across channels with the web orders of the same day."""
@@ -167,8 +185,8 @@ def kpi_marketing(ctx: Ctx) -> DataFrame:
     m = marts.fct_marketing_daily(ctx).groupBy(F.col("marketing_date").alias("kpi_date")).agg(
         F.sum("sessions").alias("sessions"), F.sum("ad_spend").alias("ad_spend")
     )
-    w = landing.web_orders_daily(ctx)
-    return m.join(w, "kpi_date", "left").select(
+    both = join_frames({"marketing": m, "orders": landing.web_orders_daily(ctx)}, ["kpi_date"])
+    return both.where("in_marketing").select(
         "kpi_date",
         F.lit("total").alias("dimension"),
         F.lit("all").alias("dimension_value"),

@@ -66,6 +66,7 @@ def all_queries() -> dict[str, QueryFn]:
     from kpiforge.plans import queries_audits  # noqa: F401
     from kpiforge.plans import queries_raw  # noqa: F401
     from kpiforge.plans import queries_late  # noqa: F401
+    from kpiforge.plans import queries_events  # noqa: F401
 
     return dict(QUERIES)
 

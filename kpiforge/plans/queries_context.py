@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.context import Ctx
-from kpiforge.operators import analyst, anomaly, kpi, ops
+from kpiforge.functions.payload import remove_path
+from kpiforge.operators import analyst, anomaly, kpi, ops, outbox
 from kpiforge.plans import queries_more
 from kpiforge.plans.catalog import register
 from kpiforge.plans.oracle_ctes import SIM, cte, with_ctes
@@ -105,26 +106,30 @@ def context_monthly(ctx: Ctx) -> DataFrame:
     return analyst.monthly_entries(ctx)
 
 
+def all_findings(ctx: Ctx) -> DataFrame:
+    """Outbox rows of the daily and the monthly findings."""
+    return outbox.insight_rows(anomaly.detect_daily(ctx).unionByName(anomaly.detect_monthly(ctx)))
+
+
 def documents(ctx: Ctx) -> DataFrame:
-    anomalies = queries_more.monthly_insights(ctx).filter(
-        (F.col("type") == "anomaly") & F.col("data_class").isin(analyst.ALLOWED_CLASSES)
-    )
-    return analyst.context_document(analyst.week_change(ctx), analyst.monthly_entries(ctx), anomalies)
+    return analyst.context_document(analyst.context_entries(ctx, all_findings(ctx)))
 
 
 @register("context_document")
 def context_document(ctx: Ctx) -> DataFrame:
-    """The nested analyst context per as-of day as JSON (rows-only check)."""
+    """The nested analyst context per as-of day as JSON, with drivers, directions, data origins and the
+    daily and monthly findings (rows-only: the daily ones come from STL; its entries are checked in context_entries)."""
     return documents(ctx)
 
 
 @register("latest_briefing")
 def latest_briefing(ctx: Ctx) -> DataFrame:
-    """The newest briefing a public/internal reader may see (one briefing per
-    as-of day derived from its context document; rows-only: the payload is Spark JSON)."""
+    """The newest briefing a public/internal reader may see, one briefing per as-of day derived
+    from its context document, without that internal context (rows-only)."""
     docs = documents(ctx)
     briefings = analyst.briefing_events(docs).filter(F.col("data_class").isin(analyst.ALLOWED_CLASSES))
-    return briefings.orderBy(F.col("period_end").desc(), F.col("created_at").desc(), "event_id").limit(1)
+    newest = briefings.orderBy(F.col("period_end").desc(), F.col("created_at").desc(), "event_id").limit(1)
+    return newest.withColumn("payload", remove_path(F.col("payload"), ["details", "context"]))
 
 
 @register("highest_class", with_ctes(

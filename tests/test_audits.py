@@ -73,6 +73,7 @@ def _payload(region_id: str) -> str:
             "evidence": {"method": "stl_mad", "score": 4.2},
             "summary": "x",
             "data_class": "public",
+            "created_at": "2018-04-01T06:00:00",
         }
     )
 
