@@ -1,11 +1,13 @@
-"""SimHash near-dedup over a byte-position inverted index.
+"""SimHash near-dedup over a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most d bits differ in at most d of their 8 bytes, so they
-share at least 8 - d bytes at equal positions. A list of the index holds the fingerprints with given
-bytes at 8 - d positions (what the lists of those single bytes have in common, so a list has at most
-256^d members however large the table is). Being in the same list takes the place of a tally of shared
-bytes: every pair in a list has the guaranteed minimum already. Pairs of a list of up to ``DENSE`` members
-are verified bit by bit; in longer ones each member's neighbours are looked up by flipping bits. A list emits at most one link per member (a spanning forest), and links are joined to components.
+share at least 8 - d bytes at equal positions. The positions are dealt into d + 2 groups (8 at most), of which
+a pair within d bits has at least two in common: a list of the index holds the fingerprints with given
+bytes at the positions of two groups (for d = 2: four of the eight bytes, six lists a fingerprint). Pairs
+of a list are tallied: the shared positional bytes are counted, pairs with fewer than the 8 - d that
+are guaranteed are dropped, the others are verified bit by bit. A list of more than ``DENSE`` members is divided by
+further positions until it is small or holds all 8 - d bytes; lists of more than ``HOT`` members are divided by
+Spark first. A list emits at most one link per member (a spanning forest), and links are joined to components.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import cut, fresh
+from kpiforge.llm.common import attach, cut, fresh
 
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-#: Lists up to this size are compared pair by pair, longer ones by looking up each neighbour.
-DENSE = 256
+#: Lists up to this size are compared pair by pair; lists up to HOT members are held by one task.
+DENSE, HOT = 256, 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -63,71 +65,116 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col="text", shingle: int
     return source.mapInArrow(run, schema)
 
 
-def _forest(list_: np.ndarray, positions: tuple[int, ...], max_bits: int) -> list[tuple[int, int]]:
-    """Links (member, root) that join the members of one list of the index that are within max_bits."""
-    members = np.unique(list_)
-    n = len(members)
-    root = np.arange(n)
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+def groups_of(max_bits: int) -> list[tuple[int, ...]]:
+    """The 8 positions in max_bits + 2 groups, 8 at most."""
+    return [tuple(g.tolist()) for g in np.array_split(np.arange(8), min(8, max_bits + 2))]
+
+
+def tally(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Positional bytes that pairs of fingerprints share."""
+    return 8 - np.count_nonzero((left ^ right).view(np.uint8).reshape(-1, 8), axis=1)
+
+
+class _Forest:
+    """A spanning forest of the links between one list's members."""
+
+    def __init__(self, members: np.ndarray, max_bits: int):
+        self.members, self.max_bits = np.unique(members), max_bits
+        self.root = np.arange(len(self.members))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    def join(left, right):
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
         for a, b in zip(left.tolist(), right.tolist()):
-            a, b = find(a), find(b)
+            a, b = self.find(a), self.find(b)
             if a != b:
-                root[max(a, b)] = min(a, b)
-
-    if n <= DENSE:
-        left, right = np.triu_indices(n, 1)
-        diff = members[left] ^ members[right]
-        tally = 8 - np.count_nonzero(diff.view(np.uint8).reshape(-1, 8), axis=1)
-        met = (tally >= 8 - max_bits) & (np.bitwise_count(diff) <= max_bits)
-        join(left[met], right[met])
-    else:
-        free = [8 * p + i for p in range(8) if p not in positions for i in range(8)]
-        for count in range(1, max_bits + 1):
-            for bits in combinations(free, count):
-                other = members ^ np.uint64(sum(1 << b for b in bits))
-                at = np.minimum(np.searchsorted(members, other), n - 1)
-                met = (members[at] == other) & (other > members)
-                join(np.flatnonzero(met), at[met])
-    roots = [find(i) for i in range(n)]
-    return [(int(members[i]), int(members[r])) for i, r in enumerate(roots) if i != r]
-
-
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+                self.root[max(a, b)] = min(a, b)
+
+    def grow(self, at: np.ndarray, fixed: tuple[int, ...]) -> None:
+        """Link the members at ``at``, which share the bytes at the positions ``fixed``."""
+        need = 8 - self.max_bits
+        if len(at) <= DENSE:
+            left, right = np.triu_indices(len(at), 1)
+            left, right = at[left], at[right]
+            kept = tally(self.members[left], self.members[right]) >= need
+            left, right = left[kept], right[kept]
+            met = np.bitwise_count(self.members[left] ^ self.members[right]) <= self.max_bits
+            self.join(left[met], right[met])
+        elif len(fixed) >= need:  # the whole tally is shared; each member's neighbours are looked up
+            own = self.members[at]
+            free = [8 * p + i for p in range(8) if p not in fixed for i in range(8)]
+            for count in range(1, self.max_bits + 1):
+                for bits in combinations(free, count):
+                    other = own ^ np.uint64(sum(1 << b for b in bits))
+                    place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    met = (own[place] == other) & (other > own)
+                    self.join(at[met], at[place[met]])
+        else:  # a pair shares need - len(fixed) of the other positions: one list for each choice of them
+            rest = [p for p in range(8) if p not in fixed]
+            for more in combinations(rest, need - len(fixed)):
+                shared = self.members[at] & np.uint64(sum(0xFF << (8 * p) for p in more))
+                order = np.argsort(shared, kind="stable")
+                cuts = np.flatnonzero(np.diff(shared[order])) + 1
+                for part in np.split(at[order], cuts):
+                    if len(part) > 1:
+                        self.grow(part, (*fixed, *more))
+
+    def links(self) -> list[tuple[int, int]]:
+        roots = [self.find(i) for i in range(len(self.members))]
+        return [(int(self.members[i]), int(self.members[r])) for i, r in enumerate(roots) if i != r]
+
+
+def _forest(list_: np.ndarray, positions: tuple[int, ...], max_bits: int) -> list[tuple[int, int]]:
+    """Links (member, root) that join the members of one list of the index that are within max_bits."""
+    forest = _Forest(list_, max_bits)
+    forest.grow(np.arange(len(forest.members)), positions)
+    return forest.links()
+
+
+def _entries(choices: list[tuple[int, ...]], start: int):
+    """Index entries of a fingerprint: number of the choice of positions and the bytes there."""
+    out = []
+    for i, c in enumerate(choices):
+        mask = sum(0xFF << (8 * p) for p in c)
+        mask = mask - (1 << 64) if mask >> 63 else mask
+        out.append(F.struct(F.lit(start + i).cast("short").alias("positions"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("shared")))
+    return F.array(*out)
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """(u, v): links between the different fingerprints of ``fps`` (column fp, distinct).
 
     Fingerprints within ``max_bits`` of each other are joined by a path of links.
     """
     if not 0 < max_bits < 8:
         raise ValueError("max_bits must be 1 to 7")
-    choices = list(combinations(range(8), 8 - max_bits))
-    masks = []
-    for c in choices:
-        mask = sum(0xFF << (8 * p) for p in c)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    entries = F.array(*[
-        F.struct(F.lit(i).cast("short").alias("positions"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared"))
-        for i, m in enumerate(masks)
-    ])
+    groups = groups_of(max_bits)
+    choices = [tuple(sorted(sum(c, ()))) for c in combinations(groups, len(groups) - max_bits)]
+    whole = list(combinations(range(8), 8 - max_bits))
+    spread = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, 8))  # a small table of heavy rows
+    entries = spread.select("fp", F.explode(_entries(choices, 0)).alias("entry"))
+    crowded = cut(entries.groupBy("entry").count().where(F.col("count") > hot).select("entry"))
+    if not crowded.isEmpty():
+        full = entries.join(crowded, "entry", "left_semi").select("fp").distinct()
+        finer = full.select("fp", F.explode(_entries(whole, len(choices))).alias("entry"))
+        entries = entries.join(crowded, "entry", "left_anti").select("fp", "entry").unionByName(finer)
     lists = (
-        fps.select("fp", F.explode(entries).alias("entry"))
-        .groupBy("entry")
+        entries.groupBy("entry")
         .agg(F.collect_list("fp").alias("members"))
         .where(F.size("members") > 1)
         .select("entry.positions", "members")
     )
+    by_number = [*choices, *whole]
 
     def run(batches):
         for b in batches:
             out = []
             for p, m in zip(b.column(0).to_pylist(), b.column(1)):
-                out += _forest(m.values.to_numpy().view(np.uint64), choices[p], max_bits)
+                out += _forest(m.values.to_numpy().view(np.uint64), by_number[p], max_bits)
             u, v = np.array([x[0] for x in out], np.uint64), np.array([x[1] for x in out], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
@@ -169,8 +216,8 @@ def _grouped(rows: DataFrame, id_col: str, max_bits: int) -> DataFrame:
     least = inside.groupBy("root").agg(F.min("first").alias("least"))
     joined = inside.join(least, "root").select(F.col("node").alias("fp"), F.col("root").alias("group"), "least")
     several = own.where("n > 1").join(joined.select("fp"), "fp", "left_anti")
-    groups = joined.union(several.select("fp", F.col("fp").alias("group"), F.col("first").alias("least")))
-    found = rows.join(groups, "fp", "left")
+    groups = cut(joined.union(several.select("fp", F.col("fp").alias("group"), F.col("first").alias("least"))))
+    found = attach(rows, groups, ["fp"])  # one fingerprint may be that of a third of all rows
     least = F.when(F.col("group").isNull(), F.col(f"`{id_col}`")).otherwise(F.col("least"))
     return found.withColumns({"least": least, "group": F.coalesce("group", "fp")})
 
