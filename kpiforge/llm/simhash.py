@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import attach, cut, fresh
+from kpiforge.llm.common import BROADCAST_ROWS, attach, cut, fresh
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -145,8 +145,8 @@ def _entries(choices: list[tuple[int, ...]], start: int):
     return F.array(*out)
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """(u, v): links between the different fingerprints of ``fps`` (column fp, distinct).
+def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT, n: int | None = None) -> DataFrame:
+    """(u, v): links between the ``n`` (None: not counted) different fingerprints of ``fps`` (column fp, distinct).
 
     Fingerprints within ``max_bits`` of each other are joined by a path of links.
     """
@@ -157,8 +157,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
     whole = list(combinations(range(8), 8 - max_bits))
     spread = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, 8))  # a small table of heavy rows
     entries = spread.select("fp", F.explode(_entries(choices, 0)).alias("entry"))
-    crowded = cut(entries.groupBy("entry").count().where(F.col("count") > hot).select("entry"))
-    if not crowded.isEmpty():
+    crowded = None
+    if n is None or n > hot:  # no list has more members than there are fingerprints
+        crowded = cut(entries.groupBy("entry").count().where(F.col("count") > hot).select("entry"))
+    if crowded is not None and not crowded.isEmpty():
         full = entries.join(crowded, "entry", "left_semi").select("fp").distinct()
         finer = full.select("fp", F.explode(_entries(whole, len(choices))).alias("entry"))
         entries = entries.join(crowded, "entry", "left_anti").select("fp", "entry").unionByName(finer)
@@ -211,13 +213,15 @@ def components(edges: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, id_col: str, max_bits: int) -> DataFrame:
     """``rows`` (with fp, cut) and ``group`` (a fingerprint of the component), ``least`` (smallest id)."""
     own = cut(rows.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")))
-    tree = cut(components(links(own.select("fp"), max_bits)))
+    n = own.count()
+    tree = cut(components(links(own.select("fp"), max_bits, n=n)))
     inside = tree.join(own, tree["node"] == own["fp"]).select("node", "root", "first")
     least = inside.groupBy("root").agg(F.min("first").alias("least"))
     joined = inside.join(least, "root").select(F.col("node").alias("fp"), F.col("root").alias("group"), "least")
     several = own.where("n > 1").join(joined.select("fp"), "fp", "left_anti")
-    groups = cut(joined.union(several.select("fp", F.col("fp").alias("group"), F.col("first").alias("least"))))
-    found = attach(rows, groups, ["fp"])  # one fingerprint may be that of a third of all rows
+    groups = joined.union(several.select("fp", F.col("fp").alias("group"), F.col("first").alias("least")))
+    # one fingerprint may be that of a third of all rows: few groups are broadcast, many joined with salts
+    found = rows.join(F.broadcast(groups), "fp", "left") if n <= BROADCAST_ROWS else attach(rows, cut(groups), ["fp"])
     least = F.when(F.col("group").isNull(), F.col(f"`{id_col}`")).otherwise(F.col("least"))
     return found.withColumns({"least": least, "group": F.coalesce("group", "fp")})
 
