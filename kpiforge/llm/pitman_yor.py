@@ -4,18 +4,22 @@ One restaurant per previous word (by its 64-bit hash; the first word of a text f
 from the root, which serves words from a uniform base; the number of restaurants grows with the corpus.
 Seating is sampled by Gibbs: in every sweep the tables of each dish are drawn anew, customer by customer,
 by the Chinese-restaurant rule given everything else, and the predictive probabilities are averaged over
-the sweeps after the first ones.
+the sweeps after the first ones. The sampler is a parallel one: all dishes draw at once from the tables of the
+sweep before. Its random numbers come from the hash of (previous word, word, sweep), so results do not depend on
+how the work is cut up.
 
 A task turns about ``BLOCK`` tokens into distinct (word, previous word) pairs before anything is shuffled.
-The pairs lie in parts by the hash of both words, so that neither a frequent word nor a frequent previous
-word fills a part; the words themselves, as dishes of the root and as restaurants, lie in buckets by their
-hash. In a sweep the parts draw their tables and send each bucket the sums for its words; the buckets add
-them up, draw the root's tables and send back what the parts need. Only a few scalars reach the driver.
+All pairs of a previous word lie in one part, so that a restaurant knows its own totals; previous words of
+more than ``SPREAD`` tokens are spread over several parts by the word that follows. The dishes of the root (and
+the totals of spread restaurants) lie in buckets by their hash. In a sweep the parts draw their tables and send
+each bucket the sums for its words; the buckets add them up, draw the root's tables and send back what the
+parts need. Only a few scalars and the spread words (at most ``MAX_SPREAD``) reach the driver.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,9 @@ BURN_IN, SAMPLES = 1, 3
 #: Customers of a dish beyond this many are seated in groups (a binomial draw each).
 SINGLY = 48
 SEED = 5
+#: Tokens after which a context is spread over several parts, and the most contexts that are.
+SPREAD, MAX_SPREAD = 400_000, 1 << 20
+_ODD, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 END = np.uint64(1)
 _SLICE = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
@@ -106,7 +113,7 @@ class _Block:
         self.ids += ids
         self.size += len(h) + len(texts)
 
-    def rows(self, name: str, parts: int):
+    def rows(self, name: str, parts: int, spread: tuple):
         length = np.concatenate(self.length)
         words, inverse = _distinct(np.concatenate(self.hash))
         self.hash = []
@@ -121,7 +128,7 @@ class _Block:
         count = np.bincount(pair[np.repeat(train, length)], minlength=len(pairs))
         word, context = words[pairs // len(words)], words[pairs % len(words)]
         del pairs
-        part = _part(mixed(word ^ mixed(context + np.uint64(SEED))), parts)
+        part = _part(mixed(context + _slot(word, context, spread)), parts)
         order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
@@ -135,11 +142,46 @@ class _Block:
             yield ("pairs", name, int(p), [own.tobytes(), per.astype(np.int32).tobytes(), context[at].tobytes(), _packed(count[at])], [])
 
 
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """The places of x in a sorted array, -1 for those that are not there."""
+    at = np.searchsorted(sorted_, x)
+    found = at < len(sorted_)
+    found[found] = sorted_[at[found]] == x[found]
+    return np.where(found, at, -1)
+
+
+def _slot(word: np.ndarray, context: np.ndarray, spread: tuple) -> np.ndarray:
+    """Which of its context's slots a pair is in; only spread contexts have several."""
+    at, out = _among(context, spread[0]), np.zeros(len(context), np.uint64)
+    out[at >= 0] = mixed(word[at >= 0]) % spread[1][at[at >= 0]]
+    return out
+
+
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int) -> DataFrame:
+def _spread(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of over SPREAD tokens (at most MAX_SPREAD of them) and over how many slots each goes.
+
+    This decides only where pairs are worked on. Words seen under four times in a run of texts do not count for it.
+    """
+
+    def run(batches):
+        for b in batches:
+            for texts in _slices(texts_of(b.column(0))):
+                words, n = np.unique(_tokens(b"\n".join(texts).lower() + b"\n")[1], return_counts=True)
+                words, n = words[n > 3], n[n > 3]
+                words, n = np.append(words, END), np.append(n, len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counted = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") > SPREAD).orderBy(F.desc("n"), "h").limit(MAX_SPREAD).collect()
+    found = sorted((r["h"] % (1 << 64), r["n"] // SPREAD + 1) for r in found)
+    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.uint64)
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int, spread: tuple) -> DataFrame:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     kind = source.schema["id"].dataType
     schema = f"kind string, block string, part int, v array<binary>, ids array<struct<v:{kind.simpleString()}>>"
@@ -152,7 +194,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int)
         def flush():
             names = ["kind", "block", "part", "v", "ids"]
             types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.struct([("v", id_type)]))]
-            for row in own.rows(f"{at}-{n}", parts):
+            for row in own.rows(f"{at}-{n}", parts, spread):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
         for b in batches:
@@ -195,23 +237,55 @@ class _Pairs:
         return out
 
 
-def _seated(c: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
+def _times(i: int, odd: int) -> np.uint64:
+    return np.uint64(i * odd % (1 << 64))
+
+
+def _key(word: np.ndarray, context: np.ndarray, sweep: int) -> np.ndarray:
+    """Where the random numbers of a dish in a sweep start: they do not depend on how the work is cut up."""
+    return mixed((word ^ mixed(context + np.uint64(SEED))) + _times(sweep, _ODD))
+
+
+def _uniform(key: np.ndarray, i: int) -> np.ndarray:
+    return (mixed(key + _times(i, _STEP)) >> np.uint64(11)) * 2.0**-53
+
+
+def _binomial(m: np.ndarray, p: np.ndarray, key: np.ndarray, i: int) -> np.ndarray:
+    """Successes in m trials, by inversion; rounded normal draws where over 30 are expected."""
+    u, k, mean = _uniform(key, i), np.zeros(len(m)), m * p
+    few = np.flatnonzero(mean <= 30)
+    chance = np.exp(m[few] * np.log1p(-p[few]))
+    sum_, n = chance.copy(), 0
+    while len(on := np.flatnonzero((u[few] > sum_) & (n < m[few]))):
+        few, chance, sum_ = few[on], chance[on], sum_[on]
+        chance *= (m[few] - n) / (n + 1) * p[few] / (1 - p[few])
+        sum_ += chance
+        n += 1
+        k[few] = n
+    many = mean > 30
+    normal = np.sqrt(-2 * np.log(1 - u[many])) * np.cos(2 * np.pi * _uniform(key[many], ~i & 0xFFFFFFFF))
+    k[many] = np.clip(np.rint(mean[many] + np.sqrt(mean[many] * (1 - p[many])) * normal), 0, m[many])
+    return k
+
+
+def _seated(c: np.ndarray, a: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
     """Tables of c customers of a dish: the next opens a table with odds a : (customers - d tables)."""
-    order = np.argsort(-c, kind="stable")
-    c, a = c[order], a[order]
-    t = np.ones(len(c))
+    out = np.minimum(c, 1).astype(float)
+    order = np.flatnonzero(c > 1)
+    order = order[np.argsort(-c[order], kind="stable")]
+    c, a, key = c[order], a[order], key[order]
+    less, t = -c, np.ones(len(c))
     for i in range(1, SINGLY):
-        n = int(np.searchsorted(-c, -i, "left"))  # those with more than i customers
+        n = int(np.searchsorted(less, -i, "left"))  # those with more than i customers
         if not n:
             break
-        t[:n] += rng.random(n) * (a[:n] + i - d * t[:n]) < a[:n]
+        t[:n] += _uniform(key[:n], i) * (a[:n] + i - d * t[:n]) < a[:n]
     i = SINGLY
-    while (n := int(np.searchsorted(-c, -i, "left"))) > 0:
+    while (n := int(np.searchsorted(less, -i, "left"))) > 0:
         step = max(8, i // 8)
         m = np.minimum(c[:n] - i, step)
-        t[:n] += rng.binomial(m.astype(np.int64), a[:n] / (a[:n] + i + m / 2 - d * t[:n]))
+        t[:n] += _binomial(m, a[:n] / (a[:n] + i + m / 2 - d * t[:n]), key[:n], i)
         i += step
-    out = np.empty_like(t)
     out[order] = np.minimum(t, c)
     return out
 
@@ -232,53 +306,20 @@ def _served(c, t, tables, customers, root, facts: dict):
     return (c - facts["d"][-1] * t + _orders(tables, root, facts)) / (STRENGTH + customers)
 
 
-def _root_tables(c0, facts: dict, rng):
+def _root_tables(c0, facts: dict, key):
     d = facts["d"][0]
-    return _seated(c0, np.full(len(c0), (STRENGTH + d * facts["T0"]) / (facts["V"] + 1)), d, rng)
-
-
-class _Chain:
-    """The model and its sweeps in one process, contexts numbered; ``facts["c2"]`` are the contexts' customers."""
-
-    def __init__(self, pairs: _Pairs, facts: dict, seed: list[int]):
-        self.p, self.facts, self.seed, self.sweeps = pairs, facts, seed, 0
-        self.t2 = np.minimum(pairs.count, 1).astype(float)
-        self.t0 = np.minimum(self.c0, 1)
-
-    @property
-    def c0(self):
-        return np.bincount(self.p.place, weights=self.t2, minlength=len(self.p.words))
-
-    def totals(self) -> np.ndarray:
-        t2 = np.bincount(self.p.context, weights=self.t2, minlength=len(self.facts["c2"]))
-        return np.concatenate([t2, [self.t0.sum(), t2.sum()]])
-
-    def _at(self, totals: np.ndarray) -> dict:
-        return self.facts | {"T0": totals[-2], "C0": totals[-1]}
-
-    def predict(self, totals: np.ndarray, words: np.ndarray, context: np.ndarray) -> np.ndarray:
-        facts, own = self._at(totals), {}
-        for i, pair in enumerate(zip(self.p.words[self.p.place].tolist(), self.p.context.tolist())):
-            own[pair] = i
-        at = np.array([own.get(pair, -1) for pair in zip(words.tolist(), context.tolist())])
-        place = {w: i for i, w in enumerate(self.p.words.tolist())}
-        word = np.array([place.get(w, -1) for w in words.tolist()])
-        c0, t0 = (np.append(x, 0)[word] for x in (self.c0, self.t0))
-        c, t = (np.append(x, 0)[at] for x in (self.p.count, self.t2))
-        return _served(c, t, totals[context], self.facts["c2"][context], _root(c0, t0, facts), facts)
-
-    def sweep(self, totals: np.ndarray) -> None:
-        rng, facts = np.random.default_rng([*self.seed, self.sweeps]), self._at(totals)
-        root = _root(self.c0, self.t0, facts)[self.p.place]
-        self.t2 = _seated(self.p.count, _orders(totals[self.p.context], root, facts), facts["d"][-1], rng)
-        self.t0 = _root_tables(self.c0, facts, rng)
-        self.sweeps += 1
+    return _seated(c0, np.full(len(c0), (STRENGTH + d * facts["T0"]) / (facts["V"] + 1)), d, key)
 
 
 def _messages(own, t: np.ndarray, buckets: int):
-    """Per bucket: its words in this part, and for each the tables and customers as dish and as restaurant."""
-    keys, word, context, count = _own(own)
-    sums = [np.bincount(i, weights=w, minlength=len(keys)) for w in (t, count) for i in (word, context)]
+    """Per bucket: its keys in this part, and for each the tables and customers as dish and as spread restaurant."""
+    keys, word, context, count, _, far = own
+    there = far >= 0
+    sums = []
+    for w in (t, count):
+        sums.append(np.bincount(word, weights=w, minlength=len(keys)))
+        per = np.bincount(context, weights=w, minlength=len(far))[there]
+        sums.append(np.bincount(far[there], weights=per, minlength=len(keys)))
     bounds = np.concatenate([[0], np.cumsum(np.bincount(_part(keys, buckets), minlength=buckets))])
     for b in np.flatnonzero(np.diff(bounds)):
         x, y = bounds[b], bounds[b + 1]
@@ -286,17 +327,27 @@ def _messages(own, t: np.ndarray, buckets: int):
 
 
 def _own(v) -> tuple:
-    return np.frombuffer(v[0], np.uint64), _unpacked(v[1], np.int32), _unpacked(v[2], np.int32), _unpacked(v[3])
+    """keys, per pair the places of its word (in keys) and context, its count; the contexts, their places in keys or -1."""
+    ints = [_unpacked(v[i], kind) for i, kind in ((1, np.int32), (2, np.int32), (3, np.int64))]
+    return np.frombuffer(v[0], np.uint64), *ints, np.frombuffer(v[4], np.uint64), _unpacked(v[5], np.int32)
+
+
+def _restaurants(own, weights, told: np.ndarray) -> np.ndarray:
+    """Per context the sum of its pairs' weights; ``told``: the sums over all parts, for the spread ones."""
+    far = own[5]
+    out = np.bincount(own[2], weights=weights, minlength=len(far))
+    out[far >= 0] = told[far[far >= 0]]
+    return out
 
 
-def _added(rows: pd.DataFrame, first: bool, facts: dict, rng):
+def _added(rows: pd.DataFrame, first: bool, facts: dict, sweep: int):
     """One bucket's answers to the parts that sent ``rows`` and its share of the scalars."""
     sent = [np.frombuffer(v[0], np.uint64) for v in rows["v"]]
     keys, at = _distinct(np.concatenate(sent))
     c0, tables, n, customers = (
         np.bincount(at, weights=np.concatenate([_unpacked(v[i]) for v in rows["v"]]), minlength=len(keys)) for i in range(1, 5)
     )
-    t0 = np.minimum(c0, 1) if first else _root_tables(c0, facts, rng)
+    t0 = np.minimum(c0, 1) if first else _root_tables(c0, facts, _key(keys, keys, sweep))
     done = 0
     for part, k in zip(rows["part"], sent):
         own = at[done : done + len(k)]
@@ -318,88 +369,99 @@ def score(
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, min(MAX_PARTS, -(-size // part_bytes)))
-    tables = _blocks(docs, id_col, text_col, parts, block)
+    spread = _spread(docs, text_col)
+    tables = _blocks(docs, id_col, text_col, parts, block, spread)
+    work = "kind string, part int, bucket int, tag string, v array<binary>, ones long, twos long"
+
+    def messages(part: int, own: tuple, t: np.ndarray) -> list:
+        return [("message", part, b, "", v, 0, 0) for b, v in _messages(own, t, parts)]
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         all_ = [_Pairs.read(v) for v in rows["v"]]
         p = _Pairs.merged(all_)
-        keys = np.union1d(p.words, p.context)
-        word, context = np.searchsorted(keys, p.words)[p.place], np.searchsorted(keys, p.context)
-        own = [keys.tobytes(), _packed(word, np.int32), _packed(context, np.int32), _packed(p.count)]
-        out, done = [("own", key[0], "", own, int((p.count == 1).sum()), int((p.count == 2).sum()))], 0
+        contexts = np.unique(p.context)
+        there = _among(contexts, spread[0]) >= 0
+        keys = np.union1d(p.words, contexts[there])
+        far = np.where(there, np.searchsorted(keys, contexts), -1)
+        word, context = np.searchsorted(keys, p.words)[p.place], np.searchsorted(contexts, p.context)
+        v = [_packed(word, np.int32), _packed(context, np.int32), _packed(p.count), contexts.tobytes(), _packed(far, np.int32)]
+        v = [keys.tobytes(), *v]
+        out, done = [("own", key[0], 0, "own", v, int((p.count == 1).sum()), int((p.count == 2).sum()))], 0
         for name, q in zip(rows["block"], all_):
-            out.append(("place", key[0], name, [_packed(p.at[done : done + len(q.count)], np.int32)], 0, 0))
+            out.append(("place", key[0], 0, "p" + name, [_packed(p.at[done : done + len(q.count)], np.int32)], 0, 0))
             done += len(q.count)
-        return pd.DataFrame(out, columns=["kind", "part", "block", "v", "ones", "twos"])
+        return pd.DataFrame(out + messages(key[0], _own(v), np.minimum(p.count, 1)), columns=work_names)
+
+    work_names = [c.split()[0] for c in work.split(", ")]
 
     def by(df: DataFrame, key: str):
         # a given number of partitions is not merged, so that a task holds few parts
         return df.repartition(parts, key).groupBy(key)
 
+    def of_kind(df: DataFrame, kind: str) -> DataFrame:
+        return df.where(F.col("kind") == kind).select("part", "tag", "v")
+
     pairs = tables.where("kind = 'pairs'").select("block", "part", "v")
-    held = "kind string, part int, block string, v array<binary>, ones long, twos long"
-    merged = stored(by(pairs, "part").applyInPandas(merge, held), by="kind")
-    own = merged.where("kind = 'own'").select("part", F.lit("own").alias("tag"), "v")
-    places = merged.where("kind = 'place'").select("part", F.concat(F.lit("p"), "block").alias("tag"), "v")
+    merged = stored(by(pairs, "part").applyInPandas(merge, work), by="kind")
+    own, places = of_kind(merged, "own"), of_kind(merged, "place")
     released(pairs, only="/kind=pairs/")
     ones, twos = (x or 0 for x in merged.agg(F.sum("ones"), F.sum("twos")).first())
 
     def discount(one: float, two: float) -> float:
         return float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
 
-    def exchanged(state: DataFrame | None, sweep: int, facts: dict):
-        """The buckets' answers to the parts' tables, and the facts after them."""
-
-        def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            got = dict(zip(rows["tag"], rows["v"]))
-            t = _unpacked(got["state"][0]) if "state" in got else np.minimum(_own(got["own"])[3], 1)
-            return pd.DataFrame([(b, key[0], v) for b, v in _messages(got["own"], t, parts)], columns=["bucket", "part", "v"])
+    def exchanged(worked: DataFrame, sweep: int, facts: dict):
+        """The buckets' answers to the parts' messages, and the facts after them."""
 
         def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rng = np.random.default_rng([seed, sweep, 0, key[0]])
-            out = [("facts" if p < 0 else "answer", p, f"{key[0]:08d}", v, x) for p, v, x in _added(rows.sort_values("part"), not sweep, facts, rng)]
+            answers = _added(rows.sort_values("part"), not sweep, facts, sweep + seed)
+            out = [("facts" if p < 0 else "answer", p, f"{key[0]:08d}", v, x) for p, v, x in answers]
             return pd.DataFrame(out, columns=["kind", "part", "tag", "v", "x"])
 
-        rows = own if state is None else own.unionByName(state)
-        sent = by(rows, "part").applyInPandas(send, "bucket int, part int, v array<binary>")
+        sent = worked.where("kind = 'message'").select("bucket", "part", "v")
         back = stored(by(sent, "bucket").applyInPandas(add, "kind string, part int, tag string, v array<binary>, x array<double>"), by="kind")
+        released(sent, only="/kind=message/")
         sums = back.where("kind = 'facts'").agg(*[F.sum(F.col("x")[i]) for i in range(6)]).first()
         t0, c0, v, n, one, two = (x or 0.0 for x in sums)
         d = facts.get("d") or [discount(one, two), discount(ones, twos)]
-        return back.where("kind = 'answer'").select("part", "tag", "v"), {"d": d, "V": int(v), "N": int(n), "T0": t0, "C0": c0}
+        return of_kind(back, "answer"), {"d": d, "V": int(v), "N": int(n), "T0": t0, "C0": c0}
 
     def told(rows: pd.DataFrame, facts: dict, take: bool):
         """What a part has of its pairs and the answers to its last message; ``take``: this sweep counts."""
         got = dict(zip(rows["tag"], rows["v"]))
-        keys, word, context, count = _own(got["own"])
+        own = keys, word, context, count, contexts, far = _own(got["own"])
         answers = [got[tag] for tag in sorted(t for t in got if t[0].isdigit())]
         c0, t0, at, n, customers = (np.concatenate([_unpacked(a[i]) for a in answers]) for i in range(5))
         root = _root(c0, t0, facts)[word]
         state = got.get("state")
         t = np.minimum(count, 1) if state is None else _unpacked(state[0])
         total = np.frombuffer(state[1], np.float32) if state is not None and state[1] else np.zeros(len(count), np.float32)
+        tables = _restaurants(own, t, at)[context]
         if take:
-            total = total + _served(count, t, at[context], customers[context], root, facts).astype(np.float32)
-        return got, count, _orders(at[context], root, facts), total, n[word]
+            total = total + _served(count, t, tables, _restaurants(own, count, customers)[context], root, facts).astype(np.float32)
+        return got, own, _orders(tables, root, facts), total, n[word]
 
-    answers, facts = exchanged(None, 0, {})
     def drawn(sweep: int, facts: dict):
         take = sweep > burn_in
 
         def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            _, count, odds, total, _ = told(rows, facts, take)
-            t = _seated(count, odds, facts["d"][1], np.random.default_rng([seed, sweep + 1, 1, key[0]]))
-            return pd.DataFrame([(key[0], "state", [_packed(t), total.tobytes() if take else b""])], columns=["part", "tag", "v"])
+            _, own, odds, total, _ = told(rows, facts, take)
+            keys, word, context, count, contexts, _ = own
+            t = _seated(count, odds, facts["d"][1], _key(keys[word], contexts[context], sweep + seed))
+            state = ("state", key[0], 0, "state", [_packed(t), total.tobytes() if take else b""], 0, 0)
+            return pd.DataFrame([state, *messages(key[0], own, t)], columns=work_names)
 
         return draw
 
+    answers, facts = exchanged(merged, 0, {})
     state = None
     for s in range(burn_in + samples):
-        rows = own.unionByName(answers) if state is None else own.unionByName(answers).unionByName(state)
         before = [answers] if state is None else [answers, state]
-        state = stored(by(rows, "part").applyInPandas(drawn(s, facts), "part int, tag string, v array<binary>"))
+        rows = reduce(DataFrame.unionByName, before, own)
+        worked = stored(by(rows, "part").applyInPandas(drawn(s, facts), work), by="kind")
         released(*before)
-        answers, facts = exchanged(state, s + 1, facts)
+        state = of_kind(worked, "state")
+        answers, facts = exchanged(worked, s + 1, facts)
 
     def predicted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         got, _, _, total, n = told(rows, facts, True)

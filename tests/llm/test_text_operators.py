@@ -364,23 +364,77 @@ def test_pitman_yor(docs, rows, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
-def test_pitman_yor_sums_to_one():
-    words_ = np.sort(np.random.default_rng(0).integers(2, 1 << 62, 50).astype(np.uint64))
-    rng = np.random.default_rng(1)
-    key = np.unique(rng.integers(0, 50 * 4096, 400))
-    pairs = pitman_yor._Pairs(words_, key // 4096, key % 4096, rng.integers(1, 400, len(key)))
-    pairs = pitman_yor._Pairs.merged([pairs])
-    c2 = np.bincount(pairs.context, weights=pairs.count, minlength=4096)
-    facts = {"d": [0.5, 0.6, 0.7], "V": len(pairs.words), "c2": c2}
-    chain = pitman_yor._Chain(pairs, facts, [1])
-    for _ in range(3):
-        chain.sweep(chain.totals())
-        assert (chain.t2 >= 1).all() and (chain.t2 <= pairs.count).all()
-        totals = chain.totals()
-        for context in (0, 70, int(pairs.context[0])):
-            p = chain.predict(totals, pairs.words, np.full(len(pairs.words), context))
-            unknown = chain.predict(totals, np.array([1], np.uint64), np.array([context]))
-            assert p.sum() + unknown[0] == pytest.approx(1)
+def _plain_pitman_yor(texts: dict, sweeps: int, burn_in: int) -> dict:
+    """The same model by dictionaries, one dish at a time, with the same random numbers."""
+    py, end = pitman_yor, int(pitman_yor.END)
+    of = {w: int(py._tokens(w.encode())[1][0]) for t in texts.values() for w in t.split()}
+    c = Counter()
+    tokens = {i: [of[w] for w in t.split()] + [end] for i, t in texts.items()}
+    for i, ws in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(zip([end, *ws], ws))
+
+    def discount(n):
+        one, two = sum(x == 1 for x in n), sum(x == 2 for x in n)
+        return min(max(one / max(one + 2 * two, 1), 0.05), 0.95)
+
+    def drawn(n, odds, d, word, context, sweep):
+        key = py._key(np.array([word], np.uint64), np.array([context], np.uint64), sweep + py.SEED)
+        t = 1
+        for i in range(1, min(n, py.SINGLY)):
+            t += py._uniform(key, i)[0] * (odds + i - d * t) < odds
+        i = py.SINGLY
+        while i < n:
+            step = min(n - i, max(8, i // 8))
+            t += py._binomial(np.array([step]), np.array([odds / (odds + i + step / 2 - d * t)]), key, i)[0]
+            i += max(8, i // 8)
+        return min(t, n)
+
+    def summed(x, at):
+        out = Counter()
+        for pair, n in x.items():
+            out[pair[at]] += n
+        return out
+
+    t, total = {pair: 1 for pair in c}, Counter()
+    c0, held = summed(t, 1), summed(c, 0)
+    t0, d0, d1, v = {w: 1 for w in c0}, discount(c0.values()), discount(c.values()), len(c0)
+    asked = {pair for ws in tokens.values() for pair in zip([end, *ws], ws)}
+    for s in range(sweeps + 1):
+        tables, all0, top = summed(t, 0), sum(c0.values()), sum(t0.values())
+        base = (1 + d0 * top) / (v + 1)
+        root = lambda w: (c0[w] - d0 * t0.get(w, 0) + base) / (1 + all0)
+        predict = lambda u, w: (c[u, w] - d1 * t.get((u, w), 0) + (1 + d1 * tables[u]) * root(w)) / (1 + held[u])
+        for u in (*list(held)[:5], 12345):
+            assert sum(predict(u, w) for w in c0) + predict(u, 1 << 63) == pytest.approx(1)
+        if s > burn_in:
+            total.update({pair: predict(*pair) / (sweeps - burn_in) for pair in asked})
+        t = {(u, w): drawn(n, (1 + d1 * tables[u]) * root(w), d1, w, u, s) for (u, w), n in c.items()}
+        # the root is drawn from the orders of the new tables, with its scalars of the sweep before
+        c0 = summed(t, 1)
+        t0 = {w: drawn(n, base, d0, w, w, s + 1) for w, n in c0.items()}
+    return {i: sum(np.log10(total[pair]) for pair in zip([end, *ws], ws)) for i, ws in tokens.items()}
+
+
+def test_pitman_yor_equals_plain_sampler(spark, monkeypatch):
+    """Scores of the distributed sampler, its hot previous words spread or not, are those of the plain one."""
+    rng = random.Random(9)
+    texts = {i: " ".join(f"w{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(rng.randrange(30))) for i in range(60)}
+    want = _plain_pitman_yor(texts, 4, 1)
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], SCHEMA)
+    for spread, part in ((1 << 40, 1 << 20), (40, 300)):
+        monkeypatch.setattr(pitman_yor, "SPREAD", spread)
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, block=200, part_bytes=part).collect()}
+        assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_pitman_yor_group_draws():
+    """Successes drawn in groups have a binomial's mean and spread, by inversion and by the normal."""
+    key = pitman_yor._key(np.arange(20000, dtype=np.uint64), np.arange(20000, dtype=np.uint64), 1)
+    for m, p in ((8, 0.3), (400, 0.01), (5000, 0.2)):
+        k = pitman_yor._binomial(np.full(20000, m), np.full(20000, p), key, 48)
+        assert k.min() >= 0 and k.max() <= m
+        assert k.mean() == pytest.approx(m * p, rel=0.02) and k.var() == pytest.approx(m * p * (1 - p), rel=0.05)
 
 
 def test_pitman_yor_keeps_previous_words_apart(spark):
