@@ -19,7 +19,6 @@ parts need. Only a few scalars and the spread words (at most ``MAX_SPREAD``) rea
 from __future__ import annotations
 
 import zlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,9 +30,9 @@ from kpiforge.llm.bytescan import hashes, mixed, running, texts_of
 from kpiforge.llm.common import SPACE, released, stored
 
 MODULUS, HELD = 7, 2
-BLOCK = 2_000_000
+BLOCK = 2_500_000
 #: Text bytes of one part of the vocabulary, and the most parts.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 MAX_PARTS = 1 << 16
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 3
@@ -78,13 +77,29 @@ def _slices(texts: list[bytes]):
         yield run
 
 
-def _packed(x: np.ndarray, kind=np.int64) -> bytes:
-    """Whole numbers with their bytes by place, so that the high ones compress."""
-    return x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0: as many bytes as the largest needs, by place, compressed before Spark moves them."""
+    x = x.astype(np.uint64)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(b: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+def _unpacked(b: bytes) -> np.ndarray:
+    width, n = b[0], int.from_bytes(b[1:9], "little")
+    planes = np.frombuffer(pa.decompress(b[9:], n * width, codec="zstd"), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.int64).reshape(-1)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending whole numbers or hashes."""
+    return _packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _climbed(b: bytes, kind=np.int64) -> np.ndarray:
+    return np.cumsum(_unpacked(b).view(kind))
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +148,15 @@ class _Block:
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         ids = [{"v": i} for i in self.ids]
-        yield ("docs", name, -1, [length.astype(np.int32).tobytes(), _packed(rank[pair], np.int32), np.packbits(~train).tobytes()], ids)
+        yield ("docs", name, -1, [length.astype(np.int32).tobytes(), _packed(rank[pair]), np.packbits(~train).tobytes()], ids)
         del pair, rank
         bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
         for p in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[p] : bounds[p + 1]]
             own, per = np.unique(word[at], return_counts=True)
-            yield ("pairs", name, int(p), [own.tobytes(), per.astype(np.int32).tobytes(), context[at].tobytes(), _packed(count[at])], [])
+            contexts, place = _distinct(context[at])
+            v = [_steps(own), _packed(per), _steps(contexts), _packed(place), _packed(count[at])]
+            yield ("pairs", name, int(p), v, [])
 
 
 def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -220,8 +237,8 @@ class _Pairs:
 
     @classmethod
     def read(cls, v):
-        words, per = np.frombuffer(v[0], np.uint64), np.frombuffer(v[1], np.int32)
-        return cls(words, np.repeat(np.arange(len(words)), per), np.frombuffer(v[2], np.uint64), _unpacked(v[3]))
+        words, contexts = _climbed(v[0], np.uint64), _climbed(v[2], np.uint64)
+        return cls(words, np.repeat(np.arange(len(words)), _unpacked(v[1])), contexts[_unpacked(v[3])], _unpacked(v[4]))
 
     @classmethod
     def merged(cls, all_: list):
@@ -311,25 +328,25 @@ def _root_tables(c0, facts: dict, key):
     return _seated(c0, np.full(len(c0), (STRENGTH + d * facts["T0"]) / (facts["V"] + 1)), d, key)
 
 
-def _messages(own, t: np.ndarray, buckets: int):
-    """Per bucket: its keys in this part, and for each the tables and customers as dish and as spread restaurant."""
+def _messages(own, t: np.ndarray, buckets: int, first: bool):
+    """Per bucket: its keys' tables in this part as dish and as spread restaurant; at first their customers and the keys too."""
     keys, word, context, count, _, far = own
     there = far >= 0
     sums = []
-    for w in (t, count):
+    for w in (t, count) if first else (t,):
         sums.append(np.bincount(word, weights=w, minlength=len(keys)))
         per = np.bincount(context, weights=w, minlength=len(far))[there]
         sums.append(np.bincount(far[there], weights=per, minlength=len(keys)))
     bounds = np.concatenate([[0], np.cumsum(np.bincount(_part(keys, buckets), minlength=buckets))])
     for b in np.flatnonzero(np.diff(bounds)):
         x, y = bounds[b], bounds[b + 1]
-        yield int(b), [keys[x:y].tobytes(), *[_packed(s[x:y]) for s in sums]]
+        yield int(b), [*[_packed(s[x:y]) for s in sums], *([_steps(keys[x:y])] if first else [])]
 
 
 def _own(v) -> tuple:
     """keys, per pair the places of its word (in keys) and context, its count; the contexts, their places in keys or -1."""
-    ints = [_unpacked(v[i], kind) for i, kind in ((1, np.int32), (2, np.int32), (3, np.int64))]
-    return np.frombuffer(v[0], np.uint64), *ints, np.frombuffer(v[4], np.uint64), _unpacked(v[5], np.int32)
+    ints = _climbed(v[1]), _unpacked(v[2]), _unpacked(v[3])
+    return _climbed(v[0], np.uint64), *ints, _climbed(v[4], np.uint64), _unpacked(v[5]) - 1
 
 
 def _restaurants(own, weights, told: np.ndarray) -> np.ndarray:
@@ -340,20 +357,30 @@ def _restaurants(own, weights, told: np.ndarray) -> np.ndarray:
     return out
 
 
-def _added(rows: pd.DataFrame, first: bool, facts: dict, sweep: int):
-    """One bucket's answers to the parts that sent ``rows`` and its share of the scalars."""
-    sent = [np.frombuffer(v[0], np.uint64) for v in rows["v"]]
-    keys, at = _distinct(np.concatenate(sent))
-    c0, tables, n, customers = (
-        np.bincount(at, weights=np.concatenate([_unpacked(v[i]) for v in rows["v"]]), minlength=len(keys)) for i in range(1, 5)
-    )
-    t0 = np.minimum(c0, 1) if first else _root_tables(c0, facts, _key(keys, keys, sweep))
-    done = 0
-    for part, k in zip(rows["part"], sent):
-        own = at[done : done + len(k)]
-        done += len(k)
-        yield int(part), [_packed(x[own]) for x in (c0, t0, tables, n, customers)], []
-    yield -1, [], [float(x) for x in (t0.sum(), c0.sum(), (n > 0).sum(), n.sum(), (c0 == 1).sum(), (c0 == 2).sum())]
+def _added(rows: pd.DataFrame, facts: dict, sweep: int):
+    """One bucket's answers to the parts that sent ``rows``, its share of the scalars and, at first, its book.
+
+    The book, in the row of part -1, is what stays the same: the keys, their customers, and which of them
+    each part asks for.
+    """
+    book, sent = rows[rows["part"] < 0], rows[rows["part"] >= 0]
+    got = [[_unpacked(v[i]) for v in sent["v"]] for i in (0, 1)]
+    stops = np.cumsum([0] + [len(x) for x in got[0]])
+    if not len(book):
+        keys, at = _distinct(np.concatenate([_climbed(v[4], np.uint64) for v in sent["v"]]))
+        n, customers = (np.bincount(at, weights=np.concatenate([_unpacked(v[i]) for v in sent["v"]])) for i in (2, 3))
+        steps = np.diff(at, prepend=0)
+        steps[stops[:-1]] = at[stops[:-1]]
+        yield -1, "book", [_steps(keys), _packed(n), _packed(customers), _packed(steps)], []
+    else:
+        v = book["v"].iloc[0]
+        keys, n, customers, steps = _climbed(v[0], np.uint64), *[_unpacked(x) for x in v[1:]]
+        at = np.concatenate([np.cumsum(steps[x:y]) for x, y in zip(stops, stops[1:])])
+    c0, tables = (np.bincount(at, weights=np.concatenate(x), minlength=len(keys)) for x in got)
+    t0 = _root_tables(c0, facts, _key(keys, keys, sweep)) if len(book) else np.minimum(c0, 1)
+    for part, x, y in zip(sent["part"], stops, stops[1:]):
+        yield int(part), "answer", [_packed(z[at[x:y]]) for z in (c0, t0, tables, n, customers)], []
+    yield -1, "facts", [], [float(x) for x in (t0.sum(), c0.sum(), (n > 0).sum(), n.sum(), (c0 == 1).sum(), (c0 == 2).sum())]
 
 
 def score(
@@ -373,8 +400,8 @@ def score(
     tables = _blocks(docs, id_col, text_col, parts, block, spread)
     work = "kind string, part int, bucket int, tag string, v array<binary>, ones long, twos long"
 
-    def messages(part: int, own: tuple, t: np.ndarray) -> list:
-        return [("message", part, b, "", v, 0, 0) for b, v in _messages(own, t, parts)]
+    def messages(part: int, own: tuple, t: np.ndarray, first: bool = False) -> list:
+        return [("message", part, b, "", v, 0, 0) for b, v in _messages(own, t, parts, first)]
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         all_ = [_Pairs.read(v) for v in rows["v"]]
@@ -384,13 +411,13 @@ def score(
         keys = np.union1d(p.words, contexts[there])
         far = np.where(there, np.searchsorted(keys, contexts), -1)
         word, context = np.searchsorted(keys, p.words)[p.place], np.searchsorted(contexts, p.context)
-        v = [_packed(word, np.int32), _packed(context, np.int32), _packed(p.count), contexts.tobytes(), _packed(far, np.int32)]
-        v = [keys.tobytes(), *v]
+        v = [_steps(word), _packed(context), _packed(p.count), _steps(contexts), _packed(far + 1)]
+        v = [_steps(keys), *v]
         out, done = [("own", key[0], 0, "own", v, int((p.count == 1).sum()), int((p.count == 2).sum()))], 0
         for name, q in zip(rows["block"], all_):
-            out.append(("place", key[0], 0, "p" + name, [_packed(p.at[done : done + len(q.count)], np.int32)], 0, 0))
+            out.append(("place", key[0], 0, "p" + name, [_steps(p.at[done : done + len(q.count)])], 0, 0))
             done += len(q.count)
-        return pd.DataFrame(out + messages(key[0], _own(v), np.minimum(p.count, 1)), columns=work_names)
+        return pd.DataFrame(out + messages(key[0], _own(v), np.minimum(p.count, 1), True), columns=work_names)
 
     work_names = [c.split()[0] for c in work.split(", ")]
 
@@ -410,21 +437,26 @@ def score(
     def discount(one: float, two: float) -> float:
         return float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
 
-    def exchanged(worked: DataFrame, sweep: int, facts: dict):
-        """The buckets' answers to the parts' messages, and the facts after them."""
+    answer = "kind string, bucket int, part int, tag string, v array<binary>, x array<double>"
+
+    def exchanged(worked: DataFrame, sweep: int, facts: dict, books: DataFrame | None):
+        """The buckets' answers to the parts' messages, the facts after them and the books."""
 
         def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            answers = _added(rows.sort_values("part"), not sweep, facts, sweep + seed)
-            out = [("facts" if p < 0 else "answer", p, f"{key[0]:08d}", v, x) for p, v, x in answers]
-            return pd.DataFrame(out, columns=["kind", "part", "tag", "v", "x"])
+            answers = _added(rows.sort_values("part"), facts, sweep + seed)
+            out = [(kind, key[0], p, f"{key[0]:08d}", v, x) for p, kind, v, x in answers]
+            return pd.DataFrame(out, columns=["kind", "bucket", "part", "tag", "v", "x"])
 
         sent = worked.where("kind = 'message'").select("bucket", "part", "v")
-        back = stored(by(sent, "bucket").applyInPandas(add, "kind string, part int, tag string, v array<binary>, x array<double>"), by="kind")
+        rows = sent if books is None else sent.unionByName(books)
+        back = stored(by(rows, "bucket").applyInPandas(add, answer), by="kind")
         released(sent, only="/kind=message/")
         sums = back.where("kind = 'facts'").agg(*[F.sum(F.col("x")[i]) for i in range(6)]).first()
         t0, c0, v, n, one, two = (x or 0.0 for x in sums)
         d = facts.get("d") or [discount(one, two), discount(ones, twos)]
-        return of_kind(back, "answer"), {"d": d, "V": int(v), "N": int(n), "T0": t0, "C0": c0}
+        if books is None:
+            books = back.where("kind = 'book'").select("bucket", "part", "v")
+        return of_kind(back, "answer"), {"d": d, "V": int(v), "N": int(n), "T0": t0, "C0": c0}, books
 
     def told(rows: pd.DataFrame, facts: dict, take: bool):
         """What a part has of its pairs and the answers to its last message; ``take``: this sweep counts."""
@@ -453,22 +485,23 @@ def score(
 
         return draw
 
-    answers, facts = exchanged(merged, 0, {})
+    answers, facts, books = exchanged(merged, 0, {}, None)
     state = None
     for s in range(burn_in + samples):
-        before = [answers] if state is None else [answers, state]
-        rows = reduce(DataFrame.unionByName, before, own)
+        rows = own.unionByName(answers) if state is None else own.unionByName(answers).unionByName(state)
         worked = stored(by(rows, "part").applyInPandas(drawn(s, facts), work), by="kind")
-        released(*before)
+        released(answers, only="/kind=answer/")
+        if state is not None:
+            released(state, only="/kind=state/")
         state = of_kind(worked, "state")
-        answers, facts = exchanged(worked, s + 1, facts)
+        answers, facts, books = exchanged(worked, s + 1, facts, books)
 
     def predicted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         got, _, _, total, n = told(rows, facts, True)
         p, out = np.log10(total / samples).astype(np.float32), []
         for tag, v in got.items():
             if tag[0] == "p":
-                at = _unpacked(v[0], np.int32)
+                at = _climbed(v[0])
                 out.append((tag[1:], key[0], p[at].tobytes(), _packed(n[at])))
         return pd.DataFrame(out, columns=["of", "part", "p", "n"])
 
@@ -483,7 +516,7 @@ def score(
 
     def total(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         row, got = own.iloc[0], got.sort_values("part")
-        length, pair = np.frombuffer(row["v"][0], np.int32), _unpacked(row["v"][1], np.int32)
+        length, pair = np.frombuffer(row["v"][0], np.int32), _unpacked(row["v"][1])
         held = np.unpackbits(np.frombuffer(row["v"][2], np.uint8), count=len(length)).astype(bool)
         logp = np.concatenate([np.frombuffer(x, np.float32) for x in got["p"]]).astype(np.float64)
         c = np.concatenate([_unpacked(x) for x in got["n"]])
