@@ -19,7 +19,9 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge import config
-from kpiforge.martstore import MartStore
+from kpiforge.martstore import INPUTS, MartStore
+from kpiforge.session import size_tasks
+from kpiforge.sources import files
 from kpiforge.sources.tables import Tables
 
 if TYPE_CHECKING:
@@ -48,7 +50,10 @@ class Ctx:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, **kw) -> Ctx:
-        return cls(Tables(spark, sf_dir), **kw)
+        tables = Tables(spark, sf_dir)
+        there = [p for p in map(tables.path, INPUTS) if files.exists(spark, p)]
+        size_tasks(spark, sum(length for p in there for _, length, _ in files.listing(spark, p)))
+        return cls(tables, **kw)
 
     @property
     def store(self) -> MartStore:

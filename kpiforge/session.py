@@ -23,6 +23,16 @@ _SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Task sizes. Spark's own (128 MB of Parquet, 64 MB of compressed shuffle data) are about 1 GB of rows in a sort,
+# more than an executor's core has; with these, tasks stay in memory and more input means more tasks.
+_TASK_SIZES = {
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+}
+#: Shuffles of the marts start with one partition per so many bytes of input files, or the cluster's number, if that is larger.
+PARTITION_BYTES = 4 << 20
+_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 def ensure_defaults(spark: SparkSession) -> SparkSession:
     for key, value in _SQL_DEFAULTS.items():
@@ -32,6 +42,19 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_tasks(spark: SparkSession, input_bytes: int) -> None:
+    """Task sizes for a job over so many bytes of input files; what the cluster or the caller has set stays.
+
+    Small shuffles are coalesced again at run time, so that a larger number of partitions costs nothing there.
+    """
+    given = spark.conf.getAll
+    for key, value in _TASK_SIZES.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(_PARTITIONS, str(max(least, -(-input_bytes // PARTITION_BYTES))))
+
+
 _SHIPPED: set[str] = set()
 
 
