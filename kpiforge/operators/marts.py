@@ -123,10 +123,12 @@ def product_category(ctx: Ctx) -> DataFrame:
 
 @model(table=True)
 def fct_order_items(ctx: Ctx) -> DataFrame:
-    i = staging.stg_order_items(ctx)
+    """Items with their category and order. The products come first: the shuffle by product then carries
+    no column of the orders."""
+    i = staging.stg_order_items(ctx).select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
     o = fct_orders(ctx).select("order_id", "customer_unique_id", "state_code", "purchase_date", "is_canceled")
     p = product_category(ctx).select("product_id", "category_name_en")
-    return i.join(o, "order_id").join(p, "product_id").select(
+    return i.join(p, "product_id").join(o, "order_id").select(
         "order_id",
         "order_item_id",
         "product_id",

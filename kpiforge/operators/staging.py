@@ -97,13 +97,19 @@ def stg_orders(ctx: Ctx) -> DataFrame:
     )
 
 
+def _one_per_item(ctx: Ctx) -> DataFrame:
+    order = ITEM_ORDER[: [c for c, _ in ITEM_ORDER].index("tax_rate") + 1]
+    keys = ["order_id", "order_item_id"]
+    return latest_per_key(landing.erp_order_items(ctx).select(*keys, *[c for c, _ in order]), keys, order)
+
+
 @model(table=True)
 def stg_order_items(ctx: Ctx) -> DataFrame:
     """Typed line items, one per (order_id, order_item_id). Money in decimal: the freight is
-    price x tax rounded to cents, never rounded in floating point."""
-    raw = source_rows(
-        ctx, "order_items", lambda c: latest_per_key(landing.erp_order_items(c), ["order_id", "order_item_id"], ITEM_ORDER)
-    )
+    price x tax rounded to cents, never rounded in floating point.
+
+    The last columns of the tie-break decide between rows that are equal in all columns kept here, so they are not shuffled."""
+    raw = source_rows(ctx, "order_items", _one_per_item)
     price = F.col("price").cast("decimal(12,2)")
     freight = F.round(price * F.col("tax_rate").cast("decimal(4,2)"), 2).cast("decimal(12,2)")
     return raw.select(
