@@ -39,18 +39,26 @@ def _status(code: Column) -> Column:
     return expr.otherwise(F.lit("created"))
 
 
-def erp_orders(ctx: Ctx, since: datetime | None = None, until: date | None = None) -> DataFrame:
+def erp_orders(
+    ctx: Ctx, since: datetime | None = None, until: date | None = None, shipped_from: date | None = None
+) -> DataFrame:
     """Orders with their final state and timestamps, incremental on the purchase timestamp.
 
     Carrier hand-over is the first and customer delivery the last ship date that is not before
     the purchase; the order table carries the final status only. One left join + one group by
-    on the order key: the group by reuses the join's partitioning, so it adds no shuffle.
+    on the order key: the group by reuses the join's partitioning, so it adds no shuffle. Ship dates
+    that count are not before a purchase after ``since``, so an incremental extract reads no older line items;
+    with ``shipped_from``, the caller needs no order whose last item was shipped before that day.
     """
     until = ctx.sim_date if until is None else until
     o = ctx.tables.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").filter(
         incremental_window(F.col("o_orderdate"), since, until)
     )
     li = ctx.tables.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    if since is not None:
+        li = li.filter(F.col("l_shipdate") > F.lit(since))
+    if shipped_from is not None:
+        li = li.filter(F.col("l_shipdate") >= F.lit(_ts(shipped_from)))
     valid_ship = F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.col("l_shipdate"))
     agg = (
         o.join(li, "o_orderkey", "left")
@@ -161,6 +169,14 @@ def category_translation(ctx: Ctx) -> DataFrame:
     )
 
 
+def _first_shipped(since: str | None) -> date | None:
+    """The earliest delivery whose review can be created after the text ``since``; None if that is no date."""
+    try:
+        return date.fromisoformat(since[:10]) - timedelta(days=config.REVIEW_DELAY_DAYS) if since else None
+    except (ValueError, OverflowError):
+        return None
+
+
 def legacy_reviews(
     ctx: Ctx, since: str | None = None, until: date | None = None, orders: DataFrame | None = None
 ) -> DataFrame:
@@ -168,7 +184,7 @@ def legacy_reviews(
     export (``since < created < until + 1 day`` as text). ``orders``: the landed orders, if
     already materialised (else extracted here)."""
     until = ctx.sim_date if until is None else until
-    src = orders if orders is not None else erp_orders(ctx, None, until)
+    src = orders if orders is not None else erp_orders(ctx, None, until, _first_shipped(since))
     delivered = src.filter(
         F.col("order_delivered_customer_date").isNotNull()
     )
