@@ -86,7 +86,7 @@ class MartStore:
     def _publish(self, df: DataFrame, path: str, kind: str = "parquet") -> bool:
         """Write aside, then rename; False if another builder was first."""
         pending = f"{self.slot}/_pending/{uuid.uuid4().hex}"
-        df.write.format(kind).save(pending)
+        (df.write.option("compression", "zstd") if kind == "parquet" else df.write).format(kind).save(pending)
         if files.rename(self.spark, pending, path):
             return True
         files.delete(self.spark, pending)

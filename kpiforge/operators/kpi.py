@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.context import Ctx, model
@@ -107,27 +107,20 @@ def kpi_orders_agg(ctx: Ctx) -> DataFrame:
 def kpi_items_agg(ctx: Ctx) -> DataFrame:
     """Item measures per day, region and category with the number of different orders.
 
-    Items are summed per order and category after one shuffle by order; one of an order's rows is
-    marked, so that orders are counted by sums (a day's and a region's by the marks, a category's by the rows) and
-    no order id passes the grouping sets.
+    The item mart marks one of an order's items, and one of those of each category, so that orders are counted by
+    sums (a day's and a region's by the former marks, a category's by the latter) and no order id is shuffled.
     """
-    i = on_days(ctx, marts.fct_order_items(ctx).filter(~F.col("is_canceled")), "purchase_date")
-    keys = ["order_id", "purchase_date", "state_code", "category_name_en"]
-    per = i.select(*keys, "price", "freight_value").repartition("order_id").groupBy(*keys).agg(
-        F.sum("price").alias("gmv"), F.sum("freight_value").alias("freight"), F.count(F.lit(1)).alias("items")
-    )
-    first = F.row_number().over(Window.partitionBy("order_id").orderBy("category_name_en")) == 1
-    marked = per.select("*", first.cast("int").alias("first"))
+    i = on_days(ctx, marts.counted_order_items(ctx).filter(~F.col("is_canceled")), "purchase_date")
     counted = grouped_by_dimension(
-        marked,
+        i,
         "purchase_date",
         [("region", "state_code"), ("category", "category_name_en")],
         {
-            "gmv": F.sum("gmv"),
-            "freight": F.sum("freight"),
-            "items": F.sum("items"),
-            "firsts": F.sum("first"),
-            "order_rows": F.count(F.lit(1)),
+            "gmv": F.sum("price"),
+            "freight": F.sum("freight_value"),
+            "items": F.count(F.lit(1)),
+            "firsts": F.count_if("first_of_order"),
+            "order_rows": F.count_if("first_of_group"),
         },
     )
     orders = F.when(F.col("dimension") == "category", F.col("order_rows")).otherwise(F.col("firsts"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge import config
@@ -10,6 +12,20 @@ from kpiforge.context import Ctx, model
 from kpiforge.functions.columns import budget_round, elapsed_days, entity_id, safe_ratio
 from kpiforge.operators import staging
 
+ITEM_FACTS = [
+    "order_id",
+    "order_item_id",
+    "product_id",
+    "seller_id",
+    "category_name_en",
+    "customer_unique_id",
+    "state_code",
+    "purchase_date",
+    "is_canceled",
+    "price",
+    "freight_value",
+]
+
 
 @model
 def order_item_totals(ctx: Ctx) -> DataFrame:
@@ -122,27 +138,30 @@ def product_category(ctx: Ctx) -> DataFrame:
 
 
 @model(table=True)
-def fct_order_items(ctx: Ctx) -> DataFrame:
-    """Items with their category and order. The products come first: the shuffle by product then carries
-    no column of the orders."""
+def counted_order_items(ctx: Ctx) -> DataFrame:
+    """Items with their category and order, and the marks by which orders are counted in sums.
+
+    The products come first: the shuffle by product then carries no column of the orders, and the rows lie by
+    order when they are marked. ``first_of_order``: one of an order's items; ``first_of_group``: one of its items of each day, region and
+    category (canceled and other items apart).
+    """
     i = staging.stg_order_items(ctx).select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
     o = fct_orders(ctx).select("order_id", "customer_unique_id", "state_code", "purchase_date", "is_canceled")
     p = product_category(ctx).select("product_id", "category_name_en")
+    group = ["category_name_en", "purchase_date", "state_code"]
+    of_order = Window.partitionBy("order_id", "is_canceled").orderBy(*group)
+    first = F.row_number().over(of_order) == 1
+    same = reduce(Column.__and__, [F.lag(c).over(of_order).eqNullSafe(F.col(c)) for c in group])
     return i.join(p, "product_id").join(o, "order_id").select(
-        "order_id",
-        "order_item_id",
-        "product_id",
-        "seller_id",
-        "category_name_en",
-        "customer_unique_id",
-        "state_code",
-        "purchase_date",
-        "is_canceled",
-        "price",
-        "freight_value",
+        *ITEM_FACTS, first.alias("first_of_order"), (first | ~same).alias("first_of_group")
     )
 
 
+@model
+def fct_order_items(ctx: Ctx) -> DataFrame:
+    return counted_order_items(ctx).select(*ITEM_FACTS)
+
+
 @model
 def fct_payments(ctx: Ctx) -> DataFrame:
     p = staging.stg_payments(ctx)

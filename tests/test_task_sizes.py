@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kpiforge import session
 from kpiforge.context import Ctx
-from kpiforge.operators import marts, staging
+from kpiforge.operators import kpi, marts, staging
 
 PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -32,6 +32,7 @@ def folder(spark, tmp_path):
         (2, 2, 1, 1, 1.0, 20.0, 0.0, 0.00, "N", "O", ship),
         (2, 3, 1, 2, 1.0, 30.0, 0.0, 0.00, "N", "O", ship),
         (2, 9, 1, 3, 1.0, 40.0, 0.0, 0.00, "N", "O", ship),
+        (2, 2, 1, 4, 1.0, 50.0, 0.0, 0.00, "N", "O", ship),
     ]
     orders = [(k, k, "F", 10.0, BOUGHT, "1-URGENT") for k in (1, 2)]
     tables = {
@@ -90,5 +91,16 @@ def test_items_are_shuffled_without_columns_that_decide_nothing(spark, folder):
 def test_item_facts_keep_their_rows(spark, folder):
     facts = marts.fct_order_items(Ctx.of(spark, folder, materialize=False))
     got = {(r["order_id"], r["order_item_id"], r["category_name_en"], float(r["price"])) for r in facts.collect()}
-    assert got == {(1, 1, "t1", 10.0), (2, 1, "t2", 20.0), (2, 2, "t3", 30.0)}  # product 9 is unknown
+    assert got == {(1, 1, "t1", 10.0), (2, 1, "t2", 20.0), (2, 2, "t3", 30.0), (2, 4, "t2", 50.0)}  # product 9 is unknown
     assert facts.select(F.count_if("is_canceled")).first()[0] == 0
+
+
+def test_orders_are_counted_by_marks_of_the_item_mart(spark, folder):
+    ctx = Ctx.of(spark, folder, materialize=False)
+    marked = marts.counted_order_items(ctx).select(F.count_if("first_of_order"), F.count_if("first_of_group")).first()
+    assert tuple(marked) == (2, 3)
+    got = {(r["dimension"], r["dimension_value"]): (r["items"], r["orders_with_items"], float(r["gmv"])) for r in kpi.kpi_items_agg(ctx).collect()}
+    assert got == {
+        ("total", "all"): (4, 2, 110.0), ("region", "FRANCE"): (4, 2, 110.0),
+        ("category", "t1"): (1, 1, 10.0), ("category", "t2"): (2, 1, 70.0), ("category", "t3"): (1, 1, 30.0),
+    }
