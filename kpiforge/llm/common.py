@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, by: str | list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Zstandard Parquet table in the shared checkpoint folder and read it back."""
     prepared(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm/{uuid.uuid4().hex}"

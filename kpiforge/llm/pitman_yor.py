@@ -14,11 +14,15 @@ more than ``SPREAD`` tokens are spread over several parts by the word that follo
 the totals of spread restaurants) lie in buckets by their hash. In a sweep the parts draw their tables and send
 each bucket the sums for its words; the buckets add them up, draw the root's tables and send back what the
 parts need. Only a few scalars and the spread words (at most ``MAX_SPREAD``) reach the driver.
+
+The large shuffles (of the blocks' pairs before the sweeps, of all that a part knows after them) are made in
+``ROUNDS``, some of the parts in each, so that never more than a round's share lies in a shuffle beside its stored copy.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,8 @@ BURN_IN, SAMPLES = 1, 3
 #: Customers of a dish beyond this many are seated in groups (a binomial draw each).
 SINGLY = 48
 SEED = 5
+#: Over how many rounds the parts are dealt where all that they hold is shuffled.
+ROUNDS = 4
 #: Tokens after which a context is spread over several parts, and the most contexts that are.
 SPREAD, MAX_SPREAD = 400_000, 1 << 20
 _ODD, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -198,7 +204,11 @@ def _spread(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.uint64)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int, spread: tuple) -> DataFrame:
+def _of_round(part, rounds: int):
+    return F.pmod(part, F.lit(rounds))
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, rounds: int, block: int, spread: tuple) -> DataFrame:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     kind = source.schema["id"].dataType
     schema = f"kind string, block string, part int, v array<binary>, ids array<struct<v:{kind.simpleString()}>>"
@@ -226,7 +236,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int, block: int,
         if own.size:
             yield from flush()
 
-    return stored(source.mapInArrow(run, schema), by="kind")
+    return stored(source.mapInArrow(run, schema).withColumn("round", _of_round(F.col("part"), rounds)), by=["kind", "round"])
 
 
 class _Pairs:
@@ -396,8 +406,9 @@ def score(
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, min(MAX_PARTS, -(-size // part_bytes)))
+    rounds = min(ROUNDS, parts)
     spread = _spread(docs, text_col)
-    tables = _blocks(docs, id_col, text_col, parts, block, spread)
+    tables = _blocks(docs, id_col, text_col, parts, rounds, block, spread)
     work = "kind string, part int, bucket int, tag string, v array<binary>, ones long, twos long"
 
     def messages(part: int, own: tuple, t: np.ndarray, first: bool = False) -> list:
@@ -425,13 +436,19 @@ def score(
         # a given number of partitions is not merged, so that a task holds few parts
         return df.repartition(parts, key).groupBy(key)
 
+    def union(all_: list) -> DataFrame:
+        return reduce(DataFrame.unionByName, all_)
+
     def of_kind(df: DataFrame, kind: str) -> DataFrame:
         return df.where(F.col("kind") == kind).select("part", "tag", "v")
 
-    pairs = tables.where("kind = 'pairs'").select("block", "part", "v")
-    merged = stored(by(pairs, "part").applyInPandas(merge, work), by="kind")
-    own, places = of_kind(merged, "own"), of_kind(merged, "place")
-    released(pairs, only="/kind=pairs/")
+    merging = []
+    for r in range(rounds):
+        pairs = tables.where((F.col("kind") == "pairs") & (F.col("round") == r)).select("block", "part", "v")
+        merging.append(stored(by(pairs, "part").applyInPandas(merge, work), by="kind"))
+        released(pairs, only=f"/kind=pairs/round={r}/")
+    merged = union(merging)
+    own = of_kind(merged, "own")
     ones, twos = (x or 0 for x in merged.agg(F.sum("ones"), F.sum("twos")).first())
 
     def discount(one: float, two: float) -> float:
@@ -488,7 +505,7 @@ def score(
     answers, facts, books = exchanged(merged, 0, {}, None)
     state = None
     for s in range(burn_in + samples):
-        rows = own.unionByName(answers) if state is None else own.unionByName(answers).unionByName(state)
+        rows = union([own, answers] if state is None else [own, answers, state])
         worked = stored(by(rows, "part").applyInPandas(drawn(s, facts), work), by="kind")
         released(answers, only="/kind=answer/")
         if state is not None:
@@ -505,8 +522,15 @@ def score(
                 out.append((tag[1:], key[0], p[at].tobytes(), _packed(n[at])))
         return pd.DataFrame(out, columns=["of", "part", "p", "n"])
 
-    rows = own.unionByName(answers).unionByName(state).unionByName(places)
-    answers = by(rows, "part").applyInPandas(predicted, "of string, part int, p binary, n binary")
+    released(books, only="/kind=book/")
+    told_last, predictions = union([answers, state]), []
+    for r in range(rounds):
+        rows = [of_kind(merging[r], "own"), of_kind(merging[r], "place"), told_last.where(_of_round(F.col("part"), rounds) == r)]
+        found = by(union(rows), "part").applyInPandas(predicted, "of string, part int, p binary, n binary")
+        predictions.append(stored(found))
+        released(merging[r])
+    released(answers, only="/kind=answer/")
+    released(state, only="/kind=state/")
     kind = docs.schema[id_col].dataType.simpleString()
     result = (
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -529,4 +553,6 @@ def score(
             "base_score": np.add.reduceat(base[pair], first), "score": np.add.reduceat(logp[pair], first),
         })
 
-    return texts.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(total, result).withColumnRenamed("id", id_col)
+    scored = stored(texts.groupBy("block").cogroup(union(predictions).groupBy("of")).applyInPandas(total, result))
+    released(texts, *predictions)
+    return scored.withColumnRenamed("id", id_col)
