@@ -40,11 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, by: str | list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a Zstandard Parquet table in the shared checkpoint folder and read it back."""
+def stored(df: DataFrame, by: str | list[str] | None = None, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as a Zstandard Parquet table in the shared checkpoint folder (``options``: of the writer) and read it back."""
     prepared(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.options(compression="zstd", **(options or {}))
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

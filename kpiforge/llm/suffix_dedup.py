@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.bytescan import hashes, mixed, running, texts_of
-from kpiforge.llm.common import stored
+from kpiforge.llm.common import released, stored
 
 WINDOW = 200
 #: Text bytes of a block; bytes of all texts for one range of hashes, and the most ranges.
@@ -41,7 +41,13 @@ GROUP_MAX = 50_000
 PAIRS_MAX = 12
 #: The marks of recurring anchors are broadcast up to this many bytes, beyond that they are shuffled.
 BROADCAST_BYTES = 32 << 20
-_SLICE = 1 << 20
+#: Bytes after which an Arrow batch between the JVM and Python is full: blocks, which are larger, go one by one.
+BATCH_BYTES = 4 << 20
+#: Anchors whose suffixes a block sorts at once, if no run has more, and members of a group whose windows go to Spark at once.
+PIECE, LATE_MAX = 1 << 14, 1 << 11
+#: Parquet's writer looks at the size of what it holds after each row at first, not after a hundred (blocks).
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+_SLICE = 1 << 18
 
 
 def _slices(lengths: np.ndarray):
@@ -149,12 +155,11 @@ class Run:
             at += k
             yield n, last
 
-    def lefts(self) -> list[bytes]:
-        at, out = 0, []
+    def lefts(self) -> Iterator[bytes]:
+        at = 0
         for k in self.left_len:
-            out.append(self.left[at : at + k])
+            yield self.left[at : at + k]
             at += k
-        return out
 
 
 def merge(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, bytes, int]]:
@@ -229,22 +234,22 @@ def _pair_bits(group: list, window: int) -> np.ndarray:
 def _window_hashes(group: list, window: int) -> np.ndarray:
     """Per member and window offset the 64-bit hash of the window, 0 where the member has no such window."""
     half, width = window // 2, window - window // 2 + 1
-    table = np.zeros((len(group), window + half + 1), dtype=np.uint8)
-    have = np.zeros((len(group), width), dtype=bool)
-    for i, g in enumerate(group):
-        s, left = g[1], g[2]
-        table[i, width - 1 - len(left) : width - 1] = np.frombuffer(left, np.uint8)
-        table[i, width - 1 : width - 1 + len(s)] = np.frombuffer(s, np.uint8)
-        have[i, window - len(s) : len(left) + 1] = True
     out = np.zeros((len(group), width), dtype=np.uint64)
     for a in range(0, len(group), 1024):
-        flat = np.ascontiguousarray(table[a : a + 1024])
-        rows, cols = flat.shape
-        prefix = running(flat.reshape(-1))
+        own = group[a : a + 1024]
+        rows, cols = len(own), window + half + 1
+        table = np.zeros((rows, cols), dtype=np.uint8)
+        have = np.zeros((rows, width), dtype=bool)
+        for i, g in enumerate(own):
+            s, left = g[1], g[2]
+            table[i, width - 1 - len(left) : width - 1] = np.frombuffer(left, np.uint8)
+            table[i, width - 1 : width - 1 + len(s)] = np.frombuffer(s, np.uint8)
+            have[i, window - len(s) : len(left) + 1] = True
+        prefix = running(table.reshape(-1))
         start = (np.arange(rows) * cols)[:, None] + (width - 1 - np.arange(width))[None, :]
         h = hashes(prefix, start.reshape(-1), np.minimum(start.reshape(-1) + window, rows * cols))
         out[a : a + 1024] = mixed(h.reshape(rows, width) + np.arange(width, dtype=np.uint64)[None, :]) | np.uint64(1)
-    out[~have] = 0
+        out[a : a + 1024][~have] = 0
     return out
 
 
@@ -264,6 +269,28 @@ def _group_bits(group: list, window: int) -> np.ndarray:
     return bits
 
 
+def _block_runs(data: bytes, a: np.ndarray, s0: np.ndarray, s1: np.ndarray, part: np.ndarray, record: np.ndarray, window: int) -> Iterator[list[tuple[int, Run]]]:
+    """The runs of a block's anchors by part, in lists of about PIECE anchors; ``record`` gets each anchor's place in its run."""
+    order = np.argsort(part, kind="stable")
+    begins = np.flatnonzero(np.diff(part[order], prepend=-1))
+    stops = np.append(begins[1:], len(order))
+    x = 0
+    while x < len(begins):
+        y = max(x + 1, int(np.searchsorted(stops, begins[x] + PIECE, side="right")))
+        known: dict[tuple, list] = {}
+        own = order[begins[x] : stops[y - 1]]
+        for i, p, at, f, e in zip(own.tolist(), part[own].tolist(), a[own].tolist(), s0[own].tolist(), s1[own].tolist()):
+            known.setdefault((p, data[at : e + window], data[f:at]), []).append(i)
+        by_part: dict[int, list] = {}
+        for key in sorted(known):
+            records = by_part.setdefault(key[0], [])
+            record[known[key]] = len(records)
+            records.append((key[1], key[2], len(known[key]) > 1))
+        del known
+        yield [(p, Run.of(r)) for p, r in by_part.items()]
+        x = y
+
+
 def _by_block(blocks: DataFrame, back: DataFrame, size) -> DataFrame:
     """Left join of the blocks with a bit per anchor; its size is measured, and it is broadcast or shuffled."""
     total = back.agg(F.sum(size)).first()[0] or 0
@@ -317,7 +344,8 @@ def dedup(
         if ids:
             yield from flush()
 
-    table = stored(source.mapInArrow(read, schema), by="kind")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    table = stored(source.mapInArrow(read, schema), by="kind", options=LARGE_ROWS)
     grams = table.where("kind = 'grams'").select("block", "range", "a", "b")
     blocks = table.where("kind = 'docs'").select("block", "a", "b", "ids", "c")
 
@@ -332,9 +360,9 @@ def dedup(
         spread = [int(x.sum()) for x in np.split(np.where(total > group_max, own, 0), ends)]
         return pd.DataFrame({"block": rows["block"], "part": key[0], "n": [len(k) for k in known], "bits": bits, "hot": hot, "spread": spread})
 
-    marks = stored(grams.groupBy("range").applyInPandas(recurring, "block string, part int, n int, bits binary, hot binary, spread long"))
-    salts = max(1, -(-(marks.agg(F.sum("spread")).first()[0] or 0) // group_max))
-    marks = marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "n", "bits", "hot"))).alias("back"))
+    marked = stored(grams.groupBy("range").applyInPandas(recurring, "block string, part int, n int, bits binary, hot binary, spread long"))
+    salts = max(1, -(-(marked.agg(F.sum("spread")).first()[0] or 0) // group_max))
+    marks = marked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "n", "bits", "hot"))).alias("back"))
 
     run_schema = "kind string, block string, range int, " + ", ".join(f"{f} binary" for f in Run.FIELDS)
 
@@ -344,7 +372,6 @@ def dedup(
                 where, index = _anchors_of(r.c)
                 again = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in (r.back if r.back is not None else [])] or [np.zeros(0, np.uint8)])
                 chosen = np.flatnonzero(again[index]) if len(again) else np.zeros(0, np.int64)
-                data, known = r.a, {}
                 a, s0, s1 = where[:, chosen]
                 # the range of a gram from its place among the block's distinct ones
                 part_of = np.repeat([x["part"] for x in (r.back if r.back is not None else [])], [x["n"] for x in (r.back if r.back is not None else [])])
@@ -352,20 +379,16 @@ def dedup(
                 if len(chosen) and any(x["hot"] for x in r.back):
                     hot = np.concatenate([np.unpackbits(np.frombuffer(x["hot"] or bytes(len(x["bits"])), np.uint8), count=x["n"]) for x in r.back])
                     part = np.where(hot[index[chosen]], ranges + zlib.crc32(r.block.encode()) % salts, part)
-                for i, (p, x, f, e) in enumerate(zip(part.tolist(), a.tolist(), s0.tolist(), s1.tolist())):
-                    known.setdefault((p, data[x : e + window], data[f:x]), []).append(i)
-                record, order = np.zeros(len(chosen), dtype=np.int32), sorted(known)
-                by_part: dict[int, list] = {}
-                for key in order:
-                    own = by_part.setdefault(key[0], [])
-                    record[known[key]] = len(own)
-                    own.append((key[1], key[2], len(known[key]) > 1))
-                out = [("refs", r.block, -1, a.astype(np.int32).tobytes(), part.astype(np.int32).tobytes(), record.tobytes(), b"", b"", b"")]
-                out += [("runs", r.block, p, *Run.of(x).fields()) for p, x in by_part.items()]
-                del known, order, by_part
-                yield pd.DataFrame(out, columns=["kind", "block", "range", *Run.FIELDS])
-
-    exchanged = stored(_by_block(blocks.select("block", "a", "c"), marks, F.lit(0) + F.size("back") * 16 + F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"]) + F.length(x["hot"]))).mapInPandas(runs, run_schema), by="kind")
+                record = np.zeros(len(chosen), dtype=np.int32)
+                names = ["kind", "block", "range", *Run.FIELDS]
+                for found in _block_runs(r.a, a, s0, s1, part, record, window):
+                    yield pd.DataFrame([("runs", r.block, p, *x.fields()) for p, x in found], columns=names)
+                refs = ("refs", r.block, -1, a.astype(np.int32).tobytes(), part.astype(np.int32).tobytes(), record.tobytes(), b"", b"", b"")
+                yield pd.DataFrame([refs], columns=names)
+
+    exchanged = stored(_by_block(blocks.select("block", "a", "c"), marks, F.size("back") * 56 + F.aggregate("back", F.lit(0), lambda s, x: s + F.length(x["bits"]) + F.length(x["hot"]))).mapInPandas(runs, run_schema), by="kind", options=LARGE_ROWS)
+    released(table, only="kind=grams")
+    released(marked)
 
     columns = ["block", "part", "bits", "window", "record", "offset"]
 
@@ -396,15 +419,16 @@ def dedup(
             return late
 
         for lcp, suffix, r in merge([h.suffixes() for h in held]):
-            if lcp < half or len(group) >= group_max:
-                deferring = deferring or lcp >= half
+            apart = lcp < half and not hot  # windows of a hot part are counted whatever group they are in
+            if apart or len(group) >= (min(group_max, LATE_MAX) if deferring else group_max):
+                deferring = deferring or not apart
                 late = close()
                 if late:
                     yield pd.DataFrame(late, columns=columns)
                 deferring = hot or lcp >= half
             n = at[r]
             at[r] += 1
-            group.append((lcp, suffix, lefts[r][n], held[r].many[n], r, n))
+            group.append((lcp, suffix, next(lefts[r]), held[r].many[n], r, n))
         late = close()
         late += [(names[r], part, np.packbits(v, axis=1).tobytes() if v.any() else b"", None, None, None) for r, v in enumerate(verdict)]
         yield pd.DataFrame(late, columns=columns)
@@ -427,14 +451,15 @@ def dedup(
         .repartition("range").sortWithinPartitions("range")
         .mapInPandas(decided, "block string, part int, bits binary, window array<long>, record array<long>, offset array<long>")
     )
-    found = stored(found)
+    found = stored(found, options=LARGE_ROWS)
     late = found.where("window is not null").select("block", "part", F.explode(F.arrays_zip("window", "record", "offset")).alias("w")).select("block", "part", "w.*")
     twice = late.groupBy("window").count().where("count > 1").select("window")
-    late = late.join(twice, "window").groupBy("block", "part").agg(F.collect_list(F.struct("record", "offset")).alias("extra"))
+    late = late.join(twice, "window").groupBy("block", "part").agg(F.collect_list(F.col("record") * width + F.col("offset")).alias("extra"))
     verdicts = found.where("window is null").select("block", "part", "bits").join(late, ["block", "part"], "left")
     verdicts = verdicts.groupBy("block").agg(F.collect_list(F.struct("part", "bits", "extra")).alias("back"))
     refs = exchanged.where("kind = 'refs'").select("block", *[F.col(f).alias(n) for f, n in zip(Run.FIELDS, ("anchor", "part", "record"))])
-    back = stored(refs.join(verdicts, "block", "left"))
+    back = stored(refs.join(verdicts, "block", "left"), options=LARGE_ROWS)
+    released(found)
     result = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
     def cut_out(frames):
@@ -482,8 +507,9 @@ def _repeated(r, n: int, width: int) -> np.ndarray:
         bits = np.zeros((count, width), dtype=bool)
         if x["bits"]:
             bits |= np.unpackbits(np.frombuffer(x["bits"], np.uint8).reshape(-1, rows), axis=1, count=width).astype(bool)
-        for e in x["extra"] if x["extra"] is not None else []:
-            bits[e["record"], e["offset"]] = True
+        if x["extra"] is not None:
+            extra = np.asarray(x["extra"], dtype=np.int64)
+            bits[extra // width, extra % width] = True
         i, offset = np.nonzero(bits[record[mine]])
         dup[anchor[mine][i] - offset] = True
     return dup
